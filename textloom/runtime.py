@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Setting that removes a finished query's shuffle files (Spark 4.1); ignored where unknown.
 _SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -44,11 +45,26 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of df: for a plain scan, the bytes of its files."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def plan_bytes(df: DataFrame) -> int | None:
+    """Catalyst's size of a scan with projections and filters: the bytes of its files; None where that is a guess."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    size = int(str(plan.stats().sizeInBytes()))
+    return None if size >= 1 << 56 or "Join" in plan.toString() else size
 
 
-def parts_for(df: DataFrame, bytes_each: int, least: int = 1) -> int:
-    """How many pieces of about bytes_each the estimated input makes; grows with the input."""
-    return max(least, -(-plan_bytes(df) // bytes_each))
+def parts_for(df: DataFrame, text: str, bytes_each: int, least: int = 1) -> int:
+    """How many pieces of about bytes_each the input makes; grows with the input.
+
+    The size is that of the files where the plan is a plain scan, else that of the text column, counted.
+    """
+    size = plan_bytes(df.select(text))
+    if size is None:
+        size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return max(least, -(-size // bytes_each))
+
+
+def small_batches(df: DataFrame, rows: int = 512) -> None:
+    """Bound the rows of an Arrow batch for the session, as texts are long: a batch is a copy in three places."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= rows:
+        df.sparkSession.conf.set(key, str(rows))
