@@ -13,7 +13,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from textloom.operators.graph import connected_components
-from textloom.runtime import materialize
+from textloom.runtime import materialize, small_batches
 
 #: A fingerprint's four lanes of 16 bits; their population counts name its cell, of which there are 17^4 at most.
 _LANES, _LANE_BITS = 4, 16
@@ -44,6 +44,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.fromiter((fingerprint_of(t or b"", shingle) for t in batch.column(1).cast(pa.binary()).to_pylist()), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
+    small_batches(docs)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fp bigint")
 
