@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -12,47 +14,86 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.runtime import materialize
+from textloom.runtime import materialize, small_batches
 
-#: Words whose ids an encoder keeps at once; beyond it the table starts anew.
-_CACHE = 600_000
+#: Word pieces whose ids an encoder keeps in each of two generations.
+_GENERATION = 400_000
 #: Partitions whose leftover windows meet in one merge task: at most 16 * open_windows * max_tokens ids.
 _MERGE = 16
 
 
+#: ASCII letters and digits, and ASCII punctuation: between one of the first and one of the second
+#: the pre-tokenizer always cuts, so that a space there changes no id.
+_ALNUM, _PUNCT = (np.isin(np.arange(256), np.frombuffer(x, np.uint8)) for x in (b"abcdefghijklmnopqrstuvwxyz0123456789", bytes(b for b in range(33, 127) if not chr(b).isalnum())))
+_encoders: dict[str, WordEncoder] = {}
+
+
+class _Pieces(dict):
+    """ids by piece. A new piece is encoded when asked for; two generations of bounded size are kept."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self._tok, self._model, self._old = tokenizer, tokenizer.model, {}
+        # the byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on
+        keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in keep]
+        self._bytes = {b: 256 + k for k, b in enumerate(rest)}
+        self._apart = all(self.whole(w) == self._by_model(w.encode()) for w in ("the", "thinger", "na\u00efve", "stra\u00dfe"))
+
+    def _by_model(self, word: bytes) -> bytes:
+        ids = [t.id for t in self._model.tokenize(word.decode("latin-1").translate(self._bytes))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def whole(self, text: str) -> bytes:
+        ids = self._tok.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def __missing__(self, piece: bytes) -> bytes:
+        if len(self) >= _GENERATION:
+            self._old = dict(self)
+            self.clear()
+        got = self._old.get(piece)
+        if got is None:
+            text = piece.decode()
+            if self._apart and text.isalpha() and max(text) < "\u0250" and text == text.lower() and unicodedata.is_normalized("NFC", text):
+                # one word in normal form: the tokenizer's own steps would hand it to its model as it is
+                got = self._by_model(piece)
+            else:
+                got = self.whole(text)
+        self[piece] = got
+        return got
+
+
 class WordEncoder:
-    """ids of whole texts by a tokenizers file that drops white space, so that words encode alone.
+    """ids of whole texts by a tokenizers file that lower-cases, drops white space and cuts words from punctuation.
 
-    Each distinct word goes through the tokenizer once and its ids are kept. A text that holds an
-    added token's string is encoded whole, as that string may span words.
+    Such a tokenizer encodes each piece between white space alone, so each distinct piece goes through
+    it once and its ids are kept for all tasks of a worker. A text that holds an added token's string
+    is encoded whole, as that string may span pieces.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self._tok = Tokenizer.from_file(path)
-        self._added = [t.content.encode() for t in self._tok.get_added_tokens_decoder().values()]
-        self._ids: dict[bytes, bytes] = {}
+        tokenizer = Tokenizer.from_file(path)
+        self._added = [t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()]
+        self._pieces = _Pieces(tokenizer)
 
-    def _bytes(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self._tok.encode_batch_fast(texts, add_special_tokens=False)]
+    @classmethod
+    def of(cls, path: str) -> WordEncoder:
+        if path not in _encoders:
+            _encoders[path] = cls(path)
+        return _encoders[path]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each UTF-8 text."""
-        split = [t.split() for t in texts]  # at ASCII white space, which the tokenizer drops
-        new = set().union(*split) - self._ids.keys()
-        if len(self._ids) + len(new) > _CACHE:
-            self._ids.clear()
-            new = set().union(*split)
-        new = list(new)
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            self._ids.update(zip(part, self._bytes([w.decode() for w in part]), strict=True))
-        get = self._ids.__getitem__
-        out = [b"".join(map(get, words)) for words in split]
+        data = np.frombuffer(b"\n".join([t.replace(b"\n", b" ").lower() for t in texts]), np.uint8)
+        data = np.insert(data, np.flatnonzero(_PUNCT[data[1:]] & _ALNUM[data[:-1]]) + 1, 32)
+        get = self._pieces.__getitem__
+        out = [b"".join(map(get, t.split())) for t in data.tobytes().split(b"\n")]
         for k, text in enumerate(texts):
             if any(a in text for a in self._added):
-                out[k] = self._bytes([text.decode()])[0]
+                out[k] = self._pieces.whole(text.decode())
         return out
 
 
@@ -148,6 +189,7 @@ def pack(
     are packed row by row; texts of any length are cut as needed; an empty table gives no rows; other
     columns, whatever their names, are not read. Reruns over the same files agree.
     """
+    small_batches(docs)
     id_type = docs.schema[id_col].dataType
     shape = T.StructType(
         [T.StructField("doc_id", id_type), *(T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")), T.StructField("merge", T.IntegerType()), T.StructField("ids", T.BinaryType())]
@@ -160,12 +202,12 @@ def pack(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        encoder, windows, end = WordEncoder(tokenizer), OpenWindows(max_tokens, open_windows, spare, part << 32), np.asarray([end_id], "<u4").tobytes()
+        encoder, windows, end = WordEncoder.of(tokenizer), OpenWindows(max_tokens, open_windows, spare, part << 32), np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             keys = batch.column(0).to_pylist()
-            for lo in range(0, len(keys), 1000):
-                out = [r for key, ids in zip(keys[lo : lo + 1000], encoder.encode(texts[lo : lo + 1000]), strict=True) for r in rows(windows.add(key, ids + end), None)]
+            for lo in range(0, len(keys), 128):
+                out = [r for key, ids in zip(keys[lo : lo + 128], encoder.encode(texts[lo : lo + 128]), strict=True) for r in rows(windows.add(key, ids + end), None)]
                 yield _batch(out, arrow)
         yield _batch(list(rows(windows.leftovers(), part // _MERGE)), arrow)
 
