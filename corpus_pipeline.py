@@ -1,4 +1,61 @@
-"""The corpus pipeline; its stages follow."""
+"""The corpus pipeline: documents to packed training windows, in five stages.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir), works on every row that the one before it kept, and returns the
+columns of `documents`; the last returns the pieces of the packed windows. Between stages the rows are
+written as Parquet to the shared folder and read again. n_chars follows a text that a stage changes.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textloom.llm import langid, linededup, mixing, packing, simhash
+from textloom.runtime import materialize
+
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised; rejected ones go."""
+    return langid.known_language(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that an earlier line repeats."""
+    return _counted(linededup.dedup_lines(docs))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return simhash.drop_near_duplicates(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sources mixed to their target weights: a row per pass over a document."""
+    return _counted(mixing.mixed_documents(docs))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed windows."""
+    return packing.pack(docs, TOKENIZER)
+
+
+STAGES = [("language ID", language_id), ("line dedup", line_dedup), ("SimHash near-dedup", near_dedup), ("mixing", mix_sources), ("packing", pack)]
+
+#: SQL can't express the trained model, the fingerprints or the tokenizer's ids.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for nth, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if nth < len(STAGES) - 1:
+            docs = materialize(docs, name.replace(" ", "_"))
+    return docs

@@ -53,6 +53,24 @@ def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", F.col("n_links").cast("bigint").alias("n_links"), F.col("component_id").cast("bigint").alias("component_id"), "kept")
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.html import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.langid import identify
+
+    return identify(table(spark, sf_dir, "documents")).drop("rejected")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textloom.llm.quality import apply_policy, ledger
 
@@ -80,10 +98,10 @@ WITH d AS (
   SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
   FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r
 ), m AS (
-  SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, x -> length(x))), 0)::BIGINT AS word_chars,
+  SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
          len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
          coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(n_lines, 0)::BIGINT AS n_lines,
-         len(list_filter(w, x -> regexp_matches(x, '[A-Za-z\x{C0}-\x{10FFFF}]')))::BIGINT AS n_letter_words,
+         len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z\x{C0}-\x{10FFFF}]')))::BIGINT AS n_letter_words,
          len(regexp_extract_all(t, '[!?]'))::BIGINT AS n_marks, len(regexp_extract_all(t, '[A-Z]'))::BIGINT AS n_upper,
          len(regexp_extract_all(t, '[A-Za-z]'))::BIGINT AS n_letters
   FROM d LEFT JOIN covered USING (r) LEFT JOIN lines USING (r)
@@ -103,5 +121,5 @@ def _sql() -> dict[str, str]:
     return {"op7_quality": OP7_SQL, "op8_mixing": mixing.SQL}
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op3_chat, op4_substring, op5_embeddings, op7_quality, op8_mixing, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op3_chat, op4_substring, op5_embeddings, op6_html, op7_quality, op8_mixing, op9_langid, op10_line_dedup, pipeline)}
 SQL: dict[str, str] = _sql()
