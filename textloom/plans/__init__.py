@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from textloom.plans import frequency
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+for _family in (frequency,):
+    QUERIES |= _family.QUERIES
+    SQL |= _family.SQL
