@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from textloom.plans import frequency
+from textloom.plans import frequency, keys
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _family in (frequency,):
+for _family in (frequency, keys):
     QUERIES |= _family.QUERIES
     SQL |= _family.SQL
