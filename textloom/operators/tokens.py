@@ -51,6 +51,7 @@ def pos_of(word: Column, punct: Column) -> Column:
         F.when(punct, "PUNCT")
         .when(word.rlike(r"^\p{N}+$"), "NUM")
         .when(word.isin("i", "he", "it", "we", "she", "you", "they"), "PRON")
+        .when(word.isin("of", "for", "by", "with", "on", "in", "to"), "ADP")
         .when(word.endswith("ly"), "ADV")
         .when(verb[0] | verb[1], "VERB")
         .when(noun[0] | noun[1] | noun[2], "NOUN")
@@ -80,6 +81,7 @@ def annotate(docs: DataFrame) -> DataFrame:
         F.when(F.col("is_punct"), "punct")
         .when(F.col("pos") == "VERB", F.when(alone, "ROOT").otherwise("conj"))
         .when(F.col("pos").isin("NOUN", "PRON"), F.when(alone, "nsubj").otherwise("dobj"))
+        .when(F.col("pos") == "ADP", F.when(alone, "case").when(F.col("word").isin("on", "in", "to"), "prt").otherwise("prep"))
         .when(F.col("pos") == "ADV", "advmod")
         .when(F.col("pos") == "ADJ", F.when(alone, "amod").otherwise("acomp"))
         .otherwise("det")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from textloom.plans import frequency, keys
+from textloom.plans import concordance, frequency, keys
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _family in (frequency, keys):
+for _family in (frequency, keys, concordance):
     QUERIES |= _family.QUERIES
     SQL |= _family.SQL

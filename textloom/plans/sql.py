@@ -22,7 +22,7 @@ TOKENS = r"""raw AS (
                  WHEN length(word) > 4 AND (word LIKE '%ed' OR word LIKE '%ly') THEN left(word, length(word) - 2)
                  WHEN length(word) > 4 AND word LIKE '%s' THEN left(word, length(word) - 1) ELSE word END AS lemma,
          CASE WHEN is_punct THEN 'PUNCT' WHEN regexp_matches(word, '^\p{N}+$') THEN 'NUM'
-              WHEN word IN ('i', 'he', 'it', 'we', 'she', 'you', 'they') THEN 'PRON' WHEN word LIKE '%ly' THEN 'ADV'
+              WHEN word IN ('i', 'he', 'it', 'we', 'she', 'you', 'they') THEN 'PRON' WHEN word IN ('of', 'for', 'by', 'with', 'on', 'in', 'to') THEN 'ADP' WHEN word LIKE '%ly' THEN 'ADV'
               WHEN word LIKE '%ed' OR word LIKE '%ing' THEN 'VERB' WHEN word LIKE '%ion' OR word LIKE '%er' OR word LIKE '%s' THEN 'NOUN'
               WHEN length(word) <= 3 THEN 'DET' ELSE 'ADJ' END AS pos,
          coalesce(sum((text IN ('.', '!', '?'))::INT) OVER (PARTITION BY text_id ORDER BY tok_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS sent_idx
@@ -32,6 +32,7 @@ TOKENS = r"""raw AS (
 ), tokens AS (
   SELECT *, CASE WHEN is_punct THEN 'punct' WHEN pos = 'VERB' THEN CASE WHEN head = tok_idx THEN 'ROOT' ELSE 'conj' END
                  WHEN pos IN ('NOUN', 'PRON') THEN CASE WHEN head = tok_idx THEN 'nsubj' ELSE 'dobj' END
+                 WHEN pos = 'ADP' THEN CASE WHEN head = tok_idx THEN 'case' WHEN word IN ('on', 'in', 'to') THEN 'prt' ELSE 'prep' END
                  WHEN pos = 'ADV' THEN 'advmod' WHEN pos = 'ADJ' THEN CASE WHEN head = tok_idx THEN 'amod' ELSE 'acomp' END ELSE 'det' END AS dep,
          left(pos, 2) || right(word, 1) AS tag
   FROM headed
