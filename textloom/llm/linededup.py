@@ -48,7 +48,9 @@ class _Lines:
 
 
 def _key(h: np.ndarray, n: np.ndarray, kind: int, at: np.ndarray | int = 0) -> np.ndarray:
-    tag = n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(kind) * np.uint64(0xC2B2AE3D27D4EB4F) + np.asarray(at, np.uint64) * np.uint64(0x165667B19E3779F9)
+    tag = n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(kind * 0xC2B2AE3D27D4EB4F & K._MASK)
+    if not np.isscalar(at):
+        tag += at.astype(np.uint64) * np.uint64(0x165667B19E3779F9)
     return K.mix(h ^ K.mix(tag)).view(np.int64)
 
 
@@ -138,7 +140,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     prefix = lambda key, p: F.struct(F.col(key).alias("half"), p.alias("tail"), F.lit(0).alias("head"))
     suffix = lambda key, s: F.struct(F.col(key).alias("half"), F.lit(1 << 30).alias("tail"), (F.col("n") - s).alias("head"))
     halves = F.array_distinct(F.array(prefix("p0", half), prefix("p1", less), suffix("s0", F.col("n") - half), suffix("s1", F.col("n") - 1 - less)))
-    keyed = materialize(lines.where("p0 is not null").select("place", F.explode(halves).alias("x")).select("place", "x.*"), "halves")
+    keyed = lines.where("p0 is not null").select("place", F.explode(halves).alias("x")).select("place", "x.*")
     shared = keyed.groupBy("half").agg(F.count("*").alias("lines")).where("lines > 1").select("half")
     wanted = keyed.join(shared, "half").groupBy("place").agg(F.min("tail").alias("tail"), F.max("head").alias("head"))
     by_doc = wanted.groupBy("place.doc", "place.text_hash").agg(F.collect_set(F.struct("place.line", "tail", "head")).alias("wanted"))
@@ -166,7 +168,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     null and has no lines; an empty one has one blank line; an empty table gives no rows. All columns
     come back, whatever their names; only text_col changes.
     """
-    gone = repeated_lines(docs, id_col, text_col, min_words).groupBy("doc", "text_hash").agg(F.collect_list("line").alias("gone"))
+    gone = materialize(repeated_lines(docs, id_col, text_col, min_words).groupBy("doc", "text_hash").agg(F.collect_list("line").alias("gone")), "gone")
 
     @F.pandas_udf("string")
     def keep(text: pd.Series, gone: pd.Series) -> pd.Series:
