@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from textloom.plans import concordance, frequency, keys
+from textloom.plans import concordance, frequency, keys, sketches
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _family in (frequency, keys, concordance):
+for _family in (frequency, keys, concordance, sketches):
     QUERIES |= _family.QUERIES
     SQL |= _family.SQL
