@@ -144,7 +144,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = keyed.groupBy("half").agg(F.count("*").alias("lines")).where("lines > 1").select("half")
     wanted = keyed.join(shared, "half").groupBy("place").agg(F.min("tail").alias("tail"), F.max("head").alias("head"))
     by_doc = wanted.groupBy("place.doc", "place.text_hash").agg(F.collect_set(F.struct("place.line", "tail", "head")).alias("wanted"))
-    emitted = rows.join(by_doc, ["doc", "text_hash"]).select("doc", "text_hash", "text", "wanted")
+    emitted = rows.join(by_doc.hint("merge"), ["doc", "text_hash"]).select("doc", "text_hash", "text", "wanted")
     emitted = materialize(emitted.mapInArrow(_variants, "key bigint, check bigint, kind tinyint, doc bigint, line int, text_hash int"), "variants")
     mine = F.struct("doc", "line", "text_hash")
     of = lambda kind: F.min(F.when(F.col("kind") == kind, mine))
@@ -179,7 +179,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pd.Series(out, dtype="object")
 
     key = [c.alias(f"__{i}") for i, c in enumerate(_keys(id_col, text_col))]
-    rows = docs.select(F.struct("*").alias("row"), *key).join(gone.toDF("__0", "__1", "gone"), ["__0", "__1"], "left")
+    rows = docs.select(F.struct("*").alias("row"), *key).join(gone.toDF("__0", "__1", "gone").hint("merge"), ["__0", "__1"], "left")
     text = F.col(f"row.`{text_col}`")
     kept = F.when(F.col("gone").isNull(), text).otherwise(keep(F.coalesce(text, F.lit("")), F.coalesce("gone", F.array().cast("array<int>"))))
     if report:

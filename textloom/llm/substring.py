@@ -152,7 +152,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     by_doc = spans.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), *_keys(id_col, text_col), F.col(text_col).alias("text"))
-    joined = rows.join(by_doc, ["doc", "text_hash"], "left").select("id", "text", "spans")
+    joined = rows.join(by_doc.hint("merge"), ["doc", "text_hash"], "left").select("id", "text", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.chunks(batches, "text"):
