@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from textloom.plans import concordance, frequency, keys, sketches
+from textloom.plans import agreement, concordance, frequency, keys, meaning, sketches
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _family in (frequency, keys, concordance, sketches):
+for _family in (frequency, keys, concordance, sketches, meaning, agreement):
     QUERIES |= _family.QUERIES
     SQL |= _family.SQL

@@ -30,7 +30,7 @@ def _kwic(name, mode, value, m, **how):
 _one = lambda where: f"SELECT text_id, tok_idx AS start, 1 AS length FROM tokens WHERE NOT is_punct AND {where}"
 _kwic("kwic_simple", "simple", "Thing|threa", _one("(text = 'Thing' OR lemma = 'Thing')") + " UNION ALL " + _one("(text = 'threa' OR lemma = 'threa')"))
 _kwic("kwic_wildcard", "simple", "th?n*ing", _one("(regexp_matches(word, '^th.n.*ing$') OR regexp_matches(lower(lemma), '^th.n.*ing$'))"), lowercase=True)
-_kwic("kwic_lemma", "lemma", "erent", _one("lemma = 'erent'"))
+_kwic("kwic_lemma", "lemma", "tion", _one("lemma = 'tion'"))
 _kwic("kwic_word", "word", "onth", _one("text = 'onth' AND pos IN ('ADJ', 'NOUN')"), pos=PosFilter(("ADJ", "NOUN")))
 _kwic("kwic_character", "character", "ç", _one("contains(word, 'ç') AND pos NOT IN ('DET', 'ADP')"), lowercase=True, pos=PosFilter(("DET", "ADP"), keep=False))
 _PHRASE = """SELECT text_id, start, length FROM (SELECT text_id, tok_idx AS start, word = 'of' AND lead(word) OVER w = 'the' AND lead(word, 2) OVER w LIKE 'th%' AS hit, lead(tok_idx, 2) OVER w - tok_idx + 1 AS length

@@ -49,11 +49,11 @@ SELECT word, study_freq, ref_freq, round(a, 2) AS study_norm, round(b, 2) AS ref
 
 
 def _study(s, d, value):
-    t = docs(s, d).where("lang = 'en'").join(s.read.parquet(f"{d}/labels.parquet").where(F.col("quality") == value).select("doc_id"), "doc_id")
+    t = docs(s, d).join(s.read.parquet(f"{d}/labels.parquet").where(F.col("quality") == value).select("doc_id"), "doc_id")
     return keyness.counts(corpus_tokens(t))
 
 
-_SIDE = "SELECT word, count(*) AS freq FROM words JOIN labels ON text_id = doc_id WHERE lang = 'en' AND quality = {} GROUP BY 1"
+_SIDE = "SELECT word, count(*) AS freq FROM words JOIN labels ON text_id = doc_id WHERE quality = {} GROUP BY 1"
 
 
 def _keyness(measure):
@@ -74,10 +74,10 @@ def _resource(s, d):
     return keyness.resource_counts(rows, exclude=("and",), remove_stopwords=True)
 
 
-QUERIES["keyness_resource"] = lambda s, d: keyness.keyness(keyness.counts(corpus_tokens(docs(s, d).where("lang = 'en'")).where(without_stopwords(F.col("word"), True))), _resource(s, d))
+QUERIES["keyness_resource"] = lambda s, d: keyness.keyness(keyness.counts(corpus_tokens(docs(s, d)).where(without_stopwords(F.col("word"), True))), _resource(s, d))
 SQL["keyness_resource"] = _keyness_sql(
     "log_likelihood", WORDS + r", b AS (SELECT lower(unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+'))) AS word FROM benchmark)",
-    f"SELECT word, count(*) AS freq FROM words WHERE lang = 'en' AND word NOT IN ({STOPS}) GROUP BY 1", f"SELECT word, count(*) AS freq FROM b WHERE word NOT IN ({STOPS}) GROUP BY 1",
+    f"SELECT word, count(*) AS freq FROM words WHERE word NOT IN ({STOPS}) GROUP BY 1", f"SELECT word, count(*) AS freq FROM b WHERE word NOT IN ({STOPS}) GROUP BY 1",
 )
 
 
@@ -98,11 +98,11 @@ SELECT word AS keyword, round(count(*) / (SELECT count(*) FROM t), 4) AS score,
 
 
 def _rank_words(s, d):
-    return corpus_tokens(docs(s, d).where("lang = 'es'")).where(without_stopwords(F.col("word"), True))
+    return corpus_tokens(docs(s, d)).where(without_stopwords(F.col("word"), True))
 
 
 QUERIES["textrank_keywords"] = lambda s, d: keywords.text_rank(_rank_words(s, d), rounds=10)
-SQL["textrank_keywords"] = f"""WITH RECURSIVE {WORDS}, t AS (SELECT text_id, tok_idx, word FROM words WHERE lang = 'es' AND word NOT IN ({STOPS})),
+SQL["textrank_keywords"] = f"""WITH RECURSIVE {WORDS}, t AS (SELECT text_id, tok_idx, word FROM words WHERE word NOT IN ({STOPS})),
 p AS (SELECT word AS x, unnest([lead(word, 1) OVER w, lead(word, 2) OVER w, lead(word, 3) OVER w]) AS y FROM t WINDOW w AS (PARTITION BY text_id ORDER BY tok_idx)),
 e AS MATERIALIZED (SELECT least(x, y) AS a, greatest(x, y) AS b, count(*) AS weight FROM p WHERE y IS NOT NULL AND x != y GROUP BY 1, 2),
 d AS (SELECT a, b, weight FROM e UNION ALL SELECT b, a, weight FROM e), l AS MATERIALIZED (SELECT a, b, weight / sum(weight) OVER (PARTITION BY a) AS p FROM d),
@@ -111,7 +111,7 @@ r AS (SELECT 0 AS i, a, 1.0::DOUBLE / n AS r FROM (SELECT DISTINCT a FROM l), n
       SELECT any_value(r.i) + 1, l.b, any_value((1 - 0.85::DOUBLE) / n.n) + 0.85::DOUBLE * sum(l.p * r.r) FROM l JOIN r USING (a), n WHERE r.i < 10 GROUP BY l.b)
 SELECT a AS keyword, round(r, 6) AS score FROM r WHERE i = 10 ORDER BY score DESC, encode(keyword) LIMIT 50"""
 QUERIES["cooccurrence_pairs"] = lambda s, d: keywords.cooccurrences(_rank_words(s, d), 4)
-SQL["cooccurrence_pairs"] = f"""WITH {WORDS}, t AS (SELECT text_id, tok_idx, word FROM words WHERE lang = 'es' AND word NOT IN ({STOPS})),
+SQL["cooccurrence_pairs"] = f"""WITH {WORDS}, t AS (SELECT text_id, tok_idx, word FROM words WHERE word NOT IN ({STOPS})),
 p AS (SELECT word AS x, unnest([lead(word, 1) OVER w, lead(word, 2) OVER w, lead(word, 3) OVER w]) AS y FROM t WINDOW w AS (PARTITION BY text_id ORDER BY tok_idx))
 SELECT CASE WHEN encode(x) < encode(y) THEN x ELSE y END AS a, CASE WHEN encode(x) < encode(y) THEN y ELSE x END AS b, count(*) AS weight FROM p WHERE y IS NOT NULL AND x != y GROUP BY 1, 2"""
 QUERIES["rake_keywords"] = lambda s, d: keywords.rake(annotate(docs(s, d)))
