@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from textloom.plans import agreement, bibliography, concordance, frequency, keys, meaning, sketches
+from textloom.plans import agreement, bibliography, concordance, frequency, keys, meaning, sketches, topicmodels
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _family in (frequency, keys, concordance, sketches, meaning, agreement, bibliography):
+for _family in (frequency, keys, concordance, sketches, meaning, agreement, bibliography, topicmodels):
     QUERIES |= _family.QUERIES
     SQL |= _family.SQL
