@@ -167,9 +167,11 @@ def matches(tokens: DataFrame, query: str) -> DataFrame:
     texts = texts.withColumn("at", F.sequence(F.lit(0), F.col("n") - 1))
     for k, e in enumerate(elements):
         texts = texts.withColumn("at", F.transform("at", _step(k, e)))
-    out = texts.select("text_id", "t", F.posexplode("at").alias("start", "end")).where("end > start")
-    some = F.exists(F.slice("t", F.col("start") + 1, F.col("end") - F.col("start")), lambda x: x["real"])
-    return out.where(some).select("text_id", "start", (F.col("end") - F.col("start")).alias("length"))
+    # the arrays stay in the text's one row; only its matches are exploded
+    spans = F.transform("at", lambda end, i: F.struct(i.alias("start"), (end - i).alias("length")))
+    real = lambda x: F.exists(F.slice("t", x["start"] + 1, x["length"]), lambda y: y["real"])
+    hits = F.filter(F.filter(spans, lambda x: F.coalesce(x["length"] > 0, F.lit(False))), real)
+    return texts.select("text_id", F.explode(hits).alias("x")).select("text_id", "x.start", "x.length")
 
 
 def _step(k: int, element: Element):

@@ -62,18 +62,22 @@ def concordance(tokens: DataFrame, found: DataFrame, size: int = 5) -> DataFrame
 
     Each text's tokens are gathered once and only texts with matches are touched; punctuation stays in contexts.
     """
-    t = tokens.join(found.select("text_id").distinct(), "text_id", "left_semi")
+    by_text = found.groupBy("text_id").agg(F.collect_list(F.struct("start", "length")).alias("m"))
+    t = tokens.join(by_text.select("text_id"), "text_id", "left_semi")
     arrays = t.groupBy("text_id").agg(F.sort_array(F.collect_list(F.struct("tok_idx", "text", "lemma", "pos"))).alias("t"))
-    text = F.transform("t", lambda x: x["text"])
-    m = found.join(arrays.withColumn("w", text), "text_id")
-    end = F.col("start") + F.col("length")
-    low = F.greatest(F.lit(0), F.col("start") - size)
-    first = F.element_at("t", F.col("start") + 1)
-    return m.select(
-        "text_id", "start", F.array_join(F.slice("w", F.col("start") + 1, F.col("length")), " ").alias("keyword"),
-        F.slice("w", low + 1, F.col("start") - low).alias("left"), F.slice("w", end + 1, F.lit(size)).alias("right"),
-        first["lemma"].alias("lemma"), first["pos"].alias("pos"),
-    )
+
+    def line(m: Column) -> Column:
+        start, end = m["start"], m["start"] + m["length"]
+        low, text = F.greatest(F.lit(0), start - size), lambda x: x["text"]
+        first = F.element_at("t", start + 1)
+        return F.struct(
+            start.alias("start"), F.array_join(F.transform(F.slice("t", start + 1, m["length"]), text), " ").alias("keyword"),
+            F.transform(F.slice("t", low + 1, start - low), text).alias("left"), F.transform(F.slice("t", end + 1, F.lit(size)), text).alias("right"),
+            first["lemma"].alias("lemma"), first["pos"].alias("pos"),
+        )
+
+    # one row per text on both sides: its matches are cut out of its arrays before they are exploded
+    return arrays.join(by_text, "text_id").select("text_id", F.explode(F.transform("m", line)).alias("x")).select("text_id", "x.*")
 
 
 def flat(lines: DataFrame) -> DataFrame:

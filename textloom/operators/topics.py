@@ -54,23 +54,27 @@ def optimise_topics(terms: DataFrame, ks: range, **how) -> DataFrame:
     return terms.sparkSession.createDataFrame([(k, lda(terms, k, **how)[2]["log_perplexity"]) for k in ks], "k int, log_perplexity double")
 
 
-def lsa(terms: DataFrame, k: int = 10, top: int = 10, **how):
-    """(topics, variance): leading terms of the first singular vectors of the TF-IDF matrix; the share of variance each explains."""
-    from pyspark.ml.functions import vector_to_array
+def lsa(terms: DataFrame, k: int = 10, top: int = 10, vocab: int = 2000, **how):
+    """(topics, variance): leading terms of the first singular vectors of the TF-IDF matrix; the share of variance each explains.
+
+    One pass sums the vocabulary's Gram matrix, partial sums first; its eigenvectors are found on the
+    driver. The matrix has vocab^2 numbers whatever the number of texts, and vocab is bounded.
+    """
     from pyspark.mllib.linalg import Vectors
     from pyspark.mllib.linalg.distributed import RowMatrix
 
-    x, words = vectors(terms, tf_idf=True, **how)
-    k = min(k, len(words))
-    rows = x.select("features").rdd.map(lambda r: Vectors.fromML(r[0]))  # the library's only distributed SVD takes this form
-    svd = RowMatrix(rows).computeSVD(k)
-    v, s = svd.V.toArray(), svd.s.toArray()
+    if vocab > 10_000:
+        raise ValueError("the Gram matrix of over 10,000 terms does not fit the driver")
+    x, words = vectors(terms, tf_idf=True, vocab=vocab, **how)
+    rows = x.select("features").rdd.map(lambda r: Vectors.fromML(r[0]))  # the library's Gram matrix takes this form only
+    gram = RowMatrix(rows, numCols=len(words)).computeGramianMatrix().toArray()
+    values, v = np.linalg.eigh(gram)
+    order = np.argsort(-values, kind="stable")[: min(k, len(words))]
     out = []
-    for t in range(len(s)):
-        best = np.argsort(-np.abs(v[:, t]), kind="stable")[:top]
-        out += [(t, r + 1, words[i], float(v[i, t])) for r, i in enumerate(best)]
-    total = x.select(F.aggregate(vector_to_array("features"), F.lit(0.0), lambda a, b: a + b * b).alias("n")).agg(F.sum("n")).first()[0]
-    share = [(t, float(a * a / total)) for t, a in enumerate(s)]
+    for t, c in enumerate(order):
+        best = np.argsort(-np.abs(v[:, c]), kind="stable")[:top]
+        out += [(t, r + 1, words[i], float(v[i, c])) for r, i in enumerate(best)]
+    share = [(t, float(values[c] / np.trace(gram))) for t, c in enumerate(order)]
     spark = terms.sparkSession
     return spark.createDataFrame(out, "topic int, rank int, keyword string, weight double"), spark.createDataFrame(share, "topic int, explained double")
 
