@@ -153,7 +153,7 @@ def cluster_summary(entries: DataFrame, clusters: DataFrame, edges: DataFrame, f
     terms = t.groupBy("cluster", "term").agg(F.count("*").alias("n")).withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= k)
     terms = terms.groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("nth", "term"))).alias("x")).select("cluster", F.array_join(F.transform("x", lambda x: x["term"]), "; ").alias("top_terms"))
     c = lambda n: clusters.select(F.col("id").alias(f"id{n}"), F.col("cluster").alias(f"c{n}"))
-    inside = edges.join(c(1), "id1").join(c(2), "id2").where("c1 = c2").groupBy(F.col("c1").alias("cluster")).agg(F.round(F.sum(F.round(F.col("similarity") * 10000).cast("bigint")) / F.count("*") / 10000, 4).alias("cohesion"))
+    inside = edges.join(c(1), "id1").join(c(2), "id2").where("c1 = c2").groupBy(F.col("c1").alias("cluster")).agg(F.sum(F.round(F.col("similarity") * 10000).cast("bigint")).alias("s"), F.count("*").alias("n")).select("cluster", (F.expr("(2 * s + n) div (2 * n)") / 10000).alias("cohesion"))
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
     return sizes.join(inside, "cluster", "left").join(terms, "cluster", "left").select("cluster", "size", F.coalesce("cohesion", F.lit(0.0)).alias("cohesion"), "top_terms")
 

@@ -90,7 +90,7 @@ def _summary(s, d):
 
 QUERIES["cluster_summary"] = _summary
 SQL["cluster_summary"] = _COMPONENTS + """, t AS (SELECT cluster, x, count(*) AS n FROM i JOIN cl USING (id) GROUP BY 1, 2), tt AS (SELECT cluster, array_to_string(list(x ORDER BY nth), '; ') AS top_terms FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, encode(x)) AS nth FROM t) WHERE nth <= 10 GROUP BY 1),
-co AS (SELECT c1.cluster, round(sum(round(similarity * 10000)::BIGINT)::BIGINT / count(*) / 10000, 4) AS cohesion FROM l JOIN cl c1 ON c1.id = id1 GROUP BY 1) SELECT cluster, count(*) AS size, any_value(cohesion)::DOUBLE AS cohesion, any_value(top_terms) AS top_terms FROM cl JOIN co USING (cluster) JOIN tt USING (cluster) GROUP BY cluster"""
+co AS (SELECT c1.cluster, ((2 * sum(round(similarity * 10000)::BIGINT)::BIGINT + count(*)) // (2 * count(*))) / 10000 AS cohesion FROM l JOIN cl c1 ON c1.id = id1 GROUP BY 1) SELECT cluster, count(*) AS size, any_value(cohesion)::DOUBLE AS cohesion, any_value(top_terms) AS top_terms FROM cl JOIN co USING (cluster) JOIN tt USING (cluster) GROUP BY cluster"""
 QUERIES["cluster_keywords"] = lambda s, d: biblio.label_propagation(biblio.similar_entries(entries(s, d), "keywords", "jaccard", 0.1), 5)
 QUERIES["cluster_authors"] = lambda s, d: biblio.label_propagation(biblio.similar_entries(entries(s, d), "keywords", "overlap"), 3)
 
