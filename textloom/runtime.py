@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +12,16 @@ from pyspark.sql import functions as F
 #: Setting that removes a finished query's shuffle files (Spark 4.1); ignored where unknown.
 _SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: Where a local session without the setting keeps its tables; each process removes its own when it ends.
+_LOCAL = "/tmp/checkpoints"
+_written: list[str] = []
+
+
+@atexit.register
+def _remove_local_tables() -> None:
+    for path in _written:
+        shutil.rmtree(path, ignore_errors=True)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and every executor can read and write.
@@ -22,7 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    return "file:///tmp/checkpoints"
+    return f"file://{_LOCAL}"
 
 
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
@@ -33,6 +45,8 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/textloom/{name}-{uuid.uuid4().hex}"
+    if path.startswith(f"file://{_LOCAL}/"):
+        _written.append(path.removeprefix("file://"))
     before = spark.conf.get(_SHUFFLE_CLEANUP, None)
     spark.conf.set(_SHUFFLE_CLEANUP, "true")
     try:
