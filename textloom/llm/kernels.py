@@ -6,6 +6,7 @@ value * r^position; r is odd and so has an inverse. All spans of a chunk take a
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 _MASK = (1 << 64) - 1
 _R, _Q = 0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95
 _VALUE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-_powers: dict[tuple[int, int], np.ndarray] = {}
+_powers: dict[int, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -32,15 +33,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base^0 .. base^(n-1) modulo 2^64."""
-    size = 1 << max(16, (n - 1).bit_length())
-    if (base, size) not in _powers:
-        x = np.full(size, base, np.uint64)
+    """base^0 .. base^(n-1) modulo 2^64, from one table per base that grows as needed."""
+    known = _powers.get(base)
+    if known is None or len(known) < n:
+        x = np.full(-(-n // 65536) * 65536, base, np.uint64)
         x[0] = 1
-        if size > 1 << 22:
-            return np.multiply.accumulate(x)
-        _powers[base, size] = np.multiply.accumulate(x)
-    return _powers[base, size]
+        np.multiply.accumulate(x, out=x)
+        if n > 1 << 22:  # of a very long text: not kept
+            return x
+        _powers[base] = known = x
+    return known
 
 
 def _inverse(base: int) -> int:
@@ -72,9 +74,20 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray
     return data[off[0] : off[-1]], off - off[0]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def release() -> None:
+    """Give freed memory back to the system: a worker lives on after its task, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def chunks(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut into runs of whole rows with about `most` bytes of text; a longer text is alone in its run."""
-    for batch in batches:
+    for nth, batch in enumerate(batches):
+        if nth % 16 == 15:
+            release()
         if not batch.num_rows:
             continue
         _, off = texts_of(batch.column(batch.schema.get_field_index(text)))
@@ -83,6 +96,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) ->
             to = max(at + 1, int(np.searchsorted(off, off[at] + most, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+    release()
 
 
 def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,7 +116,7 @@ def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return start, end, np.searchsorted(start, off)
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, block: int = 2 << 20) -> np.ndarray:
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, block: int = 1 << 20) -> np.ndarray:
     """A mixed 64-bit hash per word; bytes are handled in blocks, so that a long text needs little memory."""
     out = np.empty(len(start), np.uint64)
     at = 0
