@@ -14,10 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textloom.llm.kernels import release
 from textloom.runtime import materialize, small_batches
 
 #: Word pieces whose ids an encoder keeps in each of two generations.
-_GENERATION = 400_000
+_GENERATION = 200_000
 #: Partitions whose leftover windows meet in one merge task: at most 16 * open_windows * max_tokens ids.
 _MERGE = 16
 
@@ -210,6 +211,7 @@ def pack(
                 out = [r for key, ids in zip(keys[lo : lo + 128], encoder.encode(texts[lo : lo + 128]), strict=True) for r in rows(windows.add(key, ids + end), None)]
                 yield _batch(out, arrow)
         yield _batch(list(rows(windows.leftovers(), part // _MERGE)), arrow)
+        release()
 
     def merged(table: pa.Table) -> pa.Table:
         p = sorted(table.to_pylist(), key=lambda r: (r["sequence_id"], r["offset"]))
