@@ -51,3 +51,20 @@ def test_awkward_pages(spark):
     assert {r.page_id: r.n_chars for r in got}[4] == 20000 * 14 - 1
     assert extract(df.limit(0)).collect() == []
     assert blocks("<p>a") and not blocks("")
+
+
+def test_tags_without_ends_lose_nothing():
+    text = lambda page: " ".join(b.text for b in blocks(page))
+    for name in ("svg-icon", "video-player", "button-group", "select-box"):
+        assert text(f"<header><{name} name=x></{name}></header><article><p>All of it</p></article>") == "All of it"
+    for name in ("button", "select", "audio", "video", "svg", "dialog", "object", "canvas", "noscript"):
+        assert text(f"<p>Before</p><{name}>no<p>All of it</p><p>stays</p>") == "Before All of it stays"
+        assert text(f"<{name}>no<p>All of it</p><{name}>no</{name}><p>stays</p>") == "All of it stays"
+        assert text(f"<p>All</p><{name}>no<div>no</div></{name}><p>stays</p>") == "All stays"
+    assert text("<select><option>a<option>b<p>All of it</p>") == "All of it"
+    assert text("<svg><svg></svg>no<p>no</p></svg><p>All</p>") == "All"
+    for head in ("<head>", "<html><head><meta charset=x><link rel=y>", "<HEAD><script>no</script><style>no</style>"):
+        assert text(head + "<title>no</title><p>All of it</p><p>stays</p>") == "All of it stays"
+        assert text(head + "<title>no</title>All of it <b>stays</b>") == "All of it stays"
+        assert text(head + "<title>no</title></head><body><p>All of it</p>") == "All of it"
+        assert text(head + "<title>no<body><p>All of it</p>") == "All of it"

@@ -28,7 +28,16 @@ _words = lambda x: frozenset(x.split())
 SILENT, BLOCK, HOLDERS, STICKY, AROUND, REMARKS, INSIDE = map(_words, (_SILENT, _BLOCK, _HOLDERS, _STICKY, _AROUND, _REMARKS, _INSIDE))
 
 _COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
-_SILENT_RE = re.compile(r"<(" + "|".join(SILENT - {"head", "object", "map", "dialog"}) + r")\b[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))", re.S | re.I)
+# Elements whose content is no markup run to their end tag or the page's end; all names end at white space, "/" or ">".
+_RAW = "script|style|textarea|iframe"
+_RAW_RE = re.compile(rf"<({_RAW})(?=[\s/>])[^>]*?(?:/>|>.*?(?:</\1(?=[\s/>])[^>]*>|\Z))", re.S | re.I)
+_SOFT = "|".join(sorted(SILENT - {"head", *_RAW.split("|")}))
+_SOFT_RE = re.compile(rf"<(/?)({_SOFT})(?=[\s/>])[^>]*>", re.I)
+#: Silent elements that can't hold another of their kind: the next one's start tag shows that the end tag is missing.
+_FLAT = _words("button select audio video")
+_BLOCK_RE = re.compile("</?(?:" + "|".join(sorted(BLOCK - {"option", "optgroup"})) + r")(?=[\s/>])", re.I)
+#: What may stand in a page's head; any other tag or text ends it, as its end tag is optional.
+_IN_HEAD = _words("head html base basefont bgsound link meta title noframes")
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)(?:>|(?=<)|\Z)")
 _NAMED = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
@@ -77,13 +86,43 @@ def _role_of(tag: str, attributes: str, inside: bool) -> tuple[int, bool]:
     return (1, False) if not INSIDE.isdisjoint(names) else (0, False)
 
 
+def _without_silent(page: str) -> str:
+    """The page without elements that never show; one without an end tag goes up to the next block's tag."""
+    page = _RAW_RE.sub(" ", page)
+    tags = list(_SOFT_RE.finditer(page))
+    ends: dict[int, int] = {}
+    open_: dict[str, list[int]] = {}
+    for m in tags:
+        name = m[2].lower()
+        if m[1]:
+            if open_.get(name):
+                ends[open_[name].pop()] = m.end()
+        elif m[0].endswith("/>"):
+            ends[m.start()] = m.end()
+        elif name in _FLAT:
+            open_[name] = [m.start()]
+        else:
+            open_.setdefault(name, []).append(m.start())
+    out, at = [], 0
+    for m in tags:
+        if m[1] or m.start() < at:
+            continue
+        out.append(page[at : m.start()])
+        out.append(f"<{m[2]}></{m[2]}>" if m[2].lower() in ("dialog", "object", "map") else " ")
+        at = ends.get(m.start(), 0)
+        if not at:
+            block = _BLOCK_RE.search(page, m.end())
+            at = block.start() if block else len(page)
+    return "".join([*out, page[at:]])
+
+
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order; markup that never shows is left out, character references are decoded."""
-    page = _SILENT_RE.sub(" ", _COMMENT.sub(" ", page))
+    page = _without_silent(_COMMENT.sub(" ", page))
     out: list[Block] = []
     stack: list[tuple[str, int, bool]] = []
     parts: list[tuple[str, bool]] = []
-    link, silent, heading = 0, "", False
+    link, silent, heading, head = 0, "", False, False
 
     def close() -> None:
         if parts:
@@ -98,14 +137,24 @@ def blocks(page: str) -> list[Block]:
     at = 0
     for m in _TAG.finditer(page):
         if m.start() > at and not silent:
-            parts.append((page[at : m.start()], link > 0))
+            head = head and not page[at : m.start()].strip()
+            if not head:
+                parts.append((page[at : m.start()], link > 0))
         at = m.end()
         end, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
         tag = tag.lower()
         if silent:
             silent = "" if end and tag == silent or tag == "body" else silent
+            head = head and tag != "body"
             continue
-        if tag in ("head", "title", "dialog", "object", "map"):
+        if head and tag not in _IN_HEAD:
+            if end and tag != "body":
+                continue
+            head = False
+        if tag == "head":
+            close()
+            head = not end
+        elif tag in ("title", "dialog", "object", "map"):
             close()
             silent = "" if end else tag
         elif tag == "a":
