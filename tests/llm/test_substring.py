@@ -1,6 +1,6 @@
 from collections import defaultdict
 
-from textloom.llm.substring import remove_repeats
+from textloom.llm.substring import _keys, remove_repeats
 from tests.conftest import DATA
 from tests.llm.conftest import words
 
@@ -46,3 +46,11 @@ def test_shared_passage(spark):
 
 def test_empty(nothing):
     assert remove_repeats(nothing).collect() == []
+
+
+def test_equal_halves_of_text_hashes(spark):
+    """Texts under null ids whose 64-bit hashes agree in their upper half, found among generated ones, stay apart."""
+    n = spark.range(400000).selectExpr("concat('t ', id) text").selectExpr("text", "shiftright(xxhash64(text), 32) h")
+    twins = n.groupBy("h").agg({"text": "collect_list"}).toDF("h", "t").where("size(t) > 1").head().t[:2]
+    same = spark.createDataFrame([(None, x) for x in twins], "doc_id bigint, text string")
+    assert same.select(*_keys("doc_id", "text")).distinct().count() == 2

@@ -59,38 +59,39 @@ def _scan(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.Reco
     for batch in K.chunks(batches, "text"):
         order = np.argsort(batch.column(0).to_numpy(zero_copy_only=False), kind="stable")
         batch = batch.take(pa.array(order))
-        ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-        x = _Lines(batch.column(2))
+        ids, texts, checks = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(3))
+        x = _Lines(batch.column(3))
         line = np.flatnonzero(x.n)
         if not len(line):
             continue
         zero = np.zeros(len(line), np.int64)
-        n, doc, text, number = x.n[line], ids[x.doc[line]], texts[x.doc[line]], x.number[line]
+        n, number = x.n[line], x.number[line]
+        doc, text, check = (v[x.doc[line]] for v in (ids, texts, checks))
         h = _key(x.hash(line, zero, n), n, 9)
-        order = np.lexsort((text, number, doc, h))
+        order = np.lexsort((check, text, number, doc, h))
         fresh = np.ones(len(order), bool)
         fresh[1:] = h[order][1:] != h[order][:-1]
         lead = order[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
         again = np.zeros(len(line), bool)
-        again[order] = (doc[order] != doc[lead]) | (number[order] != number[lead]) | (text[order] != text[lead])
+        again[order] = (doc[order] != doc[lead]) | (number[order] != number[lead]) | (text[order] != text[lead]) | (check[order] != check[lead])
         halves = []
         for p, s in ((n // 2, n - n // 2), ((n - 1) // 2, (n - 1) - (n - 1) // 2)):
             halves += [(_key(x.hash(line, zero, p), p, 10), p), (_key(x.hash(line, n - s, n), s, 11), s)]
         short = n < min_words
         none = lambda v: pa.array(v, mask=again | short)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(h), pa.array(doc), pa.array(number.astype(np.int32)), pa.array(text), pa.array(n.astype(np.int32)), pa.array(again), *(none(k) for k, _ in halves)],
-            ["h", "doc", "line", "text_hash", "n", "again", "p0", "s0", "p1", "s1"],
+            [pa.array(h), pa.array(doc), pa.array(number.astype(np.int32)), pa.array(text), pa.array(check), pa.array(n.astype(np.int32)), pa.array(again), *(none(k) for k, _ in halves)],
+            ["h", "doc", "line", "text_hash", "text_check", "n", "again", "p0", "s0", "p1", "s1"],
         )
 
 
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each candidate line: itself, and each variant with one word deleted where the other half is shared."""
     for batch in K.chunks(batches, "text"):
-        lines = [_Lines(batch.column(2), salt) for salt in (0, _SALTS[0])]
+        lines = [_Lines(batch.column(3), salt) for salt in (0, _SALTS[0])]
         x = lines[0]
         at_doc = np.searchsorted(x.doc, np.arange(batch.num_rows))
-        wanted = batch.column(3)
+        wanted = batch.column(4)
         row = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(wanted).to_numpy())
         flat = wanted.flatten()
         number, tail, head = (flat.field(c).to_numpy().astype(np.int64) for c in ("line", "tail", "head"))
@@ -110,12 +111,12 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys.append(np.concatenate([_key(s.hash(line[whole], np.zeros_like(whole), n[whole]), n[whole], 12), _key(v, n[e] - 1, 12), _key(v, n[e] - 1, 13, a + 1)]))
             kind = np.repeat(np.array([_WHOLE, _DELETED, _REPLACED], np.int8), [len(whole), len(e), len(e)])
             src = np.concatenate([whole, e, e])
-            ids, texts = (batch.column(c).to_numpy(zero_copy_only=False)[row[src]] for c in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(keys[0]), pa.array(keys[1]), pa.array(kind), pa.array(ids), pa.array(number[src].astype(np.int32)), pa.array(texts)], ["key", "check", "kind", "doc", "line", "text_hash"])
+            ids, texts, checks = (batch.column(c).to_numpy(zero_copy_only=False)[row[src]] for c in range(3))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[0]), pa.array(keys[1]), pa.array(kind), pa.array(ids), pa.array(number[src].astype(np.int32)), pa.array(texts), pa.array(checks)], ["key", "check", "kind", "doc", "line", "text_hash", "text_check"])
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5) -> DataFrame:
-    """(doc, text_hash, line): each line that equals an earlier line or is one word edit from one.
+    """(doc, text_hash, text_check, line): each line that equals an earlier line or is one word edit from one.
 
     Lines compare by their words; equal lines meet first, within a task and then over all, so each
     distinct line goes on once, at its first place. Two lines within one edit share one half of their
@@ -128,8 +129,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     small_batches(docs)
     rows = docs.select(*_keys(id_col, text_col), F.col(text_col).alias("text"))
-    seen = materialize(rows.mapInArrow(lambda b: _scan(b, min_words), "h bigint, doc bigint, line int, text_hash int, n int, again boolean, p0 bigint, s0 bigint, p1 bigint, s1 bigint"), "lines")
-    place = F.struct("doc", "line", "text_hash")
+    seen = materialize(rows.mapInArrow(lambda b: _scan(b, min_words), "h bigint, doc bigint, line int, text_hash bigint, text_check bigint, n int, again boolean, p0 bigint, s0 bigint, p1 bigint, s1 bigint"), "lines")
+    place = F.struct("doc", "line", "text_hash", "text_check")
     per_task = seen.where("not again").select("h", "n", "p0", "s0", "p1", "s1", place.alias("place"))
     lines = per_task.groupBy("h").agg(F.min("place").alias("place"), *(F.first(c).alias(c) for c in ("n", "p0", "s0", "p1", "s1")))
     lines = materialize(lines, "distinct_lines")
@@ -143,17 +144,17 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keyed = lines.where("p0 is not null").select("place", F.explode(halves).alias("x")).select("place", "x.*")
     shared = keyed.groupBy("half").agg(F.count("*").alias("lines")).where("lines > 1").select("half")
     wanted = keyed.join(shared, "half").groupBy("place").agg(F.min("tail").alias("tail"), F.max("head").alias("head"))
-    by_doc = wanted.groupBy("place.doc", "place.text_hash").agg(F.collect_set(F.struct("place.line", "tail", "head")).alias("wanted"))
-    emitted = rows.join(by_doc.hint("merge"), ["doc", "text_hash"]).select("doc", "text_hash", "text", "wanted")
-    emitted = materialize(emitted.mapInArrow(_variants, "key bigint, check bigint, kind tinyint, doc bigint, line int, text_hash int"), "variants")
-    mine = F.struct("doc", "line", "text_hash")
+    by_doc = wanted.groupBy("place.doc", "place.text_hash", "place.text_check").agg(F.collect_set(F.struct("place.line", "tail", "head")).alias("wanted"))
+    emitted = rows.join(by_doc.hint("merge"), ["doc", "text_hash", "text_check"]).select("doc", "text_hash", "text_check", "text", "wanted")
+    emitted = materialize(emitted.mapInArrow(_variants, "key bigint, check bigint, kind tinyint, doc bigint, line int, text_hash bigint, text_check bigint"), "variants")
+    mine = F.struct("doc", "line", "text_hash", "text_check")
     of = lambda kind: F.min(F.when(F.col("kind") == kind, mine))
     earliest = emitted.groupBy("key", "check").agg(of(_WHOLE).alias("whole"), of(_DELETED).alias("deleted"), of(_REPLACED).alias("replaced"), F.min(mine).alias("lo"), F.max(mine).alias("hi"))
     earliest = earliest.where("lo != hi").select("key", "check", "whole", "deleted", "replaced")
     linked = emitted.join(earliest, ["key", "check"])
     rival = F.when(F.col("kind") == _WHOLE, F.col("deleted")).when(F.col("kind") == _DELETED, F.col("whole")).otherwise(F.col("replaced"))
-    near = linked.where(mine > rival).select("doc", "line", "text_hash")
-    again = seen.where("again").select("doc", "line", "text_hash")
+    near = linked.where(mine > rival).select("doc", "line", "text_hash", "text_check")
+    again = seen.where("again").select("doc", "line", "text_hash", "text_check")
     return again.unionByName(equal).unionByName(near).distinct()
 
 
@@ -168,7 +169,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     null and has no lines; an empty one has one blank line; an empty table gives no rows. All columns
     come back, whatever their names; only text_col changes.
     """
-    gone = materialize(repeated_lines(docs, id_col, text_col, min_words).groupBy("doc", "text_hash").agg(F.collect_list("line").alias("gone")), "gone")
+    gone = materialize(repeated_lines(docs, id_col, text_col, min_words).groupBy("doc", "text_hash", "text_check").agg(F.collect_list("line").alias("gone")), "gone")
 
     @F.pandas_udf("string")
     def keep(text: pd.Series, gone: pd.Series) -> pd.Series:
@@ -179,7 +180,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pd.Series(out, dtype="object")
 
     key = [c.alias(f"__{i}") for i, c in enumerate(_keys(id_col, text_col))]
-    rows = docs.select(F.struct("*").alias("row"), *key).join(gone.toDF("__0", "__1", "gone").hint("merge"), ["__0", "__1"], "left")
+    rows = docs.select(F.struct("*").alias("row"), *key).join(gone.toDF("__0", "__1", "__2", "gone").hint("merge"), ["__0", "__1", "__2"], "left")
     text = F.col(f"row.`{text_col}`")
     kept = F.when(F.col("gone").isNull(), text).otherwise(keep(F.coalesce(text, F.lit("")), F.coalesce("gone", F.array().cast("array<int>"))))
     if report:

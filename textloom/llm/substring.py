@@ -14,22 +14,22 @@ from textloom.llm import kernels as K
 from textloom.runtime import materialize, parts_for, small_batches
 
 #: A run of neighbouring windows that go to one bucket: document (its id's rank as an order-keeping
-#: 64-bit number, a hash of its text), first window, number of windows.
-_RUN = np.dtype([("doc", "<i8"), ("text", "<i4"), ("start", "<i4"), ("n", "<i4")])
+#: 64-bit number, two hashes of its text), first window, number of windows.
+_RUN = np.dtype([("doc", "<i8"), ("text", "<i8"), ("check", "<i8"), ("start", "<i4"), ("n", "<i4")])
 #: Width in words of the anchors whose minimum names a window's bucket.
 _ANCHOR = 4
 _NULL_ID = -(1 << 63)
 
 
-def _spans(doc: np.ndarray, text: np.ndarray, start: np.ndarray, k: int) -> dict[str, np.ndarray]:
+def _spans(doc: np.ndarray, text: np.ndarray, check: np.ndarray, start: np.ndarray, k: int) -> dict[str, np.ndarray]:
     """Windows of k words merged into maximal spans [start, end) of words per document."""
-    order = np.lexsort((start, text, doc))
-    doc, text, start = doc[order], text[order], start[order].astype(np.int64)
+    order = np.lexsort((start, check, text, doc))
+    doc, text, check, start = doc[order], text[order], check[order], start[order].astype(np.int64)
     fresh = np.ones(len(doc), bool)
-    fresh[1:] = (doc[1:] != doc[:-1]) | (text[1:] != text[:-1]) | (start[1:] > start[:-1] + k)
+    fresh[1:] = (doc[1:] != doc[:-1]) | (text[1:] != text[:-1]) | (check[1:] != check[:-1]) | (start[1:] > start[:-1] + k)
     first = np.flatnonzero(fresh)
     last = np.append(first[1:], len(doc))[: len(first)] - 1
-    return {"doc": doc[first], "text": text[first], "start": start[first], "end": start[last] + k}
+    return {"doc": doc[first], "text": text[first], "check": check[first], "start": start[first], "end": start[last] + k}
 
 
 def _repeats(hashes: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -51,15 +51,15 @@ def _repeats(hashes: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarr
     return out
 
 
-def _runs(docs: np.ndarray, text: np.ndarray, start: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+def _runs(docs: np.ndarray, text: np.ndarray, check: np.ndarray, start: np.ndarray, bucket: np.ndarray) -> np.ndarray:
     """Where a new run begins: another document, a gap, or another bucket."""
     fresh = np.ones(len(docs), bool)
-    fresh[1:] = (docs[1:] != docs[:-1]) | (text[1:] != text[:-1]) | (start[1:] != start[:-1] + 1) | (bucket[1:] != bucket[:-1])
+    fresh[1:] = (docs[1:] != docs[:-1]) | (text[1:] != text[:-1]) | (check[1:] != check[:-1]) | (start[1:] != start[:-1] + 1) | (bucket[1:] != bucket[:-1])
     return np.flatnonzero(fresh)
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 20, bucket_bytes: int = 2 << 20) -> DataFrame:
-    """(doc, text_hash, start, end): the maximal spans of words that windows of k words starting earlier elsewhere repeat.
+    """(doc, text_hash, text_check, start, end): the maximal spans of words that windows of k words starting earlier elsewhere repeat.
 
     A task hashes every window of its documents and settles repeats among them at once, so that a
     passage that many documents share leaves a task once. What remains goes, in runs of neighbouring
@@ -74,8 +74,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in K.chunks(batches, "text"):
             order = np.argsort(batch.column(0).to_numpy(zero_copy_only=False), kind="stable")
             batch = batch.take(pa.array(order))
-            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            data, off = K.texts_of(batch.column(2))
+            ids, texts, checks = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(3))
+            data, off = K.texts_of(batch.column(3))
             begin, end, first = K.word_spans(data, off)
             words = K.word_hashes(data, begin, end)
             hashes = K.window_hashes(words, k)
@@ -86,17 +86,17 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             anchor = K.sliding_min(K.window_hashes(words, _ANCHOR, 0x5851F42D4C957F2D), k - _ANCHOR + 1)[keep]
             hashes, row = hashes[keep], row[keep]
             start = (keep - first[row]).astype(np.int64)
-            doc, text = ids[row], texts[row]
+            doc, text, check = ids[row], texts[row], checks[row]
             again = _repeats(hashes, doc, start)
-            found = _spans(doc[again], text[again], start[again], k)
+            found = _spans(doc[again], text[again], check[again], start[again], k)
             turn += 1
             bucket = (K.mix(anchor) % np.uint64(buckets)).astype(np.int64)
             left = np.flatnonzero(~again)
-            hashes, doc, text, start, bucket = (x[left] for x in (hashes, doc, text, start, bucket))
-            at = _runs(doc, text, start, bucket)
+            hashes, doc, text, check, start, bucket = (x[left] for x in (hashes, doc, text, check, start, bucket))
+            at = _runs(doc, text, check, start, bucket)
             n = np.diff(np.append(at, len(doc)))
             run = np.empty(len(at), _RUN)
-            run["doc"], run["text"], run["start"], run["n"] = doc[at], text[at], start[at], n
+            run["doc"], run["text"], run["check"], run["start"], run["n"] = doc[at], text[at], check[at], start[at], n
             by = np.argsort(bucket[at], kind="stable")
             edge = np.flatnonzero(np.diff(bucket[at][by])) + 1
             out_bucket, heads, bodies = [], [], []
@@ -108,7 +108,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 bodies.append(hashes[place].tobytes())
             if len(found["doc"]):
                 out_bucket.append(turn % buckets)
-                heads.append(np.rec.fromarrays([found["doc"], found["text"], found["start"], found["end"] - found["start"]], dtype=_RUN).tobytes())
+                heads.append(np.rec.fromarrays([found["doc"], found["text"], found["check"], found["start"], found["end"] - found["start"]], dtype=_RUN).tobytes())
                 bodies.append(None)
             yield pa.RecordBatch.from_arrays([pa.array(out_bucket, pa.int32()), pa.array(heads, pa.binary()), pa.array(bodies, pa.binary())], ["bucket", "runs", "hashes"])
 
@@ -117,26 +117,27 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         bodies = table.column("hashes").to_pylist()
         done = [h for h, b in zip(heads, bodies, strict=True) if b is None]
         open_ = [(h, np.frombuffer(b, np.uint64)) for h, b in zip(heads, bodies, strict=True) if b is not None]
-        out = {c: [x[c].astype(np.int64) for x in done] for c in ("doc", "text", "start")} | {"end": [x["start"].astype(np.int64) + x["n"] for x in done]}
+        out = {c: [x[c].astype(np.int64) for x in done] for c in ("doc", "text", "check", "start")} | {"end": [x["start"].astype(np.int64) + x["n"] for x in done]}
         if open_:
             run, hashes = np.concatenate([h for h, _ in open_]), np.concatenate([b for _, b in open_])
             size = run["n"].astype(np.int64)
             start = np.repeat(run["start"] - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
-            doc, text = np.repeat(run["doc"], size), np.repeat(run["text"], size)
+            doc, text, check = (np.repeat(run[c], size) for c in ("doc", "text", "check"))
             again = _repeats(hashes, doc, start)
-            for c, v in _spans(doc[again], text[again], start[again], k).items():
+            for c, v in _spans(doc[again], text[again], check[again], start[again], k).items():
                 out[c].append(v)
-        cols = [np.concatenate([*out[c], np.zeros(0, np.int64)]) for c in ("doc", "text", "start", "end")]
-        return pa.table([pa.array(cols[0].astype(np.int64)), *(pa.array(c.astype(np.int32)) for c in cols[1:])], names=["doc", "text_hash", "start", "end"])
+        cols = [np.concatenate([*out[c], np.zeros(0, np.int64)]) for c in ("doc", "text", "check", "start", "end")]
+        return pa.table([*map(pa.array, cols[:3]), *(pa.array(c.astype(np.int32)) for c in cols[3:])], names=["doc", "text_hash", "text_check", "start", "end"])
 
     rows = docs.select(*_keys(id_col, text_col), F.col(text_col).alias("text"))
     sent = rows.mapInArrow(scan, "bucket int, runs binary, hashes binary")
-    return materialize(sent.groupBy("bucket").applyInArrow(settle, "doc bigint, text_hash int, start int, end int"), "spans")
+    return materialize(sent.groupBy("bucket").applyInArrow(settle, "doc bigint, text_hash bigint, text_check bigint, start int, end int"), "spans")
 
 
 def _keys(id_col: str, text_col: str) -> list:
-    """A row's place in the order of documents, and its text's hash, which tells rows with one id apart."""
-    return [F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NULL_ID)).alias("doc"), F.shiftright(F.xxhash64(text_col), 32).cast("int").alias("text_hash")]
+    """A row's place in the order of documents, and two hashes of its text, which tell rows with one id apart."""
+    text = F.col(text_col)
+    return [F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NULL_ID)).alias("doc"), F.xxhash64(text).alias("text_hash"), F.xxhash64(F.lit(1), text).alias("text_check")]
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 20) -> DataFrame:
@@ -149,10 +150,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     table gives no rows; other columns are not read.
     """
     spans = repeated_spans(docs, id_col, text_col, k)
-    by_doc = spans.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    by_doc = spans.groupBy("doc", "text_hash", "text_check").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), *_keys(id_col, text_col), F.col(text_col).alias("text"))
-    joined = rows.join(by_doc.hint("merge"), ["doc", "text_hash"], "left").select("id", "text", "spans")
+    joined = rows.join(by_doc.hint("merge"), ["doc", "text_hash", "text_check"], "left").select("id", "text", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.chunks(batches, "text"):
