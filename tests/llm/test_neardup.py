@@ -1,0 +1,40 @@
+"""The pipeline's near-dedup: every pair of five-word shingle sets at similarity 0.8 or more is linked."""
+
+import random
+
+import corpus_pipeline
+from tests.conftest import DATA
+from tests.llm.conftest import words
+
+
+def shingles(text):
+    w = words(text.lower())
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def kept(rows):
+    comp = {i: i for i, _ in rows}
+    s = [(i, shingles(t)) for i, t in rows]
+    for k, (i, a) in enumerate(s):
+        for j, b in s[:k]:
+            if a == b or 5 * len(a & b) >= 4 * len(a | b):
+                x, y = sorted((comp[i], comp[j]))
+                comp = {d: x if c == y else c for d, c in comp.items()}
+    return sorted(set(comp.values()))
+
+
+def test_copies_from_0_8_on(spark):
+    rng = random.Random(3)
+    rows = []
+    for _ in range(12):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.choice((30, 120, 300)))]
+        for edits in (0, 0, 1, 2, 3, 4, 6, 9, 14):
+            w = list(base)
+            for _ in range(edits):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    rows += [(len(rows), "a few words"), (len(rows) + 1, "A few  words"), (len(rows) + 2, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    want = kept(rows)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, df.repartition(5), DATA).collect()) == want
+    assert len(want) < len(rows) - 24

@@ -1,0 +1,130 @@
+"""Near-duplicates by word shingles: MinHash bands find candidates, their shingle sets decide."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from textloom.llm import kernels as K
+from textloom.llm.simhash import _flat
+from textloom.operators.graph import connected_components
+from textloom.runtime import materialize, small_batches
+
+#: A pair of similarity 0.8 shares no band with odds of (1 - 0.8^4)^20, 3 in 100,000.
+_BANDS, _ROWS = 20, 4
+_FACTORS = np.random.default_rng(20240301).integers(1, 2**63, _BANDS * _ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Members of a band that meet one row of their group's first text.
+_SHARE = 512
+
+
+def shingle_sets(column: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, offsets): each text's distinct shingles, in order; A-Z lower-cased, a shorter text is one shingle."""
+    data, off = K.texts_of(column)
+    data = np.where((data >= 65) & (data <= 90), data | 32, data)
+    begin, end, first = K.word_spans(data, off)
+    n = np.diff(first)
+    p = K.prefix(K.word_hashes(data, begin, end), K._Q)
+    each = np.where(n > 0, np.maximum(1, n - shingle + 1), 0)
+    row = np.repeat(np.arange(len(n)), each)
+    at = first[:-1][row] + np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
+    x = K.mix(K.span(p, at, np.minimum(at + shingle, first[1:][row]), K._Q))
+    order = np.lexsort((x, row))
+    x, row = x[order], row[order]
+    fresh = np.ones(len(x), bool)
+    fresh[1:] = (x[1:] != x[:-1]) | (row[1:] != row[:-1])
+    x, row = x[fresh], row[fresh]
+    return x, np.searchsorted(row, np.arange(len(n) + 1))
+
+
+def _signatures(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    """Of each text its set's name, two sums of hashes, and its bands' hashes; none for a text without words."""
+    for batch in K.chunks(batches, "text"):
+        x, off = shingle_sets(batch.column(1), shingle)
+        some = np.flatnonzero(np.diff(off))
+        name = np.zeros((batch.num_rows, 2), np.uint64)
+        bands = np.zeros((len(some), _BANDS), np.uint64)
+        if len(some):
+            for k in range(2):
+                name[some, k] = np.add.reduceat(K.mix(x + np.uint64(k + 1)), off[some])
+            for k, a in enumerate(_FACTORS):
+                bands[:, k // _ROWS] = K.mix(bands[:, k // _ROWS] ^ np.minimum.reduceat(x * a, off[some])) + np.uint64(k)
+        edges = np.append(0, np.cumsum(np.where(np.diff(off) > 0, _BANDS, 0))).astype(np.int32)
+        node = [f"{a:016x}{b:016x}" for a, b in name.tolist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node), pa.ListArray.from_arrays(pa.array(edges), pa.array(bands.ravel().view(np.int64)))], ["key", "node", "bands"])
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(src, dst) of the pairs (a, b, size) whose sets have a Jaccard similarity of at least `similarity`."""
+    pairs = pairs.groupBy("a", "b").agg(F.max("size").alias("size"))
+    # a group's first text is in many pairs: it is copied, so that no task gets them all
+    pairs = materialize(pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("size") / _SHARE)).alias("share")), "pairs")
+    mine = pairs.select("a", "share").distinct().join(sets.toDF("a", "set_a"), "a")
+    met = pairs.join(sets.toDF("b", "set_b"), "b").join(mine, ["a", "share"]).select("a", "b", "set_a", "set_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = []
+            for u, v in zip(batch.column(2), batch.column(3), strict=True):
+                u, v = (np.frombuffer(s.as_buffer(), np.uint64) for s in (u, v))
+                both = len(np.intersect1d(u, v, assume_unique=True)) if min(len(u), len(v)) >= similarity * max(len(u), len(v)) else 0
+                near.append(both >= similarity * (len(u) + len(v) - both) - 1e-9)
+            keep = batch.filter(pa.array(near, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([keep.column(0), keep.column(1)], ["src", "dst"])
+
+    return materialize(met.mapInArrow(run, "src string, dst string"), "links")
+
+
+def near_sets(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(key, component) of every row of docs (key, text): rows of one component are linked by near pairs.
+
+    Equal sets meet first. A band's texts are compared with its first one; where this leaves a band in
+    several components, all pairs between those are compared too, so that links lost nothing to the order.
+    """
+    small_batches(docs)
+    kind = docs.schema["key"].dataType.simpleString()
+    signed = materialize(docs.mapInArrow(lambda b: _signatures(b, shingle), f"key {kind}, node string, bands array<bigint>"), "signatures")
+    nodes = signed.groupBy("node").agg(F.first("bands").alias("bands"), F.min("key").alias("key"))
+    bands = nodes.select("node", F.explode("bands").alias("band")).groupBy("band").agg(F.collect_set("node").alias("nodes")).where("size(nodes) > 1")
+    bands = materialize(bands.select("band", F.array_sort("nodes").alias("nodes")), "bands")
+    wanted = bands.select(F.explode("nodes").alias("node")).distinct()
+    keys = nodes.join(wanted, "node").select("node", "key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in K.chunks(batches, "text"):
+            x, off = shingle_sets(batch.column(1), shingle)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[a:b].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)], pa.binary())], ["node", "set"])
+
+    rows = docs.join(keys, "key").select("node", "text").mapInArrow(run, "node string, set binary")
+    sets = materialize(rows.dropDuplicates(["node"]), "sets")
+    stars = bands.select(F.col("nodes")[0].alias("a"), F.explode(F.slice("nodes", 2, F.size("nodes") - 1)).alias("b"), F.size("nodes").alias("size"))
+    links = _verified(stars, sets, similarity)
+    linked = materialize(connected_components(links), "linked")
+    parted = bands.select("band", F.explode("nodes").alias("node")).join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    parted = parted.groupBy("band").agg(F.collect_list(F.struct("component", "node")).alias("x"), F.count_distinct("component").alias("parts")).where("parts > 1")
+    cross = parted.select("x", F.explode("x").alias("u"), F.size("x").alias("size")).select("u", "size", F.explode("x").alias("v")).where("u.component != v.component and u.node < v.node")
+    cross = cross.select(F.col("u.node").alias("a"), F.col("v.node").alias("b"), "size").join(stars.select("a", "b").distinct(), ["a", "b"], "left_anti")
+    more = _verified(cross, sets, similarity)
+    linked = connected_components(links.unionByName(more))
+    return signed.select("key", "node").join(linked, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
+
+
+def drop_near_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one row of each group of near-duplicates: the one with the least (id, hash of its text).
+
+    Near are texts whose sets of word shingles have a Jaccard similarity of at least `similarity`. Null
+    and blank texts are equal. Null ids come after all others. Of rows with one id and one text, any
+    one stays. All columns of docs come back, whatever their names.
+    """
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h")).alias("key")
+    flat = docs.select(key, F.col(text_col).alias("text")).select(_flat("key"), "text")
+    found = near_sets(flat, shingle, similarity)
+    order = F.from_json("key", f"none boolean, id {docs.schema[id_col].dataType.simpleString()}, h bigint")
+    kept = found.groupBy("component").agg(F.min_by("key", order).alias("key")).select("key")
+    rows = docs.select(F.struct("*").alias("row"), key).select("row", _flat("key")).join(kept, "key")
+    first = Window.partitionBy("key").orderBy("key")
+    return rows.withColumn("nth", F.row_number().over(first)).where("nth = 1").select("row.*")
