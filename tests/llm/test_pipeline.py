@@ -2,7 +2,6 @@
 
 import importlib.util
 
-import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
@@ -10,22 +9,10 @@ import corpus_pipeline
 from tests.conftest import DATA
 from tests.llm.conftest import words
 from tests.llm.test_linededup import brute
-from textloom.llm.simhash import fingerprint_of
+from tests.llm.test_near_sets import kept
 from textloom.runtime import materialize
 
 
-def groups(texts):
-    """Least index of each text's group of fingerprints within three bits."""
-    f = np.array([fingerprint_of((t or "").encode()) for t in texts], np.uint64)
-    comp = np.arange(len(f))
-    for i in range(len(f)):
-        for j in np.flatnonzero(np.bitwise_count(f[i] ^ f[i + 1 :]) <= 3) + i + 1:
-            a, b = comp[i], comp[j]
-            if a != b:
-                comp[comp == max(a, b)] = min(a, b)
-    return comp
-
-
 def test_stages_in_turn(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "line dedup", "SimHash near-dedup", "mixing", "packing"]
@@ -44,9 +31,7 @@ def test_stages_in_turn(spark):
     assert all(r.n_chars == len(r.text) for r in got.values())
 
     single = materialize(stage[2](spark, lined, DATA))
-    ids = sorted(got)
-    comp = groups([got[i].text for i in ids])
-    assert single.columns == columns and sorted(r.doc_id for r in single.collect()) == [ids[k] for k in sorted(set(comp.tolist()))]
+    assert single.columns == columns and sorted(r.doc_id for r in single.collect()) == kept([(i, got[i].text) for i in sorted(got)])
 
     mixed = materialize(stage[3](spark, single, DATA))
     size = single.select("text").collect()
