@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import langid, linededup, mixing, neardup, packing
+from textloom.llm import langid, linededup, mixing, packing, simhash
 from textloom.runtime import materialize
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -33,7 +33,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
-    return neardup.drop_near_sets(docs)
+    return simhash.drop_near_duplicates(docs, shingle=5, similarity=0.8)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
