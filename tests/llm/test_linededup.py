@@ -1,8 +1,11 @@
 import random
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 from tests.conftest import DATA
 from tests.llm.conftest import words
-from textloom.llm.linededup import dedup_lines
+from textloom.llm.linededup import dedup_lines, within_one_edit
 
 
 def near(a, b):
@@ -64,6 +67,30 @@ def test_random_edits(spark):
     check(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5))
 
 
+def test_thue_morse_lines(spark):
+    """Lines that differ in every word but agree under polynomials modulo a power of two; one word of many letters."""
+    t = [bin(i).count("1") % 2 for i in range(1024)]
+    a, b = (" ".join(x[k] for k in t) for x in ("ab", "ba"))
+    long = [("".join(x[k] for k in t)) for x in ("ab", "ba")]
+    rows = [(1, a), (2, b), (3, f"{long[0]} is one word of six"), (4, f"{long[1]} is one word of six"), (5, f"{long[1]} {long[0]} three four five"), (6, f"{long[0]} {long[1]} three four five")]
+    check(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3))
+
+
+def test_one_half_that_all_lines_share(spark):
+    """A boilerplate half before ever new words, and a line that all documents hold."""
+    rng = random.Random(9)
+    half = " ".join(f"h{i}" for i in range(8))
+    rows = [(i, f"{half} " + " ".join(f"v{rng.randrange(50)}" for _ in range(8)) + "\nsame line for each of them here") for i in range(150)]
+    rows += [(i + 200, rows[i][1].replace("v1", "x1", 1)) for i in range(0, 150, 3)]
+    check(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([b"a", b"b"]), max_size=6), st.lists(st.sampled_from([b"a", b"b"]), max_size=6))
+def test_edit_distance(a, b):
+    assert within_one_edit(a, b) == near(list(a), list(b))
+
+
 def test_table(spark):
     check(spark.read.parquet(f"{DATA}/documents.parquet").limit(120).repartition(3))
 
