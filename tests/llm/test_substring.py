@@ -1,6 +1,6 @@
-from collections import defaultdict
+import random
 
-from textloom.llm.substring import _keys, remove_repeats
+from textloom.llm.substring import _keys, bucket_parts, remove_repeats
 from tests.conftest import DATA
 from tests.llm.conftest import words
 
@@ -54,3 +54,29 @@ def test_equal_halves_of_text_hashes(spark):
     twins = n.groupBy("h").agg({"text": "collect_list"}).toDF("h", "t").where("size(t) > 1").head().t[:2]
     same = spark.createDataFrame([(None, x) for x in twins], "doc_id bigint, text string")
     assert same.select(*_keys("doc_id", "text")).distinct().count() == 2
+
+
+def thue_morse(n):
+    return [bin(i).count("1") % 2 for i in range(n)]
+
+
+def test_thue_morse_words(spark):
+    """Words and windows that polynomials modulo a power of two can't tell apart."""
+    a = "".join("ab"[x] for x in thue_morse(1024))
+    b = "".join("ba"[x] for x in thue_morse(1024))
+    rest = [f"w{i}" for i in range(24)]
+    rows = [(1, " ".join([a, *rest])), (2, " ".join([b, *rest])), (3, " ".join(["ab"[x] for x in thue_morse(1024)])), (4, " ".join(["ba"[x] for x in thue_morse(1024)]))]
+    for k in (20, 1024):
+        assert sorted(map(tuple, remove_repeats(spark.createDataFrame(rows, "doc_id int, text string"), k=k).collect())) == brute(rows, k)
+
+
+def test_phrases_that_all_documents_hold(spark):
+    """Four words that recur in ever new surroundings: buckets are cut into parts, and nothing is lost."""
+    rng = random.Random(6)
+    phrases = [" ".join(f"p{i}{j}" for j in range(4)) for i in range(9)]
+    rows = [(i, " ".join(f"{phrases[rng.randrange(9)]} " + " ".join(f"u{rng.randrange(10**6)}" for _ in range(6)) for _ in range(12))) for i in range(150)]
+    rows += [(i + 500, t) for i, t in rows[:40]]
+    df = spark.createDataFrame(rows, "doc_id int, text string").repartition(6)
+    parts = bucket_parts(df, "text", 20, 64)
+    assert parts.max() > 2 and (parts == 1).sum() > 30
+    assert sorted(map(tuple, remove_repeats(df).collect()), key=str) == brute(rows, 20)

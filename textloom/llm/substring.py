@@ -58,16 +58,59 @@ def _runs(docs: np.ndarray, text: np.ndarray, check: np.ndarray, start: np.ndarr
     return np.flatnonzero(fresh)
 
 
+def _anchors(words: np.ndarray, k: int) -> np.ndarray:
+    """The least hash of a run of _ANCHOR words in each window of k words."""
+    width = min(_ANCHOR, k)
+    return K.sliding_min(K.window_hashes(words, width, 0x5851F42D4C957F2D), k - width + 1)
+
+
+def _windows(first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of the windows of k words that lie in one text, their texts)."""
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    most = max(0, len(row) - k + 1)
+    keep = np.flatnonzero(row[:most] == row[len(row) - most :])
+    return keep, row[keep]
+
+
+def bucket_parts(docs: DataFrame, text_col: str, k: int, buckets: int, bins: int = 1 << 16) -> np.ndarray:
+    """Into how many parts each bin of buckets is cut, so that parts have about as many windows each.
+
+    A phrase that many documents hold in different surroundings draws their windows into one bucket; all
+    windows of all documents are counted by bin, bucket modulo `bins`, a sum per task and bin.
+    """
+    bins = min(bins, buckets)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(bins, np.int64)
+        for batch in K.chunks(batches, "text"):
+            data, off = K.texts_of(batch.column(0))
+            begin, end, first = K.word_spans(data, off)
+            keep, _ = _windows(first, k)
+            if len(keep):
+                bucket = K.mix(_anchors(K.word_hashes(data, begin, end), k)[keep]) % np.uint64(buckets)
+                total += np.bincount((bucket % np.uint64(bins)).astype(np.int64), minlength=bins)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["bin", "n"])
+
+    # a row per bin: 65,536 at most
+    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "bin int, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
+    found = np.zeros(bins, np.int64)
+    found[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
+    return np.maximum(1, -(-found // max(1, 2 * (int(found.sum()) // bins))))
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 20, bucket_bytes: int = 2 << 20) -> DataFrame:
     """(doc, text_hash, text_check, start, end): the maximal spans of words that windows of k words starting earlier elsewhere repeat.
 
     A task hashes every window of its documents and settles repeats among them at once, so that a
     passage that many documents share leaves a task once. What remains goes, in runs of neighbouring
     windows, to the bucket that the least anchor inside the window names; equal windows have equal
-    anchors and so meet. There each hash is counted and all its places but the first become spans.
+    anchors and so meet. A bucket that a frequent phrase would fill is cut into parts by the windows' own
+    hashes. There each hash is counted and all its places but the first become spans.
     """
     small_batches(docs)
     buckets = parts_for(docs, text_col, bucket_bytes, 8)
+    parts = bucket_parts(docs, text_col, k, buckets)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = 0
@@ -78,19 +121,18 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             data, off = K.texts_of(batch.column(3))
             begin, end, first = K.word_spans(data, off)
             words = K.word_hashes(data, begin, end)
-            hashes = K.window_hashes(words, k)
-            row = np.repeat(np.arange(len(ids)), np.diff(first))
-            keep = np.flatnonzero(row[: len(hashes)] == row[k - 1 :][: len(hashes)])
+            keep, row = _windows(first, k)
             if not len(keep):
                 continue
-            anchor = K.sliding_min(K.window_hashes(words, _ANCHOR, 0x5851F42D4C957F2D), k - _ANCHOR + 1)[keep]
-            hashes, row = hashes[keep], row[keep]
+            anchor, hashes = _anchors(words, k)[keep], K.window_hashes(words, k)[keep]
             start = (keep - first[row]).astype(np.int64)
             doc, text, check = ids[row], texts[row], checks[row]
             again = _repeats(hashes, doc, start)
             found = _spans(doc[again], text[again], check[again], start[again], k)
             turn += 1
             bucket = (K.mix(anchor) % np.uint64(buckets)).astype(np.int64)
+            part = (K.mix(hashes ^ np.uint64(0x2545F4914F6CDD1D)) % parts[bucket % len(parts)].astype(np.uint64)).astype(np.int64)
+            bucket += buckets * part
             left = np.flatnonzero(~again)
             hashes, doc, text, check, start, bucket = (x[left] for x in (hashes, doc, text, check, start, bucket))
             at = _runs(doc, text, check, start, bucket)
@@ -110,7 +152,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 out_bucket.append(turn % buckets)
                 heads.append(np.rec.fromarrays([found["doc"], found["text"], found["check"], found["start"], found["end"] - found["start"]], dtype=_RUN).tobytes())
                 bodies.append(None)
-            yield pa.RecordBatch.from_arrays([pa.array(out_bucket, pa.int32()), pa.array(heads, pa.binary()), pa.array(bodies, pa.binary())], ["bucket", "runs", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array(out_bucket, pa.int64()), pa.array(heads, pa.binary()), pa.array(bodies, pa.binary())], ["bucket", "runs", "hashes"])
 
     def settle(table: pa.Table) -> pa.Table:
         heads = [np.frombuffer(x, _RUN) for x in table.column("runs").to_pylist()]
@@ -130,7 +172,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.table([*map(pa.array, cols[:3]), *(pa.array(c.astype(np.int32)) for c in cols[3:])], names=["doc", "text_hash", "text_check", "start", "end"])
 
     rows = docs.select(*_keys(id_col, text_col), F.col(text_col).alias("text"))
-    sent = rows.mapInArrow(scan, "bucket int, runs binary, hashes binary")
+    sent = rows.mapInArrow(scan, "bucket bigint, runs binary, hashes binary")
     return materialize(sent.groupBy("bucket").applyInArrow(settle, "doc bigint, text_hash bigint, text_check bigint, start int, end int"), "spans")
 
 
