@@ -1,6 +1,9 @@
 import re
+import tracemalloc
 from collections import Counter
 
+import numpy as np
+
 from tests.conftest import DATA
 from tests.llm.conftest import words
 from textloom.llm.quality import RULES, ablations, apply_policy, ledger, policy_mask
@@ -38,6 +41,27 @@ def test_lines(spark):
     check(spark.createDataFrame(list(enumerate(rows)), "doc_id int, text string").coalesce(1))
 
 
+def test_thue_morse_lines(spark):
+    """Lines and windows that polynomials modulo a power of two can't tell apart; a line that is only white space apart is another line."""
+    t = [bin(i).count("1") % 2 for i in range(1024)]
+    a, b = ("".join(x[k] for k in t) for x in ("ab", "ba"))
+    rows = [f"{a}\n{b}", f"{a} {b} c\n{b} {a} c", f"{a} x {b} y {a} x {b}", "a b\na  b\na b"]
+    check(spark.createDataFrame(list(enumerate(rows)), "doc_id int, text string"))
+
+
+def test_long_text_needs_bounded_memory():
+    """A text of 32 MB: about ten bytes of memory for each of its own."""
+    from textloom.llm.quality import _measure
+
+    one = b"some words of a line that goes on for a while and ends here\n"
+    data = np.frombuffer(one * (32_000_000 // len(one)), np.uint8)
+    tracemalloc.start()
+    found = _measure(data, np.array([0, len(data)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found[0][0] == 14 * (len(data) // len(one)) and peak < 25 * len(data)
+
+
 def test_table(spark):
     check(spark.read.parquet(f"{DATA}/documents.parquet"))
 

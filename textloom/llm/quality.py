@@ -44,59 +44,52 @@ def policy_mask(policy: str) -> int:
 
 def _sums(flags: np.ndarray, edges: np.ndarray) -> np.ndarray:
     """How many flags hold between each two edges."""
-    total = np.zeros(len(flags) + 1, np.int64)
-    np.cumsum(flags, out=total[1:])
-    return np.diff(total[edges])
+    out, full = np.zeros(len(edges) - 1, np.int64), np.flatnonzero(np.diff(edges))
+    if len(full):
+        # a sum goes on to the next start: between them there are none but empty ranges
+        out[full] = np.add.reduceat(flags[: edges[-1]], edges[full], dtype=np.int64)
+    return out
+
+
+def _repeated(lines: list[bytes]) -> int:
+    return len(lines) - len(set(lines))
 
 
 def _measure(data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
     begin, end, first = K.word_spans(data, off)
     n_words = np.diff(first)
-    sep = K._SEPARATOR[data]
-    letters = _LETTER[data] | (data >= 0xC3)
-    lettered = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(letters, out=lettered[1:])
-
-    # lines: from a text's start or behind a line feed, to the next line feed or the text's end
-    cut = np.flatnonzero(data == 10)
-    row = np.concatenate([np.arange(len(off) - 1), np.searchsorted(off, cut, "right") - 1])
-    start = np.concatenate([off[:-1], cut + 1])
-    order = np.lexsort((start, row))
-    row, start = row[order], start[order]
-    stop = np.append(start[1:] - 1, 0)
-    last = np.append(np.flatnonzero(np.diff(row)), len(row) - 1) if len(row) else np.zeros(0, np.int64)
-    stop[last] = off[1:][row[last]]
-    worded = np.searchsorted(begin, start) < np.searchsorted(begin, stop)
-    p = K.prefix(K._VALUE[data], K._R)
-    line = K.mix(K.span(p, start, stop, K._R) ^ K.mix((stop - start).astype(np.uint64)))[worded]
-    row = row[worded]
-    order = np.lexsort((line, row))
-    same = np.zeros(len(order), bool)
-    same[1:] = (line[order][1:] == line[order][:-1]) & (row[order][1:] == row[order][:-1])
-    n_dup = np.bincount(row[order][same], minlength=len(off) - 1)
-    n_lines = np.bincount(row, minlength=len(off) - 1)
-
-    # windows of three words of one text, found twice or more in it
-    windows = K.window_hashes(K.word_hashes(data, begin, end), 3)
-    doc = np.repeat(np.arange(len(off) - 1), n_words)
-    at = np.flatnonzero(doc[: len(windows)] == doc[2:][: len(windows)])
-    key = K.mix(windows[at] ^ K.mix(doc[at].astype(np.uint64) + np.uint64(1)))
-    order = np.argsort(key, kind="stable")
-    same = key[order][1:] == key[order][:-1]
-    hit = np.zeros(len(order), bool)
+    lettered = np.logical_or.reduceat(_LETTER[data] | (data >= 0xC3), begin) if len(begin) else np.zeros(0, bool)
+
+    # lines with a word, compared by their bytes
+    lines = [[x for x in data[a:b].tobytes().split(b"\n") if x and not x.isspace()] for a, b in zip(off[:-1], off[1:], strict=True)]
+    n_dup = np.array([_repeated(x) for x in lines], np.int64)
+    n_lines = np.array([len(x) for x in lines], np.int64)
+    del lines
+
+    # windows of three words of one text, found twice or more in it: equal keys, then equal words
+    words = K.word_hashes(data, begin, end)
+    doc = np.repeat(np.arange(len(off) - 1, dtype=np.int32), n_words)
+    at = np.flatnonzero(doc[: max(0, len(doc) - 2)] == doc[2:])
+    key = K.mix(K.mix(K.mix(words[at]) + words[at + 1]) + words[at + 2])
+    at = at[np.lexsort((key, doc[at]))]
+    a, b = at[:-1], at[1:]
+    same = doc[a] == doc[b]
+    for k in range(3):
+        same &= words[a + k] == words[b + k]
+    hit = np.zeros(len(at), bool)
     hit[1:] |= same
     hit[:-1] |= same
     covered = np.zeros(len(begin) + 3, bool)
     for k in range(3):
-        covered[at[order[hit]] + k] = True
+        covered[at[hit] + k] = True
     return [
         n_words,
-        _sums(~sep & ((data & 0xC0) != 0x80), off),
+        _sums(~K._SEPARATOR[data] & ((data & 0xC0) != 0x80), off),
         _sums(_SYMBOLS[data], off),
         n_dup,
         _sums(covered[: len(begin)], first),
         n_lines,
-        _sums(lettered[end] > lettered[begin], first),
+        _sums(lettered, first),
         _sums(_MARKS[data], off),
         _sums(_UPPER[data], off),
         _sums(_LETTER[data], off),
