@@ -12,218 +12,291 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm import labelled_pages
 from textloom.runtime import small_batches
 
 # HTML's element names by what they mean here.
-_SILENT = "script style noscript template svg canvas iframe object math head select button textarea audio video map dialog"
-_BLOCK = "address article aside blockquote body br-p center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul caption title"
+_SILENT = "noscript template svg canvas object select audio video dialog head"
+_RAW = "script style textarea iframe title xmp"
+_BLOCK = "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul caption"
 _HOLDERS = "nav header footer aside form article main section div ul ol dl table td figure fieldset menu details blockquote"
-_STICKY = "nav footer aside menu"
-# Words of class, id and role attributes that mark a container as not the article, or as the article.
-_AROUND = "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored sponsors promo promos promotion cookie cookies consent gdpr notice notices notification notifications alert alerts popup popups modal overlay newsletter subscribe subscription signup login signin register share sharing social follow sidebar sidebars side aside widget widgets related recommend recommended recommendations trending popular more-links nav navbar navigation navs menu menus breadcrumb breadcrumbs footer foot header masthead topbar toolbar copyright disclaimer pagination pager paging search searchbox form feedback contentinfo complementary taboola outbrain skip"
-_REMARKS = "comment comments reply replies respond discussion disqus remarks responses"
-_INSIDE = "article content post entry story main articlebody maincontent body-text bodytext prose text"
+_STICKY = "nav footer aside menu form fieldset"
+# Words of class, id and role attributes that hint at a container that is not the article, that are of no account, or that hint at the article.
+_AROUND = "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored sponsors promo promos promotion cookie cookies consent gdpr notice notices notification notifications alert alerts popup popups modal overlay newsletter subscribe subscription signup login signin register share sharing social follow sidebar sidebars side aside widget widgets related recommend recommended recommendations trending popular nav navbar navigation navs menu menus breadcrumb breadcrumbs footer foot header masthead topbar toolbar copyright disclaimer pagination pager paging search searchbox form feedback contentinfo complementary skip tags comment comments reply replies respond discussion remarks responses"
+_ANY = "bar box block inner outer wrap wrapper container list item items area section group top bottom left right main site page row col link links buttons text module slot unit the"
+_INSIDE = "article content post entry story main articlebody maincontent body bodytext prose text"
+# Words that notices, forms and remarks are full of.
+_CUES = "advertisement sponsored subscribe subscribers unsubscribe newsletter inbox cookie cookies consent accept agree privacy policy terms imprint copyright \u00a9 rights reserved login log sign comment comments reply share tweet print ago related like follow newsletter settings skip your read"
 
 _words = lambda x: frozenset(x.split())
-SILENT, BLOCK, HOLDERS, STICKY, AROUND, REMARKS, INSIDE = map(_words, (_SILENT, _BLOCK, _HOLDERS, _STICKY, _AROUND, _REMARKS, _INSIDE))
-
-_COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
-# Elements whose content is no markup run to their end tag or the page's end; all names end at white space, "/" or ">".
-_RAW = "script|style|textarea|iframe"
-_RAW_RE = re.compile(rf"<({_RAW})(?=[\s/>])[^>]*?(?:/>|>.*?(?:</\1(?=[\s/>])[^>]*>|\Z))", re.S | re.I)
-_SOFT = "|".join(sorted(SILENT - {"head", *_RAW.split("|")}))
-_SOFT_RE = re.compile(rf"<(/?)({_SOFT})(?=[\s/>])[^>]*>", re.I)
+SILENT, RAW, BLOCK, HOLDERS, STICKY, AROUND, ANY, INSIDE, CUES = map(_words, (_SILENT, _RAW, _BLOCK, _HOLDERS, _STICKY, _AROUND, _ANY, _INSIDE, _CUES))
 #: Silent elements that can't hold another of their kind: the next one's start tag shows that the end tag is missing.
-_FLAT = _words("button select audio video")
-_BLOCK_RE = re.compile("</?(?:" + "|".join(sorted(BLOCK - {"option", "optgroup"})) + r")(?=[\s/>])", re.I)
+_FLAT = _words("select audio video head")
 #: What may stand in a page's head; any other tag or text ends it, as its end tag is optional.
-_IN_HEAD = _words("head html base basefont bgsound link meta title noframes")
-_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)(?:>|(?=<)|\Z)")
+_IN_HEAD = _words("head html base basefont bgsound link meta title noframes script style template noscript")
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _NAMED = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
+_RAW_END = {x: re.compile(rf"</{x}(?=[\s/>])", re.I) for x in RAW}
 
 
 @dataclass
 class Block:
-    """A flat run of text: its words, how many of them are in links, and what contains it."""
+    """A flat run of text: its words, how many of them are in links or buttons, and what contains it."""
 
     text: str
     words: int
     linked: int
-    around: bool  # in a container that is not the article
+    against: int  # how strongly its containers' names speak against it: 2 by all of a name, 1 by some of it
+    sticky: bool  # in an element that holds what stands around an article, or a form
     inside: bool  # in the article's container
     heading: bool
+    holder: int  # its container's number; containers are numbered as they open
+
+
+class _Ends:
+    """Finds the end of a tag; what a page has no more of is not looked for again, so that reading is linear."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {c: page.rfind(c) for c in "<>\"'"}
+
+    def find(self, c: str, at: int) -> int:
+        return self.page.find(c, at) if at <= self.last[c] else -1
+
+    def tag(self, at: int) -> tuple[int, int]:
+        """(end of the attributes, start of what follows) of the tag whose name ends at `at`."""
+        close, following = self.find(">", at), self.find("<", at)
+        if close < 0 or 0 <= following < close:
+            # a quoted value may hold either sign; a tag without an end stops at the next one
+            i = at
+            while True:
+                near = [x for x in (self.find(c, i) for c in "\"'<>") if x >= 0]
+                if not near:
+                    return len(self.page), len(self.page)
+                i = min(near)
+                if self.page[i] == ">":
+                    return i, i + 1
+                if self.page[i] == "<":
+                    return i, i
+                quoted = self.find(self.page[i], i + 1)
+                if self.page[i - 1] != "=" or quoted < 0 or quoted - i > 10_000:
+                    i += 1
+                else:
+                    i = quoted + 1
+        for c in "\"'":
+            begin = self.page.find("=" + c, at, close)
+            if begin >= 0 and self.page.count(c, at, close) % 2:
+                end = self.find(c, close)
+                if 0 <= end < begin + 10_000:
+                    close = self.find(">", end)
+                    return (close, close + 1) if close >= 0 else (len(self.page), len(self.page))
+        return close, close + 1
+
+
+def tokens(page: str) -> list[tuple[str, str, str]]:
+    """(kind, name, attributes or text): kind is t for text, s for a start tag, e for an end tag; one pass over the page."""
+    out: list[tuple[str, str, str]] = []
+    ends, at, n = _Ends(page), 0, len(page)
+    no_end: set[str] = set()
+    while at < n:
+        lt = page.find("<", at)
+        if lt < 0:
+            out.append(("t", "", page[at:]))
+            break
+        if lt > at:
+            out.append(("t", "", page[at:lt]))
+        if page.startswith(("<!", "<?"), lt):
+            sign = "-->" if page.startswith("<!--", lt) else "]]>" if page.startswith("<![CDATA[", lt) else ">"
+            end = -1 if sign in no_end else page.find(sign, lt + 2)
+            if end < 0:
+                no_end.add(sign)
+                end = ends.find(">", lt) if sign != ">" else -1
+                sign = ">"
+            at = end + len(sign) if end >= 0 else n
+            out.append(("t", "", " "))
+            continue
+        m = _NAME.match(page, lt)
+        if not m:
+            out.append(("t", "", "<"))
+            at = lt + 1
+            continue
+        stop, at = ends.tag(m.end())
+        name, attributes = m[1].lower(), page[m.end() : stop]
+        kind = "e" if page[lt + 1] == "/" else "s"
+        if kind == "s" and name in RAW:
+            found = None if name in no_end or attributes.rstrip().endswith("/") and name != "script" else _RAW_END[name].search(page, at)
+            if found:
+                at = ends.tag(found.end())[1]
+            else:
+                no_end.add(name)
+                if name in ("script", "style") and not attributes.rstrip().endswith("/"):
+                    at = n
+                elif name == "title":
+                    at = max(at, page.find("<", at)) if page.find("<", at) >= 0 else n
+                else:
+                    out.append(("s", "object", ""))
+            out.append(("t", "", " "))
+            continue
+        if attributes.rstrip().endswith("/") and name in SILENT:
+            continue
+        out.append((kind, name, attributes))
+    return out
 
 
-def _role_of(tag: str, attributes: str, inside: bool) -> tuple[int, bool]:
-    """(sign, sticky) of a container: 1 article, -1 not the article, 0 neither; sticky: nothing inside it is.
-
-    inside: it stands in the article, whose own header is part of it.
-    """
-    names: list[str] = []
-    if attributes:
-        for m in _NAMED.finditer(attributes):
-            key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-            if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
-                return -1, True
-            if key in ("class", "id", "role"):
-                for name in value.split():
-                    if not name.lower().startswith(("has-", "with-", "no-")):
-                        names += [*(p.lower() for p in _PART.findall(name)), name.lower()]
-    if not REMARKS.isdisjoint(names):
-        return -1, True
-    if tag in STICKY:
-        return -1, True
-    if tag == "main" or tag == "article":
-        return 1, False
-    hits = AROUND & set(names)
-    if (hits or tag == "header") and hits <= {"header", "masthead"} and (inside or not INSIDE.isdisjoint(names)):
-        return 0, False
-    if hits:
-        return -1, bool(hits & {"sidebar", "sidebars", "navigation", "nav", "menu"})
-    if tag in ("header", "form", "fieldset"):
-        return -1, False
-    return (1, False) if not INSIDE.isdisjoint(names) else (0, False)
-
-
-def _without_silent(page: str) -> str:
-    """The page without elements that never show; one without an end tag goes up to the next block's tag."""
-    page = _RAW_RE.sub(" ", page)
-    tags = list(_SOFT_RE.finditer(page))
+def _shown(found: list[tuple[str, str, str]]) -> Iterator[tuple[str, str, str]]:
+    """The tokens outside silent elements; one without an end tag ends at the next block's tag, a head at its first stranger."""
     ends: dict[int, int] = {}
     open_: dict[str, list[int]] = {}
-    for m in tags:
-        name = m[2].lower()
-        if m[1]:
-            if open_.get(name):
-                ends[open_[name].pop()] = m.end()
-        elif m[0].endswith("/>"):
-            ends[m.start()] = m.end()
-        elif name in _FLAT:
-            open_[name] = [m.start()]
-        else:
-            open_.setdefault(name, []).append(m.start())
-    out, at = [], 0
-    for m in tags:
-        if m[1] or m.start() < at:
+    for k, (kind, name, _) in enumerate(found):
+        if name in SILENT and name != "head":
+            if kind == "e":
+                if open_.get(name):
+                    ends[open_[name].pop()] = k
+            elif name in _FLAT:
+                open_[name] = [k]
+            else:
+                open_.setdefault(name, []).append(k)
+    following, nearest = [len(found)] * (len(found) + 1), len(found)
+    for k in range(len(found) - 1, -1, -1):
+        if found[k][1] in BLOCK - {"option", "optgroup"} - SILENT:
+            nearest = k
+        following[k] = nearest
+    k, head = 0, False
+    while k < len(found):
+        kind, name, text = found[k]
+        if name == "head":
+            head = kind == "s"
+        elif head and (kind == "t" and text.strip() or kind != "t" and name not in _IN_HEAD):
+            if kind != "e" or name == "body":
+                head = False
+        if kind == "s" and name in SILENT and name != "head":
+            k = ends[k] + 1 if k in ends else following[k + 1]
+            yield ("t", "", " ")
             continue
-        out.append(page[at : m.start()])
-        out.append(f"<{m[2]}></{m[2]}>" if m[2].lower() in ("dialog", "object", "map") else " ")
-        at = ends.get(m.start(), 0)
-        if not at:
-            block = _BLOCK_RE.search(page, m.end())
-            at = block.start() if block else len(page)
-    return "".join([*out, page[at:]])
-
-
-def blocks(page: str) -> list[Block]:
-    """The page's text blocks in order; markup that never shows is left out, character references are decoded."""
-    page = _without_silent(_COMMENT.sub(" ", page))
+        if not head and name != "head" and not (kind == "e" and name in SILENT):
+            yield found[k]
+        k += 1
+
+
+def _hints(attributes: str) -> tuple[int, bool, bool]:
+    """(against, inside, hidden) of a container by its class, id and role."""
+    against, inside, hidden = 0, False, False
+    for m in _NAMED.finditer(attributes):
+        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
+            hidden = True
+        if key in ("class", "id", "role"):
+            for name in value.split():
+                if not name.lower().startswith(("has-", "with-", "no-", "is-")):
+                    parts = {x.lower() for x in _PART.findall(name)} or {name.lower()}
+                    if parts & AROUND:
+                        against = max(against, 2 if all(x in AROUND or x in ANY or x.isdigit() for x in parts) else 1)
+                    elif parts & INSIDE:
+                        inside = True
+    return against, inside, hidden
+
+
+def blocks(page: str) -> tuple[list[Block], list[int]]:
+    """The page's text blocks in order, and each container's parent; what never shows is left out, references are decoded."""
     out: list[Block] = []
-    stack: list[tuple[str, int, bool]] = []
+    parents = [-1]
+    # name, number, against, sticky, inside, hidden: each what it is or stands in
+    stack: list[tuple[str, int, int, bool, bool, bool]] = [("", 0, 0, False, False, False)]
     parts: list[tuple[str, bool]] = []
-    link, silent, heading, head = 0, "", False, False
+    link, button, heading = 0, 0, False
 
     def close() -> None:
         if parts:
             text = " ".join(html.unescape("".join(t for t, _ in parts)).split())
-            if text:
+            _, number, against, sticky, inside, hidden = stack[-1]
+            if text and not hidden:
                 linked = sum(len(html.unescape(t).split()) for t, a in parts if a)
-                sign = next((s for _, s, _ in reversed(stack) if s), 0)
-                around = any(k for _, _, k in stack) or sign < 0
-                out.append(Block(text, len(text.split()), linked, around, sign > 0 and not around, heading))
+                out.append(Block(text, len(text.split()), linked, against, sticky, inside, heading, number))
             parts.clear()
 
-    at = 0
-    for m in _TAG.finditer(page):
-        if m.start() > at and not silent:
-            head = head and not page[at : m.start()].strip()
-            if not head:
-                parts.append((page[at : m.start()], link > 0))
-        at = m.end()
-        end, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        tag = tag.lower()
-        if silent:
-            silent = "" if end and tag == silent or tag == "body" else silent
-            head = head and tag != "body"
-            continue
-        if head and tag not in _IN_HEAD:
-            if end and tag != "body":
-                continue
-            head = False
-        if tag == "head":
-            close()
-            head = not end
-        elif tag in ("title", "dialog", "object", "map"):
-            close()
-            silent = "" if end else tag
+    for kind, tag, attributes in _shown(tokens(page)):
+        if kind == "t":
+            parts.append((attributes, link > 0 or button > 0))
         elif tag == "a":
-            link = 0 if end else 1
-        elif tag == "br" or tag == "wbr":
-            parts.append((" " if tag == "br" else "", False))
+            link = int(kind == "s")
+        elif tag in ("button", "label"):
+            button = int(kind == "s")
+        elif tag in ("br", "wbr", "img", "input"):
+            parts.append(("" if tag == "wbr" else " ", False))
         elif tag in BLOCK:
             close()
-            heading = tag[0] == "h" and tag[1:].isdigit() and not end
+            heading = tag[0] == "h" and tag[1:].isdigit() and kind == "s"
+            button = 0
             if tag in HOLDERS and not attributes.rstrip().endswith("/"):
-                if not end:
-                    stack.append((tag, *_role_of(tag, attributes, next((s for _, s, _ in reversed(stack) if s), 0) > 0)))
+                if kind == "s":
                     link = 0
-                elif any(t == tag for t, _, _ in stack):
+                    _, number, against, sticky, inside, hidden = stack[-1]
+                    mine, within, unseen = _hints(attributes)
+                    if tag == "header" and inside:
+                        mine = 0
+                    if tag in ("article", "main") or within and not mine:
+                        inside = True
+                    parents.append(number)
+                    stack.append((tag, len(parents) - 1, max(against, mine, 2 if tag == "header" and not inside else 0), sticky or tag in STICKY, inside, hidden or unseen))
+                elif any(t == tag for t, *_ in stack[-64:]):
                     while stack.pop()[0] != tag:
                         pass
-    if not silent:
-        parts.append((page[at:], link > 0))
     close()
-    return out
+    return out, parents
+
+
+FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "against", "sticky", "inside", "page_has_inside", "heading", "cues", "under_cue", "in_main", "share")
 
 
-FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "around", "inside", "page_has_inside", "heading")
+def _masses(found: list[Block], parents: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Per block: whether it is in the deepest container with most of the page's plain words, and its container's share of them."""
+    plain = np.array([b.words if b.linked <= 0.3 * b.words and not b.sticky else 0 for b in found], float)
+    mass = np.zeros(len(parents))
+    np.add.at(mass, [b.holder for b in found], plain)
+    own = mass.copy()
+    for k in range(len(parents) - 1, 0, -1):
+        mass[parents[k]] += mass[k]
+    main = 0
+    for k in range(1, len(parents)):
+        if parents[k] == main and mass[k] >= 0.6 * mass[0] and mass[0]:
+            main = k
+    within = np.zeros(len(parents), bool)
+    within[main] = True
+    for k in range(main + 1, len(parents)):
+        within[k] = within[parents[k]]
+    at = np.array([b.holder for b in found])
+    return within[at], own[at] / max(1.0, mass[0])
 
 
-def features(found: list[Block]) -> np.ndarray:
+def features(found: list[Block], parents: list[int]) -> np.ndarray:
     n = np.array([b.words for b in found], float)
     density = np.array([b.linked for b in found], float) / np.maximum(n, 1)
-    flags = np.array([[b.around, b.inside, 0, b.heading] for b in found], float)
-    flags[:, 2] = flags[:, 1].any()
+    cues = np.array([sum(w.strip(".,:;!?").lower() in CUES for w in b.text.split(maxsplit=40)[:40]) for b in found]) / np.minimum(np.maximum(n, 1), 40)
+    # a heading's cues hold for what follows, up to the next heading
+    under, cue = [], False
+    for b, c in zip(found, cues, strict=True):
+        if b.heading:
+            cue = c >= 0.3 or b.against > 0
+        under.append(cue and not b.heading)
+    main, share = _masses(found, parents)
+    inside = np.array([b.inside for b in found], float)
+    flags = [[b.against, b.sticky] for b in found]
     pad = lambda x, before: np.concatenate([[0.0], x[:-1]]) if before else np.concatenate([x[1:], [0.0]])
-    return np.column_stack([n, density, pad(n, 1), pad(density, 1), pad(n, 0), pad(density, 0), flags])
-
-
-# Labelled pages, block by block: words, linked words, container (a around, i inside, - neither, h heading of neither,
-# H heading inside), label (1 main text). One page a line.
-LABELLED = """
-6,6,a,0 9,0,a,0 8,0,H,1 30,0,i,1 85,2,i,1 1,0,i,1 120,5,i,1 4,0,i,1 14,1,a,0
-3,3,a,0 40,0,a,0 5,0,H,1 2,0,i,1 60,8,i,1 12,0,a,0 3,0,i,1 45,0,i,1 30,0,a,0 8,6,a,0
-10,10,-,0 7,0,h,1 55,1,-,1 90,4,-,1 3,0,-,1 70,0,-,1 28,1,-,1 9,9,-,0 8,8,-,0 11,11,-,0 7,1,-,0
-2,2,-,0 2,2,-,0 3,3,-,0 9,0,h,1 110,3,-,1 48,0,-,1 15,0,-,1 64,6,-,1 5,5,-,0 6,6,-,0 4,2,-,0
-25,0,-,0 1,1,-,0 12,0,H,1 44,0,i,1 9,0,i,1 7,7,i,1 33,20,i,1 26,0,-,0 60,0,-,0
-18,0,-,0 6,6,-,0 4,0,h,0 3,3,-,0 10,0,H,1 80,0,i,1 2,0,i,1 16,0,i,1 50,0,-,0 22,2,-,0
-1,1,a,0 1,1,a,0 1,1,a,0 8,0,h,1 42,0,-,1 77,1,-,1 19,0,-,1 35,0,a,0 52,1,a,0 10,4,-,0
-150,0,-,1 95,2,-,1 8,0,h,1 60,0,-,1 3,3,-,0 12,5,-,0
-12,0,a,0 31,0,a,0 20,0,a,0 6,6,a,0
-4,4,-,0 5,5,-,0 3,2,-,0 6,6,-,0 5,1,-,0
-20,0,-,1 34,0,-,1 11,0,-,1 25,0,-,1
-5,0,h,1 18,0,-,1 40,0,-,1 4,4,-,0 4,4,-,0 9,0,-,0
-3,0,i,1 1,0,i,1 2,2,i,1 5,0,i,1 4,0,-,0
-5,5,a,0 7,0,H,1 50,0,i,1 3,0,i,1
-9,0,H,1 2,0,i,1 1,0,i,1 40,1,i,1 4,4,i,1 12,12,-,0
-6,0,h,1 30,0,-,1 1,0,-,1 40,0,-,1 2,2,-,0
-8,0,h,1 22,0,-,1 2,0,-,1 35,1,-,1 5,5,-,0 6,0,-,0
-6,6,-,0 5,5,-,0 7,0,h,1 28,0,-,1 4,0,-,1 51,2,-,1 1,1,-,0 1,1,-,0
-30,0,i,1 5,0,i,1
-11,1,i,1
-4,4,a,0 2,0,i,1 60,1,i,1 1,0,i,1
-"""
-
-
-def labelled_table() -> tuple[np.ndarray, np.ndarray]:
+    return np.column_stack([n, density, pad(n, 1), pad(density, 1), pad(n, 0), pad(density, 0), np.array(flags, float), inside, np.full(len(n), inside.any()), [b.heading for b in found], cues, under, main, share])
+
+
+def labelled_table(pages: list[str] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the blocks of labelled pages."""
     x, y = [], []
-    for line in LABELLED.split("\n"):
-        if line.strip():
-            rows = [b.split(",") for b in line.split()]
-            x.append(features([Block("", int(n), int(a), c == "a", c in "iH", c in "hH") for n, a, c, _ in rows]))
-            y += [int(r[3]) for r in rows]
-    return np.concatenate(x), np.array(y)
+    for page in pages or labelled_pages.pages():
+        found, parents = blocks(page)
+        mine = [b.text.startswith(labelled_pages.MARK) for b in found]
+        for b in found:
+            b.text = b.text.removeprefix(labelled_pages.MARK)
+        x.append(features(found, parents))
+        y += mine
+    return np.concatenate(x), np.array(y, int)
 
 
 @dataclass
@@ -280,11 +353,16 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 7, least: int = 2) -> Tree:
     return Tree(np.array(f, int), np.array(b, float), np.array(left, int), np.array(right, int), np.array(s, float))
 
 
+def main_tree() -> Tree:
+    """The tree of the labelled table."""
+    return grow(*labelled_table(), depth=12)
+
+
 def main_text(page: str, tree: Tree) -> str:
-    found = blocks(page)
+    found, parents = blocks(page)
     if not found:
         return ""
-    return " ".join(b.text for b, k in zip(found, tree.predict(features(found)), strict=True) if k)
+    return " ".join(b.text for b, k in zip(found, tree.predict(features(found, parents)), strict=True) if k)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -295,7 +373,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     columns are not read. Broken markup is read as far as it goes.
     """
     small_batches(pages)
-    tree = grow(*labelled_table())
+    tree = main_tree()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
