@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from textloom.llm.embeddings import fit, near_duplicates, unit
+from textloom.llm.embeddings import MultiIndex, codewords, fit, k_means, near_duplicates, unit
 
 SCHEMA = "vec_id bigint, embedding array<float>, label int, key string, v int"
 
@@ -68,7 +68,7 @@ def test_one_large_group(spark):
 def test_traversal_is_in_order():
     rng = np.random.default_rng(1)
     x = unit(rng.normal(size=(400, 10)))
-    index = fit(x, 4000, 0.9, 0.95, per_cell=100)
+    index = fit(x, 10240, 0.9, 0.95)
     a, b = index.halves(x[:20])
     for t in (1, 3, 7, 36):
         seen = index.traverse(x[:20], t)
@@ -79,3 +79,17 @@ def test_traversal_is_in_order():
 
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_ranks_are_places_in_the_traversal():
+    rng = np.random.default_rng(2)
+    x = unit(rng.normal(size=(900, 12)))
+    index = MultiIndex(k_means(x[:, :6], 11), k_means(x[:, 6:], 11))
+    cells = index.cells(x[200:400])
+    want = (index.traverse(x[:200], 121) == cells[:, None]).argmax(1)
+    got = index.ranks(x[:200], cells)
+    assert (got >= want).all() and (got - want).max() <= 1 and (got == want).mean() > 0.9
+
+
+def test_codebooks_grow_with_the_input():
+    assert [codewords(n) for n in (1, 256 * 100, 256 * 10**6, 10**12)] == [1, 10, 1000, 4096]

@@ -13,9 +13,13 @@ from pyspark.sql import functions as F
 from textloom.operators.graph import connected_components
 from textloom.runtime import materialize, small_batches
 
-#: Vectors that fit the codebooks and the traversal; every vector is indexed.
-SAMPLE = 16_384
+#: Vectors that fit the codebooks and the traversal, and so many for each codeword where there are many; every vector is indexed.
+SAMPLE, PER_WORD = 16_384, 16
+#: Vectors that a cell of the grid has on average, and codewords of a half at most: beyond some four thousand million vectors cells grow.
+PER_CELL, WORDS = 256, 4096
 _TILE = 2048
+#: Cells whose sizes are broadcast; a larger grid's are joined.
+_BROADCAST = 1 << 18
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -29,11 +33,15 @@ def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return (x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)[None, :]
 
 
+def _nearest(x: np.ndarray, c: np.ndarray, step: int = 4096) -> np.ndarray:
+    return np.concatenate([np.zeros(0, int), *(_distances(x[lo : lo + step], c).argmin(1) for lo in range(0, len(x), step))])
+
+
 def k_means(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
     for _ in range(rounds):
-        near = _distances(x, c).argmin(1)
+        near = _nearest(x, c)
         n = np.bincount(near, minlength=len(c))
         total = np.zeros_like(c)
         np.add.at(total, near, x)
@@ -56,16 +64,19 @@ class MultiIndex:
         return _distances(x[:, :h], self.first), _distances(x[:, h:], self.second)
 
     def cells(self, x: np.ndarray) -> np.ndarray:
-        a, b = self.halves(x)
-        return a.argmin(1) * len(self.second) + b.argmin(1)
+        h = self.first.shape[1]
+        return _nearest(x[:, :h], self.first) * len(self.second) + _nearest(x[:, h:], self.second)
 
     def traverse(self, x: np.ndarray, most: int | None = None) -> np.ndarray:
         """The `visits` nearest cells of each row, nearest first: both halves' sequences, merged.
 
         The cell of the i-th and j-th nearest codewords comes behind i * j - 1 others at least, so only
-        the hyperbola i * j <= visits is looked at.
+        the hyperbola i * j <= visits is looked at, for a few rows at a time.
         """
         t = min(most or self.visits, len(self.first) * len(self.second))
+        step = max(1, (1 << 20) // (t * max(1, t.bit_length())))
+        if len(x) > step:
+            return np.concatenate([self.traverse(x[lo : lo + step], t) for lo in range(0, len(x), step)])
         a, b = self.halves(x)
         at, bt = np.argsort(a, 1, kind="stable")[:, :t], np.argsort(b, 1, kind="stable")[:, :t]
         i, j = (v.ravel() for v in np.meshgrid(np.arange(at.shape[1]), np.arange(bt.shape[1]), indexing="ij"))
@@ -76,7 +87,21 @@ class MultiIndex:
         return np.take_along_axis(at, i[order], 1) * len(self.second) + np.take_along_axis(bt, j[order], 1)
 
 
-def fit(sample: np.ndarray, rows: int, threshold: float, recall: float, per_cell: int = 256) -> MultiIndex:
+    def ranks(self, x: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """Of each row, how many cells are nearer than the given one, or as near; counted over sorted halves, without the grid."""
+        a, b = self.halves(x)
+        row = np.arange(len(x))
+        target = a[row, cells // len(self.second)] + b[row, cells % len(self.second)] + 1e-9
+        b.sort(1)
+        return np.array([int(np.searchsorted(q, t - p, "right").sum()) for p, q, t in zip(a, b, target, strict=True)]) - 1
+
+
+def codewords(rows: int) -> int:
+    """How many codewords a half has: the grid's cells grow with the input."""
+    return int(np.clip(np.sqrt(rows / PER_CELL), 1, WORDS))
+
+
+def fit(sample: np.ndarray, rows: int, threshold: float, recall: float) -> MultiIndex:
     """Codebooks from unit vectors, and how many cells to visit for the recall wanted.
 
     It is met by two kinds of pairs: the sample's own pairs at or above the threshold, and sampled
@@ -85,25 +110,20 @@ def fit(sample: np.ndarray, rows: int, threshold: float, recall: float, per_cell
     """
     rng = np.random.default_rng(11)
     h = sample.shape[1] // 2
-    k = int(np.clip(np.sqrt(rows / per_cell), 1, 256))
+    k = codewords(rows)
     index = MultiIndex(k_means(sample[:, :h], k), k_means(sample[:, h:], k))
     x = sample[rng.choice(len(sample), min(1024, len(sample)), replace=False)]
     cos = rng.uniform(threshold, 1, len(x))[:, None]
     turn = rng.normal(size=x.shape)
     turn -= (turn * x).sum(1, keepdims=True) * x
     pairs = [(x, unit(cos * x + np.sqrt(1 - cos**2) * unit(turn)))]
-    near = x @ sample.T >= threshold
-    q, y = np.nonzero(near)
-    other = np.abs(x[q] - sample[y]).max(1, initial=0) > 0
-    q, y = q[other][:20_000], y[other][:20_000]
-    if len(q) >= 30:
-        pairs.append((x[q], sample[y]))
+    q, y = np.nonzero(x @ sample.T >= threshold)
+    other = np.flatnonzero(np.abs(x[q] - sample[y]).max(1, initial=0) > 0)
+    some = rng.choice(other, min(4096, len(other)), replace=False)
+    if len(some) >= 30:
+        pairs.append((x[q[some]], sample[y[some]]))
     for a, b in pairs:
-        ranks = np.full(len(a), index.first.shape[0] * index.second.shape[0])
-        for p, r in ((a, b), (b, a)):
-            for lo in range(0, len(p), 1024):
-                seen = index.traverse(p[lo : lo + 1024], len(index.first) * len(index.second)) == index.cells(r[lo : lo + 1024])[:, None]
-                ranks[lo : lo + 1024] = np.minimum(ranks[lo : lo + 1024], seen.argmax(1))
+        ranks = np.minimum(index.ranks(a, index.cells(b)), index.ranks(b, index.cells(a)))
         index.visits = max(index.visits, int(np.quantile(ranks, recall, method="higher")) + 1)
     return index
 
@@ -158,13 +178,14 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     none = rows.where("key is null").select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"))
     if count:
-        low = -(1 << 63)
-        cut = min((1 << 63) - 1, low + int((1 << 64) * min(1.0, SAMPLE / count)))
+        low, wanted = -(1 << 63), max(SAMPLE, PER_WORD * codewords(count))
+        cut = min((1 << 63) - 1, low + int((1 << 64) * min(1.0, wanted / count)))
         sample = unique.where(F.col("key") <= cut).select("v").toArrow()
         index = fit(unit(_matrix(sample.column(0))), count, threshold, recall) if sample.num_rows else None
         if index is None:
             index = fit(unit(_matrix(unique.limit(SAMPLE).select("v").toArrow().column(0))), count, threshold, recall)
-        links, edges = _links(unique, spark.sparkContext.broadcast(index), threshold)
+        small = len(index.first) * len(index.second) <= _BROADCAST
+        links, edges = _links(unique, spark.sparkContext.broadcast(index), threshold, small)
         found = connected_components(edges).withColumnRenamed("node", "key")
         by_key = unique.select("key", "least", "n").join(links, "key", "left").join(found, "key", "left").withColumn("component", F.coalesce("component", "key"))
         least = by_key.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -173,8 +194,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     return none.select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _links(unique: DataFrame, index, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(key, links) and edges (src, dst) among distinct vectors."""
+def _links(unique: DataFrame, index, threshold: float, small: bool) -> tuple[DataFrame, DataFrame]:
+    """(key, links) and edges (src, dst) among distinct vectors; small says that the grid's sizes may be broadcast."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,15 +208,16 @@ def _links(unique: DataFrame, index, threshold: float) -> tuple[DataFrame, DataF
     kind = unique.schema["v"].dataType.simpleString()
     placed = materialize(unique.select("key", "v", "n").mapInArrow(place, f"key bigint, v {kind}, n bigint, own int, visits array<int>"), "placed")
     cells = F.explode(F.array_union("visits", F.array("own"))).alias("cell")
-    # one row per cell of the grid: 256 * 256 at most
+    # one row per cell of the grid
     tiles = lambda t, c: t.groupBy("cell").agg(F.ceil(F.count("*") / _TILE).cast("int").alias(c))
     sizes = tiles(placed.select(F.col("own").alias("cell")), "rts").join(tiles(placed.select(cells), "vts"), "cell")
     sizes = materialize(sizes, "cells")
+    sizes = F.broadcast(sizes) if small else sizes
     mine = lambda c: F.pmod(F.xxhash64("key"), c).cast("int")
     upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     columns = ["cell", "rt", "vt", "visitor", "key", "v", "n", "own", "visits"]
-    residents = placed.withColumn("cell", F.col("own")).join(F.broadcast(sizes), "cell").withColumn("rt", mine("rts")).withColumn("vt", upto("vts")).withColumn("visitor", F.lit(False))
-    visitors = placed.select("*", cells).join(F.broadcast(sizes), "cell").withColumn("vt", mine("vts")).withColumn("rt", upto("rts")).withColumn("visitor", F.lit(True))
+    residents = placed.withColumn("cell", F.col("own")).join(sizes, "cell").withColumn("rt", mine("rts")).withColumn("vt", upto("vts")).withColumn("visitor", F.lit(False))
+    visitors = placed.select("*", cells).join(sizes, "cell").withColumn("vt", mine("vts")).withColumn("rt", upto("rts")).withColumn("visitor", F.lit(True))
     visitors = visitors.withColumn("visits", F.array().cast("array<int>"))
 
     def verify(table: pa.Table) -> pa.Table:
