@@ -1,6 +1,10 @@
 import zlib
 
-from textloom.llm.langid import fit, identify, known_language
+import numpy as np
+import pyarrow as pa
+
+from textloom.llm import langid
+from textloom.llm.langid import fit, identify, known_language, train
 
 
 def test_held_out_accuracy(spark):
@@ -15,6 +19,45 @@ def test_held_out_accuracy(spark):
     assert {(r.doc_id, r.lang_pred, round(r.score, 9)) for r in again} == {(r.doc_id, r.lang_pred, round(r.score, 9)) for r in got}
 
 
+def plain_logits(model, text):
+    """Averages over a text's subwords of three to five bytes, one by one."""
+    fold = bytes(b | 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in text.encode())
+    total, n = np.zeros(len(model.langs)), 0
+    for size in (3, 4, 5):
+        for i in range(len(fold) - size + 1):
+            h = size * 0x9E3779B1 & 0xFFFFFFFF
+            for c in fold[i : i + size]:
+                h = (h ^ c) * 0x01000193 & 0xFFFFFFFF
+                h ^= h >> 15
+            total += model.weights[:, h & 0xFFFF]
+            n += 1
+    return total / max(n, 1) + model.bias
+
+
+def test_scores_against_single_subwords(monkeypatch):
+    """A model's probabilities from a text's subwords, also where a text spans many blocks."""
+    texts = ["The house of the old man", "Das Haus des alten Mannes", "", "x", "été où ça", "ab", "Ende\n  der Zeile, 1234 ###"]
+    model = train(texts * 3, ["en", "de", "de", "en", "fr", "en", "de"] * 3)
+    for block in (1 << 20, 7):
+        monkeypatch.setattr(langid, "_BLOCK", block)
+        got, score = model.predict(pa.array(texts))
+        for t, g, s in zip(texts, got, score, strict=True):
+            z = plain_logits(model, t) / model.temperature
+            p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+            if any(c.isalpha() for c in t):
+                assert g == model.langs[int(p.argmax())] and abs(s - p.max()) < 1e-5
+            else:
+                assert (g, s) == ("und", 0.0)
+
+
+def test_repeated_rows_are_learned_once(spark):
+    """One row that holds most of the table, and a text above the bound, leave the sample small."""
+    rows = [(1, "a text in English that recurs", "en")] * 3000 + [(i, f"ein Text auf Deutsch {i}", "de") for i in range(4, 40)] + [(50, "long " * 9000, "en")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(4)
+    got = identify(df).where("doc_id < 50").groupBy("lang_pred").count().collect()
+    assert {r.lang_pred: r["count"] for r in got} == {"en": 3000, "de": 36}
+
+
 def test_awkward_rows(docs):
     got = identify(docs).collect()
     assert len(got) == docs.count()

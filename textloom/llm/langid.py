@@ -27,19 +27,28 @@ for _b in range(97, 123):
     _FOLD[_b] = _FOLD[_b - 32] = _b
 
 
+#: Bytes whose subwords are hashed at once, so that a long text needs little memory.
+_BLOCK = 1 << 20
+
+
+def _buckets(x: np.ndarray, n: int) -> np.ndarray:
+    """The bucket of the subword of n bytes that starts at each byte of x, folded bytes; n - 1 fewer than x has."""
+    h = np.full(max(0, len(x) - n + 1), n * 0x9E3779B1 & 0xFFFFFFFF, np.uint32)
+    for k in range(n):
+        h ^= x[k : k + len(h)]
+        h *= np.uint32(0x01000193)
+        h ^= h >> np.uint32(15)
+    return h & np.uint32(_BUCKETS - 1)
+
+
 def _grams(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Per subword length: the bucket at each byte, and each text's range of bytes that start a subword."""
-    x = _FOLD[data].astype(np.uint32)
+    """Blocks of buckets, and each text's range of the block: a text's subwords lie within it and have 3 to 5 bytes."""
     for n in _GRAMS:
-        if len(x) < n:
-            yield np.zeros(0, np.uint32), np.zeros(len(off) - 1, np.int64), np.zeros(len(off) - 1, np.int64)
-            continue
-        h = np.full(len(x) - n + 1, n * 0x9E3779B1 & 0xFFFFFFFF, np.uint32)
-        for k in range(n):
-            h = (h ^ x[k : len(x) - n + 1 + k]) * np.uint32(0x01000193)
-            h ^= h >> np.uint32(15)
-        start = np.minimum(off[:-1], len(h))
-        yield h & np.uint32(_BUCKETS - 1), start, np.maximum(start, np.minimum(off[1:] - n + 1, len(h)))
+        for lo in range(0, len(data), _BLOCK):
+            bucket = _buckets(_FOLD[data[lo : lo + _BLOCK + n - 1]], n)
+            if len(bucket):
+                start = np.clip(off[:-1] - lo, 0, len(bucket))
+                yield bucket, start, np.maximum(start, np.clip(off[1:] - n + 1 - lo, 0, len(bucket)))
 
 
 @dataclass
@@ -58,8 +67,8 @@ class Model:
         total, n = np.zeros((len(off) - 1, len(self.langs))), np.zeros(len(off) - 1)
         for bucket, start, end in _grams(data, off):
             n += end - start
+            sums = np.zeros(len(bucket) + 1)
             for k, w in enumerate(self.weights):
-                sums = np.zeros(len(bucket) + 1)
                 np.cumsum(w[bucket], out=sums[1:])
                 total[:, k] += sums[end] - sums[start]
         return total / np.maximum(n, 1)[:, None] + self.bias
@@ -88,7 +97,7 @@ def train(texts: list[str], labels: list[str], *, epochs: int = 8, rate: float =
     bags = []
     for t in texts:
         raw = np.frombuffer(t.encode(), np.uint8)
-        bucket = np.concatenate([b for b, _, _ in _grams(raw, np.array([0, len(raw)]))])
+        bucket = np.concatenate([np.zeros(0, np.uint32), *(b[s[0] : e[0]] for b, s, e in _grams(raw, np.array([0, len(raw)])))])
         ids, n = np.unique(bucket, return_counts=True)
         bags.append((ids, (n / max(1, n.sum())).astype(np.float32)))
     rng = np.random.default_rng(seed)
@@ -135,20 +144,21 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, per_lang: int = 400, most_langs: int = 200) -> Model | None:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, per_lang: int = 400, most_langs: int = 200, most_bytes: int = 32_768) -> Model | None:
     """A model of a bounded sample: about per_lang labelled texts of each of the most_langs most frequent languages.
 
-    Rows take part whose text and language are not null and whose id is not null or held out; which of
-    them is settled by a hash of the id, so that reruns agree. None if there are no such rows.
+    Rows take part whose text and language are not null, whose text has most_bytes at most and whose id
+    is not null or held out; which of them is settled by a hash of id and text, so that reruns agree, and
+    repeated rows count once. None if there are no such rows. Every text is classified, however long.
     """
-    rows = docs.where(~held_out(id_col) & F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
+    rows = docs.where(~held_out(id_col) & F.col(id_col).isNotNull() & (F.octet_length(text_col) <= most_bytes) & F.col(lang_col).isNotNull())
     rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()
     if not counts:
         return None
-    share = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / F.lit(1 << 20)
+    share = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) / F.lit(1 << 20)
     pick = [(F.col("lang") == r.lang) & (share < min(1.0, per_lang / r.n)) for r in counts]
-    sample = rows.where(reduce(or_, pick))
+    sample = rows.where(reduce(or_, pick)).distinct()
     got = sorted((r.id, r.text, r.lang) for r in sample.collect())
     got = got or sorted((r.id, r.text, r.lang) for r in rows.limit(per_lang).collect())
     return train([g[1] for g in got], [g[2] for g in got])

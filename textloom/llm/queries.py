@@ -62,7 +62,7 @@ def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textloom.llm.langid import identify
 
-    return identify(table(spark, sf_dir, "documents")).drop("rejected")
+    return identify(table(spark, sf_dir, "documents"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
