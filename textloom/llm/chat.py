@@ -87,7 +87,11 @@ def format_turn(role: str, text: str) -> tuple[str, tuple[str, str, int, int]]:
 
 @dataclass
 class _Reading:
-    """Digests of a conversation as it is read back from its rendered text, turn by turn."""
+    """Digests of a conversation as it is read back from its rendered text, turn by turn.
+
+    The turns' digest is of the parsed roles and texts; the loss digest is of the raw text under the loss
+    mask, unescaped. The source serves only to compare.
+    """
 
     conv: object
     parser: Parser = field(default_factory=Parser)
@@ -98,16 +102,18 @@ class _Reading:
     loss_sha: object = field(default_factory=hashlib.sha256)
 
     def add(self, rendered: str, want: tuple[str, str]) -> None:
+        base, raw = self.parser.at, self.parser.rest + rendered
         self.chars += len(rendered)
         got = self.parser.feed(rendered)
         if [g[:2] for g in got] != [want]:
             raise ValueError("a turn does not come back from its conversation")
-        role, text = want
-        self.n += 1
-        self.turns_sha.update(f"{role}\n{text}\n".encode())
-        if role == "assistant":
-            self.loss += len(text)
-            self.loss_sha.update(text.encode())
+        for role, text, start, end in got:
+            self.n += 1
+            self.turns_sha.update(f"{role}\n{text}\n".encode())
+            if role == "assistant":
+                masked = unescape(raw[start - base : end - base])
+                self.loss += len(masked)
+                self.loss_sha.update(masked.encode())
 
     def row(self) -> tuple:
         return self.conv, self.n, self.turns_sha.hexdigest(), self.loss, self.loss_sha.hexdigest(), self.chars
