@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import atexit
 import shutil
+import threading
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,8 @@ _SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Where a local session without the setting keeps its tables; each process removes its own when it ends.
 _LOCAL = "/tmp/checkpoints"
 _written: list[str] = []
+#: Per thread, the tables that each settled() around has to remove.
+_scratch = threading.local()
 
 
 @atexit.register
@@ -47,6 +51,8 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     path = f"{shared_dir(spark)}/textloom/{name}-{uuid.uuid4().hex}"
     if path.startswith(f"file://{_LOCAL}/"):
         _written.append(path.removeprefix("file://"))
+    for tables in getattr(_scratch, "open", [])[-1:]:
+        tables.append(path)
     before = spark.conf.get(_SHUFFLE_CLEANUP, None)
     spark.conf.set(_SHUFFLE_CLEANUP, "true")
     try:
@@ -59,6 +65,26 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(build: Callable[[], DataFrame], spark: SparkSession, name: str = "t") -> DataFrame:
+    """Write what build() returns, as materialize() does, and then remove the tables that were written on the way.
+
+    Only the result is read from then on, so that a long-lived cluster's folder keeps results alone.
+    """
+    if not hasattr(_scratch, "open"):
+        _scratch.open = []
+    _scratch.open.append([])
+    try:
+        df = build()
+    finally:
+        tables = _scratch.open.pop()
+    out = materialize(df, name)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    for path in tables:
+        at = hadoop(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return out
+
+
 def plan_bytes(df: DataFrame) -> int | None:
     """Catalyst's size of a scan with projections and filters: the bytes of its files; None where that is a guess."""
     plan = df._jdf.queryExecution().optimizedPlan()
