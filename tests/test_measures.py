@@ -150,4 +150,28 @@ def test_label_propagation_and_merging(spark):
     e = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (1, 3, 1.0), (7, 8, 1.0)], "id1 bigint, id2 bigint, similarity double")
     got = {r.id: r.cluster for r in biblio.label_propagation(e).collect()}
     assert got[1] == got[2] == got[3] != got[7] and got[7] == got[8]
-    assert biblio.merge_clusters({1: 5, 2: 1, 3: 2}, 2) == {1: 1, 2: 1, 3: 3}
+    rows = [(10 * c + i, c) for c, n in ((1, 5), (2, 1), (3, 2), (4, 2)) for i in range(n)]
+    clusters = spark.createDataFrame(rows, "id bigint, cluster bigint")
+    into = lambda n: {(r.id // 10, r.cluster) for r in biblio.merge_clusters(clusters, n).collect()}
+    assert into(2) == {(1, 1), (2, 1), (3, 1), (4, 4)} and into(1) == {(k, 1) for k in (1, 2, 3, 4)} and into(9) == {(k, k) for k in (1, 2, 3, 4)}
+
+
+def test_clusters_run_until_nothing_changes(spark):
+    """A long chain of keywords against plain synchronous propagation."""
+    entries = spark.createDataFrame([(i, [f"k{i}", f"k{i + 1}"], [f"a{i // 3}"]) for i in range(30)], "id bigint, keywords array<string>, authors array<string>")
+    got = {r.id: r.cluster for r in biblio.cluster_entries(entries).collect()}
+    links = {i: {j: round(1 / 3, 4) for j in (i - 1, i + 1) if 0 <= j < 30} | {i: round(1 / 3, 4)} for i in range(30)}
+    labels = {i: i for i in links}
+    for _ in range(50):
+        new = {}
+        for i, near in links.items():
+            votes = {}
+            for j, w in near.items():
+                votes[labels[j]] = round(votes.get(labels[j], 0) + w, 6)
+            new[i] = max(votes, key=lambda x: (votes[x], -x))
+        if new == labels:
+            break
+        labels = new
+    assert got == labels
+    by_author = {r.id: r.cluster for r in biblio.cluster_entries(entries, "authors").collect()}
+    assert all(by_author[i] == 3 * (i // 3) for i in range(30))

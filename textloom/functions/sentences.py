@@ -10,38 +10,37 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Where a full stop does not end a sentence, and words it abbreviates.
-PROTECTED = (
-    r"[\w.-]+@[\w.-]+\.\w+",  # e-mail
-    r"https?://\S+|www\.\S+",  # address
-    r"\d+\.\d+",  # decimal number
-    r"\b[A-Z]\.\s*(?=[A-Z]|\s|$)",  # initial
-    r"(?:^|\n)\s*\d+\.\s",  # numbered item
-)
+# Words that a full stop abbreviates.
 ABBREVIATIONS = frozenset(
     """mr mrs ms dr prof sr jr vs etc inc ltd corp co no vol rev gen col lt st ave blvd dept univ assn bros ph ed est approx govt
     jan feb mar apr jun jul aug sep oct nov dec""".split()
 )
-_GUARD = re.compile("|".join(f"(?:{p})" for p in PROTECTED))
 _STOP = re.compile(r"[.!?]+[\"'”’)\]]*(?=\s|$)|[。！？]+")
 _NEXT = re.compile(r"\s*(\S?)")
 _LINE = re.compile(r"\n\s*(?=(?:#{1,6}\s|[-*+]\s|\d+\.\s|>|\S))")
 
 
-def sentence_spans(text: str) -> list[tuple[int, int]]:
-    """(start, end) of each sentence: cut behind . ! ? unless guarded, abbreviated or followed by a small letter, and at lines."""
-    guarded = [m.span() for m in _GUARD.finditer(text)]
-    starts = [a for a, _ in guarded]
+def _held(text: str, at: int) -> bool:
+    """Whether the stop at `at` belongs to what it follows: an initial, the number of a list item, or an address of the web."""
+    begin = at
+    while begin and not text[begin - 1].isspace():
+        begin -= 1
+    word = text[begin:at].lstrip("([{\"'")
+    if len(word) == 1 and "A" <= word <= "Z":
+        return text[at] == "."
+    if word.isdecimal() and text[at] == ".":
+        line = text.rfind("\n", 0, begin) + 1
+        return not text[line:begin].strip()
+    return "://" in word or word.startswith("www.")
 
-    def inside(at: int) -> bool:
-        k = bisect_left(starts, at + 1) - 1
-        return k >= 0 and guarded[k][0] <= at < guarded[k][1]
 
+def sentence_spans(text: str) -> list[tuple[int, int]]:
+    """(start, end) of each sentence: cut behind . ! ? unless held, abbreviated or followed by a small letter, and at lines."""
     cuts = {m.start() + 1 for m in _LINE.finditer(text)}
     for m in _STOP.finditer(text):
         word = re.search(r"(\w+)$", text[max(0, m.start() - 20) : m.start()])
         after = _NEXT.match(text, m.end())[1]
-        if inside(m.start()) or m[0].startswith(".") and word and word[1].lower() in ABBREVIATIONS or after.islower():
+        if _held(text, m.start()) or m[0].startswith(".") and word and word[1].lower() in ABBREVIATIONS or after.islower():
             continue
         cuts.add(m.end())
     out, at = [], 0

@@ -134,16 +134,26 @@ def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
     return labels.select(F.col("a").alias("id"), F.col("label").alias("cluster"))
 
 
-def merge_clusters(sizes: dict, target: int) -> dict:
-    """Old to new cluster: the smallest joins the largest until `target` are left; ties by name."""
-    into = {c: c for c in sizes}
-    sizes = dict(sizes)
-    while len(sizes) > max(1, target):
-        small = min(sizes, key=lambda c: (sizes[c], c))
-        large = max((c for c in sizes if c != small), key=lambda c: (sizes[c], -c if isinstance(c, int) else 0))
-        sizes[large] += sizes.pop(small)
-        into = {k: large if v == small else v for k, v in into.items()}
-    return into
+def cluster_entries(entries: DataFrame, field: str = "keywords", rounds: int = 50) -> DataFrame:
+    """(id, cluster): entries by label propagation over what they share, until nothing changes.
+
+    Keywords link entries by a Jaccard similarity over 0.1, authors and institutions by any overlap, of the smaller set.
+    """
+    links = similar_entries(entries, field) if field == "keywords" else similar_entries(entries, field, "overlap")
+    return label_propagation(links, rounds)
+
+
+def merge_clusters(clusters: DataFrame, target: int) -> DataFrame:
+    """(id, cluster) with `target` clusters at most: the smallest join the largest, one by one.
+
+    So all but the largest `target` end in the largest; of equal sizes the least cluster is merged first, and is the largest.
+    """
+    sizes = materialize(clusters.groupBy("cluster").agg(F.count("*").alias("n")), "sizes")
+    largest = sizes.orderBy(F.desc("n"), "cluster").limit(1).select(F.col("cluster").alias("largest"))
+    stay = sizes.join(F.broadcast(largest), F.col("cluster") == F.col("largest"), "left_anti").orderBy(F.desc("n"), F.desc("cluster")).limit(max(1, target) - 1)
+    stay = stay.select("cluster").unionByName(largest.toDF("cluster")).withColumn("stays", F.lit(True))
+    x = clusters.join(F.broadcast(stay), "cluster", "left").crossJoin(F.broadcast(largest))  # target rows, and one row
+    return x.select("id", F.when(F.col("stays"), F.col("cluster")).otherwise(F.col("largest")).alias("cluster"))
 
 
 def cluster_summary(entries: DataFrame, clusters: DataFrame, edges: DataFrame, field: str = "keywords", k: int = 10) -> DataFrame:

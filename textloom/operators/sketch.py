@@ -134,6 +134,15 @@ def scores(found: DataFrame, *, least: int = 2, min_score: float = 0.0, marginal
     return n.select("relation", "word1_lemma", "word2_lemma", "frequency", log_dice(F.col("frequency"), F.col("m1"), F.col("m2")).alias("log_dice")).where(F.col("log_dice") >= min_score)
 
 
+def associations(found: DataFrame, least: int = 2) -> DataFrame:
+    """(relation, word1_lemma, word2_lemma, frequency, mi, t_score): against the frequency that the words' shares of the relation let expect."""
+    n = found.groupBy("relation", "word1_lemma", "word2_lemma").agg(F.count("*").alias("frequency"))
+    total = lambda *c: F.sum("frequency").over(Window.partitionBy("relation", *c))
+    n = n.withColumn("expected", total("word1_lemma") * total("word2_lemma") / total()).where(F.col("frequency") >= least)
+    mi, t = F.log2(F.col("frequency") / F.col("expected")), (F.col("frequency") - F.col("expected")) / F.sqrt("frequency")
+    return n.select("relation", "word1_lemma", "word2_lemma", "frequency", F.round(mi, 4).alias("mi"), F.round(t, 4).alias("t_score"))
+
+
 def word_sketch(tokens: DataFrame, lemma: str, pos: str | None = None, *, k: int = 12, **how) -> DataFrame:
     """The k best collocates of a lemma in each relation, with their rank."""
     found = relations(tokens).where(F.col("word1_lemma") == lemma.lower())

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.operators.predicates import PosFilter, form, without_stopwords
+from textloom.runtime import materialize
 
 
 def preprocess(tokens: DataFrame, *, pos: PosFilter | None = None, stopwords: bool = True, min_length: int = 2, target: str = "lemma", exclude: tuple[str, ...] = ()) -> DataFrame:
@@ -49,48 +51,144 @@ def lda(terms: DataFrame, k: int = 10, *, passes: int = 10, seed: int = 42, top:
     return t, d, {"log_perplexity": model.logPerplexity(x), "log_likelihood": model.logLikelihood(x)}
 
 
-def optimise_topics(terms: DataFrame, ks: range, **how) -> DataFrame:
-    """(k, log_perplexity): a model per number of topics."""
-    return terms.sparkSession.createDataFrame([(k, lda(terms, k, **how)[2]["log_perplexity"]) for k in ks], "k int, log_perplexity double")
+def optimise_topics(terms: DataFrame, ks: range, top: int = 10, **how) -> DataFrame:
+    """(k, log_perplexity, coherence, best): a model per number of topics; the best has the highest mean UMass coherence, the least k of equals."""
+    each = terms.select("text_id", F.explode("terms").alias("term"))
+    out = []
+    for k in ks:
+        topics, _, measures = lda(terms, k, top=top, **how)
+        mean = coherence(each, topics.withColumnRenamed("keyword", "term")).agg(F.avg("coherence")).first()[0]
+        out.append((k, measures["log_perplexity"], mean))
+    best = min(out, key=lambda r: (-(r[2] if r[2] is not None else -np.inf), r[0]))[0] if out else None
+    return terms.sparkSession.createDataFrame([(*r, r[0] == best) for r in out], "k int, log_perplexity double, coherence double, best boolean")
+
 
+def weighted(terms: DataFrame, *, min_df: int = 1, max_df: float = 1.0, vocab: int | None = None, unit: bool = False) -> DataFrame:
+    """(text_id, term, v): TF-IDF with idf ln((1 + texts) / (1 + df)); with unit, idf gets one more and texts have length one.
 
-def lsa(terms: DataFrame, k: int = 10, top: int = 10, vocab: int = 2000, **how):
+    The `vocab` terms with the highest counts, ties by term, or all.
+    """
+    n = terms.select("text_id", F.explode("terms").alias("term")).groupBy("text_id", "term").agg(F.count("*").alias("n"))
+    df = n.groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("total"))
+    texts = terms.agg(F.count("*").alias("texts"))
+    df = df.crossJoin(F.broadcast(texts)).where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("texts")))  # texts is one row
+    df = df.orderBy(F.desc("total"), "term").limit(vocab) if vocab else df
+    x = n.join(df, "term").withColumn("v", F.col("n") * (F.log((1 + F.col("texts")) / (1 + F.col("df"))) + int(unit)))
+    if unit:
+        x = x.withColumn("v", F.col("v") / F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("text_id"))))
+    return x.select("text_id", "term", "v")
+
+
+def lsa(terms: DataFrame, k: int = 10, top: int = 10, vocab: int = 10_000, *, rounds: int = 60, tolerance: float = 1e-7, seed: int = 42, **how):
     """(topics, variance): leading terms of the first singular vectors of the TF-IDF matrix; the share of variance each explains.
 
-    One pass sums the vocabulary's Gram matrix, partial sums first; its eigenvectors are found on the
-    driver. The matrix has vocab^2 numbers whatever the number of texts, and vocab is bounded.
+    Subspace iteration: a round multiplies the matrix of terms and k + 10 directions by X'X, each task
+    summing its texts' part, until the k leading values rest. Only that matrix, bounded by vocab, passes
+    through the driver. A topic's sign makes its heaviest term positive.
     """
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
-
-    if vocab > 10_000:
-        raise ValueError("the Gram matrix of over 10,000 terms does not fit the driver")
-    x, words = vectors(terms, tf_idf=True, vocab=vocab, **how)
-    rows = x.select("features").rdd.map(lambda r: Vectors.fromML(r[0]))  # the library's Gram matrix takes this form only
-    gram = RowMatrix(rows, numCols=len(words)).computeGramianMatrix().toArray()
-    values, v = np.linalg.eigh(gram)
-    order = np.argsort(-values, kind="stable")[: min(k, len(words))]
-    out = []
-    for t, c in enumerate(order):
-        best = np.argsort(-np.abs(v[:, c]), kind="stable")[:top]
-        out += [(t, r + 1, words[i], float(v[i, c])) for r, i in enumerate(best)]
-    share = [(t, float(values[c] / np.trace(gram))) for t, c in enumerate(order)]
     spark = terms.sparkSession
+    x = materialize(weighted(terms, vocab=vocab, **how), "weighted")
+    words = sorted(r[0] for r in x.select("term").distinct().collect())  # `vocab` at most
+    names = spark.createDataFrame(list(enumerate(words)), "i int, term string")
+    docs = x.join(names, "term").groupBy("text_id").agg(F.collect_list("i").alias("i"), F.collect_list("v").alias("v")).select("i", "v")
+    docs = materialize(docs, "texts")
+    whole = x.agg(F.sum(F.col("v") * F.col("v"))).first()[0] or 0.0
+    size = min(len(words), k + 10)
+    q = np.linalg.qr(np.random.default_rng(seed).normal(size=(len(words), size)))[0] if words else np.zeros((0, 0))
+    values = np.zeros(size)
+
+    def product(q: np.ndarray) -> np.ndarray:
+        sent = spark.sparkContext.broadcast(q)
+
+        def run(batches):
+            total = np.zeros(sent.value.shape)
+            for batch in batches:
+                for i, v in zip(batch.column(0), batch.column(1), strict=True):
+                    i, v = i.values.to_numpy(), v.values.to_numpy()
+                    total[i] += np.outer(v, v @ sent.value[i])
+            some = np.flatnonzero(np.abs(total).sum(1))
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(np.ascontiguousarray(c)) for c in total[some].T)], ["i", *(f"c{n}" for n in range(total.shape[1]))])
+
+        parts = docs.mapInArrow(run, "i int, " + ", ".join(f"c{n} double" for n in range(q.shape[1])))
+        got = parts.groupBy("i").agg(*(F.sum(f"c{n}").alias(f"c{n}") for n in range(q.shape[1]))).toArrow()
+        out = np.zeros(q.shape)
+        out[got.column(0).to_numpy()] = np.column_stack([got.column(n + 1).to_numpy() for n in range(q.shape[1])])
+        return out
+
+    for _ in range(rounds if size else 0):
+        y = product(q)
+        w, r = np.linalg.eigh(q.T @ y)
+        order = np.argsort(-w, kind="stable")
+        w, v = w[order], (q @ r)[:, order]
+        rest = np.abs(w[:k] - values[:k]).max(initial=0) <= tolerance * max(w[0], 1e-300)
+        values = w
+        if rest:
+            break
+        q = np.linalg.qr(y)[0]
+    out = []
+    for t in range(min(k, size)):
+        best = np.argsort(-np.abs(v[:, t]), kind="stable")[:top]
+        sign = np.sign(v[best[0], t]) or 1.0
+        out += [(t, n + 1, words[i], float(sign * v[i, t])) for n, i in enumerate(best)]
+    share = [(t, float(values[t] / whole) if whole else 0.0) for t in range(min(k, size))]
     return spark.createDataFrame(out, "topic int, rank int, keyword string, weight double"), spark.createDataFrame(share, "topic int, explained double")
 
 
-def nmf(terms: DataFrame, k: int = 10, *, rounds: int = 10, top: int = 10, seed: int = 42, **how):
-    """(topics, doc_topics): non-negative factors of the count matrix by alternating least squares."""
-    from pyspark.ml.recommendation import ALS
+def optimise_lsa(terms: DataFrame, most: int = 20, wanted: float = 0.9, **how) -> DataFrame:
+    """(k, explained, best): the variance that the first k topics explain; the best is the first k with `wanted` of it, else the last."""
+    share = sorted(lsa(terms, most, **how)[1].collect(), key=lambda r: r.topic)
+    total = np.cumsum([r.explained for r in share])
+    best = next((i for i, t in enumerate(total) if t >= wanted), len(total) - 1)
+    return terms.sparkSession.createDataFrame([(i + 1, float(t), i == best) for i, t in enumerate(total)], "k int, explained double, best boolean")
+
 
-    counts = terms.select("text_id", F.explode("terms").alias("keyword")).groupBy("text_id", "keyword").agg(F.count("*").cast("float").alias("n"))
-    ids = counts.groupBy("keyword").agg(F.count("*").alias("df")).where(F.col("df") >= how.get("min_df", 1)).withColumn("item", F.xxhash64("keyword").bitwiseAND(0x7FFFFFFF).cast("int"))
-    x = counts.join(ids.select("keyword", "item"), "keyword").select(F.col("text_id").cast("int").alias("user"), "item", "n")
-    model = ALS(rank=k, maxIter=rounds, nonnegative=True, implicitPrefs=False, userCol="user", itemCol="item", ratingCol="n", seed=seed).fit(x)
-    items = model.itemFactors.join(ids, F.col("id") == F.col("item")).select("keyword", F.posexplode("features").alias("topic", "weight"))
+def nmf(terms: DataFrame, k: int = 10, *, rounds: int = 200, tolerance: float = 1e-3, top: int = 10, seed: int = 42, **how):
+    """(topics, doc_topics, measures): non-negative factors of the whole TF-IDF matrix, its zeros included, by multiplicative updates.
+
+    A round joins the matrix's entries with either factor and sums by the other key; beyond that only
+    the factors' k x k Gram matrices are needed, so zeros cost nothing. It ends when the error falls by less
+    than `tolerance` of itself. Measures are the reconstruction error and the mean share of zeros in the factors.
+    """
+    spark = terms.sparkSession
+    x = materialize(weighted(terms, unit=True, **how), "weighted")
+    n = range(k)
+    mean = x.agg(F.avg("v")).first()[0] or 0.0
+    start = lambda key: F.array(*(F.pmod(F.xxhash64(F.lit(seed + i), key), F.lit(1_000_003)) / 1_000_003.0 * (mean / k) ** 0.5 + 1e-3 for i in n))
+    factors = {"text_id": x.select("text_id").distinct().withColumn("f", start("text_id")), "term": x.select("term").distinct().withColumn("f", start("term"))}
+    square = x.agg(F.sum(F.col("v") * F.col("v"))).first()[0] or 0.0
+
+    def gram(f: DataFrame) -> np.ndarray:
+        return np.array(f.agg(F.array(*(F.sum(F.col("f")[i] * F.col("f")[j]) for i in n for j in n))).first()[0]).reshape(k, k)
+
+    def update(mine: str, other: str) -> np.ndarray:
+        g = gram(factors[other])
+        sums = x.join(factors[other].select(other, "f"), other).groupBy(mine).agg(F.array(*(F.sum(F.col("v") * F.col("f")[i]) for i in n)).alias("s"))
+        below = [sum((F.col("f")[j] * float(g[i, j]) for j in n), F.lit(1e-12)) for i in n]
+        new = factors[mine].select(mine, "f").join(sums, mine).select(mine, F.array(*(F.col("f")[i] * F.col("s")[i] / below[i] for i in n)).alias("f"), "s")
+        factors[mine] = materialize(new, "factor")
+        return g
+
+    error, zero = square**0.5, 0.0
+    for _ in range(rounds if square else 0):
+        update("term", "text_id")
+        g = update("text_id", "term")
+        fit = factors["text_id"].agg(F.sum(sum((F.col("f")[i] * F.col("s")[i] for i in n), F.lit(0.0)))).first()[0]
+        now = max(0.0, square - 2 * fit + float((g * gram(factors["text_id"])).sum())) ** 0.5
+        done, error = error - now <= tolerance * error, now
+        if done:
+            break
+    sparse = [factors[c].agg(F.avg(sum(((F.col("f")[i] < 1e-9).cast("int") for i in n), F.lit(0)) / k)).first()[0] or 0.0 for c in factors]
+    items = factors["term"].select(F.col("term").alias("keyword"), F.posexplode("f").alias("topic", "weight"))
     first = Window.partitionBy("topic").orderBy(F.desc("weight"), "keyword")
-    topics = items.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= top).select("topic", "rank", "keyword", F.col("weight").cast("double").alias("weight"))
-    return topics, model.userFactors.select(F.col("id").cast("bigint").alias("text_id"), F.col("features").alias("distribution"))
+    topics = items.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= top).select("topic", "rank", "keyword", "weight")
+    return topics, factors["text_id"].select("text_id", F.col("f").alias("distribution")), {"reconstruction_error": error, "sparsity": sum(sparse) / 2}
+
+
+def optimise_nmf(terms: DataFrame, ks: range, **how) -> DataFrame:
+    """(k, reconstruction_error, sparsity, best): a model per number of topics; the best has the least error."""
+    out = [(k, *nmf(terms, k, **how)[2].values()) for k in ks]
+    best = min(out, key=lambda r: (r[1], r[0]))[0] if out else None
+    return terms.sparkSession.createDataFrame([(*r, r[0] == best) for r in out], "k int, reconstruction_error double, sparsity double, best boolean")
 
 
 def class_tf_idf(terms: DataFrame, top: int | None = 10) -> DataFrame:
@@ -203,6 +301,42 @@ def reduce_outliers(vecs: DataFrame, least: float = 0.0) -> DataFrame:
     return stay.unionByName(moved)
 
 
+def reassign(docs: DataFrame, scores: DataFrame, least: float = 0.0) -> DataFrame:
+    """(doc_id, old_topic, topic, similarity): outliers of docs (doc_id, topic), topic -1, go to their best topic of scores (doc_id, topic, score), if above `least`.
+
+    Any strategy's scores will do: class_scores(), window_scores(), or a model's probabilities. Ties go to the least topic.
+    """
+    best = scores.groupBy("doc_id").agg(F.max_by("topic", F.struct("score", (-F.col("topic")).alias("t"))).alias("near"), F.max("score").alias("s"))
+    x = docs.join(best, "doc_id", "left").withColumn("moves", (F.col("topic") == -1) & (F.coalesce("s", F.lit(0.0)) > least))
+    similarity = F.when(F.col("topic") == -1, F.coalesce("s", F.lit(0.0))).otherwise(1.0)
+    return x.select("doc_id", F.col("topic").alias("old_topic"), F.when(F.col("moves"), F.col("near")).otherwise(F.col("topic")).alias("topic"), F.round(similarity, 4).alias("similarity"))
+
+
+def class_scores(terms: DataFrame) -> DataFrame:
+    """(doc_id, topic, score): cosines of each outlier's terms with the topics' c-TF-IDF; terms are (doc_id, topic, term)."""
+    w = class_tf_idf(terms.where("topic != -1").select("topic", "term"), None).select("topic", "term", "score")
+    norm = w.groupBy("topic").agg(F.sqrt(F.sum(F.col("score") * F.col("score"))).alias("norm"))
+    n = terms.where("topic = -1").groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+    size = n.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("size"))
+    s = n.join(w, "term").groupBy("doc_id", "topic").agg(F.sum(F.col("n") * F.col("score")).alias("s"))
+    return s.join(norm, "topic").join(size, "doc_id").select("doc_id", "topic", F.round(F.col("s") / (F.col("norm") * F.col("size")), 6).alias("score"))
+
+
+def window_scores(terms: DataFrame, window: int = 4) -> DataFrame:
+    """(doc_id, topic, score): an outlier's topic distribution, summed over its windows of `window` terms; terms are (doc_id, topic, tok_idx, term).
+
+    A window's score for a topic is the mean c-TF-IDF of its terms; a term lies in up to `window` windows.
+    """
+    w = class_tf_idf(terms.where("topic != -1").select("topic", "term"), None).select("topic", "term", "score")
+    t = terms.where("topic = -1")
+    n = F.count("*").over(Window.partitionBy("doc_id"))
+    at = F.row_number().over(Window.partitionBy("doc_id").orderBy("tok_idx"))
+    t = t.withColumn("n", n).withColumn("at", at)
+    inside = F.least(F.col("at"), F.col("n") - F.col("at") + 1, F.lit(window), F.greatest(F.lit(1), F.col("n") - window + 1))
+    s = t.select("doc_id", "term", inside.alias("times")).join(w, "term").groupBy("doc_id", "topic").agg(F.sum(F.col("times") * F.col("score")).alias("s"))
+    return s.select("doc_id", "topic", F.round(F.col("s") / F.sum("s").over(Window.partitionBy("doc_id")), 6).alias("score"))
+
+
 def merge_topics(terms: DataFrame, groups: dict[int, int], top: int = 10) -> DataFrame:
     """c-TF-IDF anew after topics are mapped onto others."""
     into = F.create_map(*(F.lit(x) for kv in groups.items() for x in kv)) if groups else None

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from textloom.plans import agreement, bibliography, concordance, frequency, keys, longtail, meaning, sketches, topicmodels
+from textloom.plans import agreement, bibliography, concordance, files, frequency, keys, longtail, meaning, sketches, topicmodels
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _family in (frequency, keys, concordance, sketches, meaning, agreement, bibliography, topicmodels, longtail):
+for _family in (frequency, keys, concordance, sketches, meaning, agreement, bibliography, topicmodels, longtail, files):
     QUERIES |= _family.QUERIES
     SQL |= _family.SQL

@@ -74,7 +74,13 @@ def _clusters(s, d):
     return e, links, connected_components(links, "id1", "id2").toDF("id", "cluster")
 
 
-QUERIES["timeline"] = lambda s, d: biblio.timeline(_clusters(s, d)[0], _clusters(s, d)[2])
+def _timeline(s, d):
+    e, _, c = _clusters(s, d)
+    return biblio.timeline(e, c)
+
+
+QUERIES["timeline"] = _timeline
+QUERIES["timeline_keywords"] = lambda s, d: biblio.timeline(entries(s, d), biblio.cluster_entries(entries(s, d)))
 _COMPONENTS = f"""WITH RECURSIVE {_E}, i AS MATERIALIZED ({_items("keywords", True)}), k AS (SELECT id, count(*) AS n FROM i GROUP BY 1),
 p AS (SELECT a.id AS id1, b.id AS id2, count(*) AS shared FROM i a JOIN i b ON a.x = b.x AND a.id < b.id GROUP BY 1, 2),
 l AS MATERIALIZED (SELECT id1, id2, round(shared / (k1.n + k2.n - shared), 4) AS similarity FROM p JOIN k k1 ON k1.id = id1 JOIN k k2 ON k2.id = id2 WHERE shared / (k1.n + k2.n - shared) > 0.3),
@@ -91,8 +97,18 @@ def _summary(s, d):
 QUERIES["cluster_summary"] = _summary
 SQL["cluster_summary"] = _COMPONENTS + """, t AS (SELECT cluster, x, count(*) AS n FROM i JOIN cl USING (id) GROUP BY 1, 2), tt AS (SELECT cluster, array_to_string(list(x ORDER BY nth), '; ') AS top_terms FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, encode(x)) AS nth FROM t) WHERE nth <= 10 GROUP BY 1),
 co AS (SELECT c1.cluster, ((2 * sum(round(similarity * 10000)::BIGINT)::BIGINT + count(*)) // (2 * count(*))) / 10000 AS cohesion FROM l JOIN cl c1 ON c1.id = id1 GROUP BY 1) SELECT cluster, count(*) AS size, any_value(cohesion)::DOUBLE AS cohesion, any_value(top_terms) AS top_terms FROM cl JOIN co USING (cluster) JOIN tt USING (cluster) GROUP BY cluster"""
-QUERIES["cluster_keywords"] = lambda s, d: biblio.label_propagation(biblio.similar_entries(entries(s, d), "keywords", "jaccard", 0.1), 5)
-QUERIES["cluster_authors"] = lambda s, d: biblio.label_propagation(biblio.similar_entries(entries(s, d), "keywords", "overlap"), 3)
+# A part stands for an author, a part and its quantity of a line for an institution.
+def _stand_ins(s, d):
+    lines = s.read.parquet(f"{d}/lineitem.parquet").groupBy("l_orderkey").agg(F.collect_set(F.concat_ws(" ", "l_partkey", (F.col("l_quantity") % 5).cast("int"))).alias("institutions"))
+    return entries(s, d).drop("institutions").withColumn("authors", F.col("keywords")).join(lines, F.col("id") == F.col("l_orderkey"))
+
+
+QUERIES["cluster_keywords"] = lambda s, d: biblio.cluster_entries(entries(s, d))
+QUERIES["cluster_authors"] = lambda s, d: biblio.cluster_entries(_stand_ins(s, d), "authors")
+QUERIES["cluster_institutions"] = lambda s, d: biblio.cluster_entries(_stand_ins(s, d), "institutions")
+QUERIES["clusters_merged"] = lambda s, d: biblio.merge_clusters(_clusters(s, d)[2], 10)
+SQL["clusters_merged"] = _COMPONENTS + """, sz AS (SELECT cluster, count(*) AS n FROM cl GROUP BY 1), la AS (SELECT cluster AS l FROM sz ORDER BY n DESC, cluster LIMIT 1),
+st AS (SELECT cluster FROM (SELECT * FROM sz WHERE cluster NOT IN (SELECT l FROM la) ORDER BY n DESC, cluster DESC LIMIT 9) UNION ALL SELECT l FROM la) SELECT id, CASE WHEN cluster IN (SELECT cluster FROM st) THEN cluster ELSE l END AS cluster FROM cl, la"""
 
 
 def _burst(name, field, lower, gamma, least):

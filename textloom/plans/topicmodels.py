@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from textloom.operators import chunking, topics
@@ -9,6 +11,8 @@ from textloom.operators.predicates import PosFilter, without_stopwords
 from textloom.operators.tokens import annotate, corpus_tokens
 from textloom.plans.frequency import docs
 from textloom.plans.sql import STOPS, TOKENS, WORDS
+from textloom.runtime import shared_dir
+from textloom.sources import readers, writers
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -97,12 +101,69 @@ def _bags(s, d):
     return topics.preprocess(annotate(docs(s, d)), pos=PosFilter(("NOUN", "VERB", "ADJ"))).select("text_id", "terms")
 
 
-QUERIES["lda_topics"] = lambda s, d: topics.lda(_bags(s, d), 5, passes=5, min_df=2, max_df=0.8, vocab=4000)[0]
-QUERIES["lda_documents"] = lambda s, d: topics.lda(_bags(s, d), 5, passes=5, min_df=2, max_df=0.8, vocab=4000)[1]
-QUERIES["lsa_topics"] = lambda s, d: topics.lsa(_bags(s, d), 5, min_df=2, vocab=1000)[0]
-QUERIES["lsa_variance"] = lambda s, d: topics.lsa(_bags(s, d), 5, min_df=2, vocab=1000)[1]
-QUERIES["nmf_topics"] = lambda s, d: topics.nmf(_bags(s, d), 5, rounds=5, min_df=2)[0]
+QUERIES["lda_topics"] = lambda s, d: topics.lda(_bags(s, d), 5, min_df=2, max_df=0.8)[0]
+QUERIES["lda_documents"] = lambda s, d: topics.lda(_bags(s, d), 5, min_df=2, max_df=0.8)[1]
+QUERIES["lsa_topics"] = lambda s, d: topics.lsa(_bags(s, d), 5, min_df=2)[0]
+QUERIES["lsa_variance"] = lambda s, d: topics.lsa(_bags(s, d), 5, min_df=2)[1]
+QUERIES["nmf_topics"] = lambda s, d: topics.nmf(_bags(s, d), 5, min_df=2)[0]
 QUERIES["embedding_clusters"] = lambda s, d: topics.cluster(_vecs(s, d).drop("topic"), 8).groupBy("topic").count().withColumnRenamed("count", "vectors")
 QUERIES["document_scatter"] = lambda s, d: topics.project(_vecs(s, d)).select("vec_id", "topic", F.col("position")[0].alias("x"), F.col("position")[1].alias("y"))
 QUERIES["intertopic_map"] = lambda s, d: topics.intertopic_map(topics.class_tf_idf(_terms(s, d), 50), _terms(s, d).groupBy("topic").count())[0]
 QUERIES["topic_hierarchy"] = lambda s, d: topics.hierarchy(topics.class_tf_idf(_terms(s, d), 50))
+QUERIES["lda_optimise"] = lambda s, d: topics.optimise_topics(_bags(s, d), range(2, 5), min_df=2, max_df=0.8)
+QUERIES["lsa_optimise"] = lambda s, d: topics.optimise_lsa(_bags(s, d), 8, min_df=2)
+QUERIES["nmf_optimise"] = lambda s, d: topics.optimise_nmf(_bags(s, d), range(2, 4), min_df=2)
+
+
+def _outliers(s, d):
+    """Sources src0 to src8 as topics 0 to 8, all others as outliers."""
+    nth = F.regexp_extract("corpus", r"(\d+)$", 1).cast("int")
+    t = corpus_tokens(docs(s, d)).where(without_stopwords(F.col("word"), True) & (F.length("word") > 2))
+    return t.select(F.col("text_id").alias("doc_id"), F.when(nth < 9, nth).otherwise(-1).alias("topic"), "tok_idx", F.col("word").alias("term"))
+
+
+def _reassigned(scores):
+    def run(s, d):
+        t = _outliers(s, d)
+        return topics.reassign(t.select("doc_id", "topic").distinct(), scores(t), 0.05)
+
+    return run
+
+
+QUERIES["outlier_ctfidf"] = _reassigned(topics.class_scores)
+QUERIES["outlier_distributions"] = _reassigned(topics.window_scores)
+_OUT = f"""WITH {WORDS}, t AS (SELECT text_id AS doc_id, tok_idx, CASE WHEN regexp_extract(corpus, '(\\d+)$', 1)::INT < 9 THEN regexp_extract(corpus, '(\\d+)$', 1)::INT ELSE -1 END AS topic, word AS term FROM words WHERE word NOT IN ({STOPS}) AND length(word) > 2),
+n AS (SELECT topic, term, count(*) AS frequency FROM t WHERE topic != -1 GROUP BY 1, 2), f AS (SELECT term, sum(frequency) AS f FROM n GROUP BY 1), sz AS (SELECT topic, sum(frequency) AS size FROM n GROUP BY 1),
+w AS (SELECT topic, term, round(frequency / size * ln(1 + (SELECT avg(size) FROM sz) / f), 6)::DOUBLE AS score FROM n JOIN f USING (term) JOIN sz USING (topic)),"""
+_MOVED = """b AS (SELECT doc_id, arg_min(topic, (-score, topic)) AS near, max(score) AS s FROM sc GROUP BY 1), u AS (SELECT DISTINCT doc_id, topic FROM t)
+SELECT doc_id, u.topic AS old_topic, CASE WHEN u.topic = -1 AND coalesce(s, 0) > 0.05 THEN near ELSE u.topic END AS topic, CASE WHEN u.topic = -1 THEN round(coalesce(s, 0), 4) ELSE 1.0 END::DOUBLE AS similarity FROM u LEFT JOIN b USING (doc_id)"""
+SQL["outlier_ctfidf"] = _OUT + """ nm AS (SELECT topic, sqrt(sum(score * score)) AS norm FROM w GROUP BY 1), c AS (SELECT doc_id, term, count(*) AS n FROM t WHERE topic = -1 GROUP BY 1, 2), cs AS (SELECT doc_id, sqrt(sum(n * n)) AS size FROM c GROUP BY 1),
+sc AS (SELECT doc_id, topic, round(sum(n * score) / (any_value(norm) * any_value(size)), 6)::DOUBLE AS score FROM c JOIN w USING (term) JOIN nm USING (topic) JOIN cs USING (doc_id) GROUP BY 1, 2), """ + _MOVED
+SQL["outlier_distributions"] = _OUT + """ o AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY tok_idx) AS nth, count(*) OVER (PARTITION BY doc_id) AS n FROM t WHERE topic = -1),
+ts AS (SELECT doc_id, w.topic, sum(least(nth, n - nth + 1, 4, greatest(1, n - 3)) * score) AS s FROM o JOIN w USING (term) GROUP BY 1, 2), sc AS (SELECT doc_id, topic, round(s / sum(s) OVER (PARTITION BY doc_id), 6)::DOUBLE AS score FROM ts), """ + _MOVED
+
+
+def _probabilities(s, d):
+    w, _ = _dated(s, d)
+    nth = F.regexp_extract("doc_id", r"^(\d+)", 1).cast("int")
+    kinds = F.array_position(F.array(*map(F.lit, ("click", "purchase", "view"))), F.col("topic")).cast("int")
+    scores = w.select("doc_id", kinds.alias("topic"), F.round("weight", 6).alias("score"))
+    return topics.reassign(w.select("doc_id").distinct().withColumn("topic", F.when(nth % 2 == 0, -1).otherwise(7)), scores, 0.5)
+
+
+QUERIES["outlier_probabilities"] = _probabilities
+SQL["outlier_probabilities"] = """WITH w AS (SELECT user_id || '-' || ts::DATE AS doc_id, user_id, event_type, sum(value) AS v FROM events GROUP BY ALL),
+p AS (SELECT doc_id, user_id, coalesce(list_position(['click', 'purchase', 'view'], event_type), 0)::INT AS topic, round(v / sum(v) OVER (PARTITION BY doc_id), 6) AS score FROM w),
+b AS (SELECT doc_id, any_value(user_id) AS user_id, arg_min(topic, (-score, topic)) AS near, max(score) AS s FROM p GROUP BY 1)
+SELECT doc_id, CASE WHEN user_id % 2 = 0 THEN -1 ELSE 7 END::INT AS old_topic, CASE WHEN user_id % 2 = 0 AND s > 0.5 THEN near WHEN user_id % 2 = 0 THEN -1 ELSE 7 END::INT AS topic, CASE WHEN user_id % 2 = 0 THEN round(s, 4) ELSE 1.0 END::DOUBLE AS similarity FROM b"""
+
+
+def _saved(s, d):
+    """Topics written as a result file and read again."""
+    path = f"{shared_dir(s)}/textloom/topics-{uuid.uuid4().hex}"
+    writers.write_topics(topics.class_tf_idf(_terms(s, d)), path)
+    return readers.read_topics(s, path).select("topic", "term", "frequency", "score", "rank")
+
+
+QUERIES["topic_results_saved"] = _saved
+SQL["topic_results_saved"] = SQL["ctfidf_topics"]

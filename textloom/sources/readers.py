@@ -148,10 +148,10 @@ def read_tagged(spark: SparkSession, path: str, mark: str = "_") -> DataFrame:
     return t.select("text_id", F.when(F.locate(mark, F.col("p")) > 0, F.substring(F.col("p"), F.lit(1), at)).otherwise(F.col("p")).alias("word"), F.when(F.locate(mark, F.col("p")) > 0, F.substring(F.col("p"), at + 2, F.length("p"))).alias("tag"))
 
 
-def read_archives(spark: SparkSession, path: str, kind: str | None = None, text_id: str | None = None) -> DataFrame:
-    """(doc_id, coder, start, end, label, framework) of annotation archives, one JSON document a file, under any of the field names in use."""
+def read_archives(spark: SparkSession, path: str, kind: str | None = None, text_id: str | None = None, lines: bool = False) -> DataFrame:
+    """(doc_id, coder, start, end, label, framework) of annotation archives, one JSON document a file, or a line, under any of the field names in use."""
     item = "struct<text: string, position: int, startPosition: int, start_position: int, endPosition: int, end_position: int, label: string, path: string, labelPath: string>"
-    t = spark.read.schema(f"id string, type string, framework string, text string, textId string, coderName string, annotations array<{item}>").json(path, multiLine=True)
+    t = spark.read.schema(f"id string, type string, framework string, text string, textId string, coderName string, annotations array<{item}>").json(path, multiLine=not lines)
     t = t.where(F.col("type") == kind) if kind else t
     t = t.where(F.col("textId") == text_id) if text_id else t
     a = t.select(F.coalesce("textId", "id").alias("doc_id"), F.coalesce("coderName", "id").alias("coder"), "framework", F.explode("annotations").alias("a"))
@@ -169,3 +169,9 @@ def read_accuracy_list(spark: SparkSession, path: str, separator: str = "\t") ->
     """(word, tag, freq) of frequency files with a header, for accuracy comparison."""
     t = spark.read.schema("word string, tag string, freq string").csv(path, sep=separator, header=True)
     return t.select(F.lower("word").alias("word"), "tag", F.coalesce(F.col("freq").try_cast("bigint"), F.lit(0)).alias("freq"))
+
+
+def read_topics(spark: SparkSession, path: str) -> DataFrame:
+    """(topic, rank, term, frequency, score) of topic results as write_topics() has them."""
+    t = spark.read.schema("topic string, terms array<struct<rank: bigint, term: string, frequency: bigint, score: double>>").json(path)
+    return t.select("topic", F.inline("terms"))

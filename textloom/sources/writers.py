@@ -35,3 +35,9 @@ def write_table(result: DataFrame, path: str, kind: str = "csv") -> None:
         flat.write.mode("overwrite").csv(path, header=True, sep="\t" if kind == "tsv" else ",")
     else:
         getattr(result.write.mode("overwrite"), kind)(path)
+
+
+def write_topics(topics: DataFrame, path: str) -> None:
+    """Topic results (topic, term, ...) as JSON, one topic a line with its terms in order of rank."""
+    kept = [c for c in topics.columns if c not in ("topic", "rank")]
+    topics.groupBy("topic").agg(F.sort_array(F.collect_list(F.struct("rank", *kept))).alias("terms")).write.mode("overwrite").json(path)
