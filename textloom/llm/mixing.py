@@ -89,15 +89,16 @@ def mix(
 
     A large source has many shards, hashed by id, and no task sees more than a shard's documents.
     Null or empty texts have size 0 and are never taken; a null source is a source of its own; a null
-    id is hashed as such, and rows with one id are ordered by size; an empty table gives no rows; other
+    id is hashed by its text, and rows with one id are ordered by size; an empty table gives no rows; other
     columns are not read unless carried. Reruns agree whatever the partitioning.
     """
     small_batches(docs)
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint")
-    hashed = F.md5(F.concat(F.lit(seed + " "), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary"))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), hashed.alias("h"), *([F.struct("*").alias("row"), F.col(text_col).alias("text")] if carry else []))
-    if not carry:
-        rows = materialize(rows, "sizes")
+    name = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null "), F.coalesce(F.col(text_col), F.lit(""))))
+    hashed = F.md5(F.concat(F.lit(seed + " "), name).cast("binary"))
+    # words are counted once; with carry the texts are written with their counts and travel once
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), hashed.alias("h"), *([F.struct("*").alias("row")] if carry else []))
+    rows = materialize(rows, "sizes")
     sized = rows.select("source", "size", "h")
     sources = _targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     block = F.greatest(F.lit(1), F.least(F.lit(1024), F.floor(F.min(F.when(F.col("source_size") > 0, F.col("source_size"))).over(Window.partitionBy()) / 64))).cast("bigint")
@@ -129,7 +130,7 @@ def mix(
 
     passes = [words(n) for n in range(most)]
     out = [F.col("id").alias(id_col), "size", "source_size", "target", sum(passes[1:], passes[0]).alias("taken")]
-    return laid.select(*out, *(["row", "text", F.array(*passes).alias("words")] if carry else []))
+    return laid.select(*out, *(["row", F.array(*passes).alias("words")] if carry else []))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
@@ -138,8 +139,9 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A whole document keeps its text as it is; a cut one has its first words, joined by one space.
     """
     taken = mix(docs, id_col, text_col, source_col, carry=True, **how)
-    each = taken.select("row", "text", "size", F.explode("words").alias("n")).where("n > 0")
-    text = F.when(F.col("n") == F.col("size"), F.col("text")).otherwise(F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col("n").cast("int")), " "))
+    each = taken.select("row", "size", F.explode("words").alias("n")).where("n > 0")
+    text = F.col(f"row.`{text_col}`")
+    text = F.when(F.col("n") == F.col("size"), text).otherwise(F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), 1, F.col("n").cast("int")), " "))
     return each.select(F.col("row").withField(f"`{text_col}`", text).alias("row")).select("row.*")
 
 
@@ -147,7 +149,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5('mix ' || coalesce(doc_id::VARCHAR, 'null')) AS h
+         md5('mix ' || coalesce(doc_id::VARCHAR, 'null ' || coalesce(text, ''))) AS h
   FROM documents
 ), src AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY encode(source) ASC NULLS LAST) AS rnk FROM sized GROUP BY source
