@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.operators.graph import connected_components
-from textloom.runtime import materialize, small_batches
+from textloom.runtime import materialize, settled, small_batches
 
 #: Vectors that fit the codebooks and the traversal, and so many for each codeword where there are many; every vector is indexed.
 SAMPLE, PER_WORD = 16_384, 16
@@ -186,7 +186,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
             index = fit(unit(_matrix(unique.limit(SAMPLE).select("v").toArrow().column(0))), count, threshold, recall)
         small = len(index.first) * len(index.second) <= _BROADCAST
         links, edges = _links(unique, spark.sparkContext.broadcast(index), threshold, small)
-        found = connected_components(edges).withColumnRenamed("node", "key")
+        found = settled(lambda: connected_components(edges), spark, "linked").withColumnRenamed("node", "key")
         by_key = unique.select("key", "least", "n").join(links, "key", "left").join(found, "key", "left").withColumn("component", F.coalesce("component", "key"))
         least = by_key.groupBy("component").agg(F.min("least").alias("component_id"))
         by_key = by_key.join(least, "component").select("key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("bigint").alias("n_links"), "component_id")

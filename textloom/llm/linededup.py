@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm import kernels as K
 from textloom.llm.substring import _keys
-from textloom.runtime import materialize, small_batches
+from textloom.runtime import materialize, settled, small_batches
 
 _WHOLE, _DELETED, _REPLACED = 0, 1, 2
 #: Variants that are made at once.
@@ -229,7 +229,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     null and has no lines; an empty one has one blank line; an empty table gives no rows. All columns
     come back, whatever their names; only text_col changes.
     """
-    gone = materialize(repeated_lines(docs, id_col, text_col, min_words).groupBy("doc", "text_hash", "text_check").agg(F.collect_list("line").alias("gone")), "gone")
+    by_doc = lambda: repeated_lines(docs, id_col, text_col, min_words).groupBy("doc", "text_hash", "text_check").agg(F.collect_list("line").alias("gone"))
+    gone = settled(by_doc, docs.sparkSession, "gone")
 
     @F.pandas_udf("string")
     def keep(text: pd.Series, gone: pd.Series) -> pd.Series:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm import kernels as K
 from textloom.operators.graph import connected_components
-from textloom.runtime import materialize, small_batches
+from textloom.runtime import materialize, settled, small_batches
 
 #: A fingerprint's four lanes of 16 bits; their population counts name its cell, of which there are 17^4 at most.
 _LANES, _LANE_BITS = 4, 16
@@ -130,7 +130,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     signed = materialize(fingerprints(docs, id_col, text_col, shingle), "simhash")
     fps = signed.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    linked = connected_components(link_fingerprints(fps.select("fp"), radius, tile))
+    linked = settled(lambda: connected_components(link_fingerprints(fps.select("fp"), radius, tile)), docs.sparkSession, "linked")
     groups = fps.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = groups.groupBy("component").agg(F.min("least").alias("component_id"))
     by_fp = groups.join(least, "component").select("fp", "component_id")
@@ -303,7 +303,7 @@ def near_sets(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, tile:
         return pa.table([pa.array([names[0][i] for i, _ in links], pa.string()), pa.array([names[-1][j] for _, j in links], pa.string())], names=["src", "dst"])
 
     links = wanted.join(sets, "node").groupBy("pair").applyInArrow(decide, "src string, dst string")
-    linked = connected_components(links)
+    linked = settled(lambda: connected_components(links), docs.sparkSession, "linked")
     return signed.select("key", "node").join(linked, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
 
 
@@ -319,9 +319,13 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         found = near_duplicates(docs.select(key, F.col(text_col)), "key", text_col, **how)
         kept = found.where(F.col("key").eqNullSafe(F.col("component_id"))).select(_flat("key")).distinct()
     else:
-        found = near_sets(docs.select(key, F.col(text_col).alias("text")).select(_flat("key"), "text"), similarity=similarity, **how)
         order = F.from_json("key", f"none boolean, id {docs.schema[id_col].dataType.simpleString()}, h bigint")
-        kept = found.groupBy("component").agg(F.min_by("key", order).alias("key")).select("key")
+
+        def least() -> DataFrame:
+            found = near_sets(docs.select(key, F.col(text_col).alias("text")).select(_flat("key"), "text"), similarity=similarity, **how)
+            return found.groupBy("component").agg(F.min_by("key", order).alias("key")).select("key")
+
+        kept = settled(least, docs.sparkSession, "kept")
     rows = docs.select(F.struct("*").alias("row"), key).select("row", _flat("key")).join(kept, "key")
     first = Window.partitionBy("key").orderBy("key")
     return rows.withColumn("nth", F.row_number().over(first)).where("nth = 1").select("row.*")
