@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -68,27 +69,34 @@ def log_dice(joint, first, second) -> Column:
     return F.when(joint > 0, F.round(14 + F.log2(2.0 * joint / (first + second)), 3)).otherwise(0.0)
 
 
-def _hypergeometric(a: int, row: int, column: int, n: int) -> float:
-    g = math.lgamma
-    return g(row + 1) - g(a + 1) - g(row - a + 1) + g(n - row + 1) - g(column - a + 1) - g(n - row - column + a + 1) - g(n + 1) + g(column + 1) + g(n - column + 1)
+def _log_weights(a: int, end: int, row: int, column: int, n: int) -> np.ndarray:
+    """Logarithms of how likely the tables after `a`, up to `end`, are against that of `a`: sums of the logarithms of
+    quotients of neighbours, in blocks, until they add nothing to a double."""
+    sign, blocks, last = (1 if end >= a else -1), [np.zeros(0)], 0.0
+    while a != end and last > -745:
+        x = np.arange(a, a + sign * min(abs(end - a), 1 << 14), sign, dtype=np.float64)
+        if sign > 0:
+            up = (row - x) * (column - x) / ((x + 1) * (n - row - column + x + 1))
+        else:
+            up = x * (n - row - column + x) / ((row - x + 1) * (column - x + 1))
+        blocks.append(last + np.cumsum(np.log(up)))
+        last, a = blocks[-1][-1], a + sign * len(x)
+    return np.concatenate(blocks)
 
 
 def fisher_p(o11: int, n1: int, o21: int, n2: int) -> float:
-    """Two-sided exact probability: all tables as likely as this one or less. Terms far below it add nothing and end the sum."""
+    """Two-sided exact probability: all tables as likely as this one or less, over all tables. 0 beyond a double's reach."""
     column, n = o11 + o21, n1 + n2
     low, high = max(0, column - n2), min(n1, column)
-    here = _hypergeometric(o11, n1, column, n)
     mode = min(max((n1 + 1) * (column + 1) // (n + 2), low), high)
-    total = 0.0
-    for side in (range(mode, high + 1), range(mode - 1, low - 1, -1)):
-        for a in side:
-            p = _hypergeometric(a, n1, column, n)
-            if p <= here + 1e-7:
-                term = math.exp(p)
-                total += term
-                if term < total * 1e-17:
-                    break
-    return min(1.0, total)
+    up, down = (_log_weights(mode, end, n1, column, n) for end in (high, low))
+    side, far = (up, o11 - mode) if o11 >= mode else (down, mode - o11)
+    if far > len(side):
+        return 0.0
+    here = side[far - 1] if far else 0.0
+    logs = np.concatenate([down[::-1], [0.0], up])
+    weights = np.exp(logs)
+    return min(1.0, float(weights[logs <= here + 1e-7].sum() / weights.sum()))
 
 
 @F.pandas_udf(T.DoubleType())

@@ -92,24 +92,35 @@ def density(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return x.select("nodes", "edges", F.round(F.when(F.col("nodes") > 1, F.col("edges") / (F.col("nodes") * (F.col("nodes") - 1) / 2)).otherwise(0.0), 6).alias("density"))
 
 
-def similar_entries(entries: DataFrame, field: str = "keywords", measure: str = "jaccard", least: float = 0.1) -> DataFrame:
-    """(id1, id2, shared, similarity) of entries sharing items, found over the items' inverted lists.
-
-    jaccard must exceed `least`, overlap (by the smaller set) zero. Items in very many entries make many
-    pairs, as the result has them; only entries that share something ever meet.
+def similar_entries(entries: DataFrame, field: str = "keywords", measure: str = "jaccard", least: float = 0.1, shared: int = 1) -> DataFrame:
+    """(id1, id2, shared, similarity) of entries with at least `shared` items in common; null items count for nothing.
+
+    jaccard must exceed `least`, overlap (by the smaller set) zero. A pair needs a number of common items that
+    follows from an entry's size and the bound, so only its rarest items, all but that number less one, are
+    looked up in inverted lists (prefix filtering, which loses no pair): the most frequent items make no
+    candidates where the bound allows. A pair is checked where its first common item lies, so that pairs are
+    never shuffled. Rows with one id count as one entry.
     """
     each = F.array_distinct(F.transform(field, lambda x: F.lower(F.trim(x))))
-    t = entries.select("id", F.size(each).alias("n"), F.explode(each).alias("item"))
-    a, b = t.toDF("id1", "n1", "item"), t.toDF("id2", "n2", "item")
-    p = a.join(b, "item").where("id1 < id2").groupBy("id1", "id2", "n1", "n2").agg(F.count("*").alias("shared"))
+    t = entries.select("id", F.explode(each).alias("item")).where("item is not null")
+    order = F.transform(F.array_sort(F.collect_set(F.struct("df", "item"))), lambda x: x["item"])
+    sets = t.join(t.groupBy("item").agg(F.count("*").alias("df")), "item").groupBy("id").agg(order.alias("items"))
+    bound = F.floor(F.size("items") * (least if measure == "jaccard" else 0.0) * (1 - 1e-9)) + 1
+    prefix = F.slice("items", 1, F.greatest(F.lit(0), F.size("items") - F.greatest(F.lit(shared), bound) + 1).cast("int"))
+    x = sets.withColumn("prefix", prefix).withColumn("item", F.explode("prefix"))
+    a, b = x.toDF("id1", "items1", "prefix1", "item"), x.toDF("id2", "items2", "prefix2", "item")
+    first = F.get(F.array_intersect("prefix1", "prefix2"), 0) == F.col("item")
+    p = a.join(b, "item").where("id1 < id2").where(first)
+    p = p.select("id1", "id2", F.size("items1").alias("n1"), F.size("items2").alias("n2"), F.size(F.array_intersect("items1", "items2")).cast("bigint").alias("shared"))
     s = F.col("shared") / ((F.col("n1") + F.col("n2") - F.col("shared")) if measure == "jaccard" else F.least("n1", "n2"))
-    return p.withColumn("s", s).where(F.col("s") > (least if measure == "jaccard" else 0)).select("id1", "id2", "shared", F.round("s", 4).alias("similarity"))
+    keep = (s > (least if measure == "jaccard" else 0)) & (F.col("shared") >= shared)
+    return p.where(keep).select("id1", "id2", "shared", F.round(s, 4).alias("similarity"))
 
 
 def cocitation(entries: DataFrame, min_weight: int = 2) -> DataFrame:
     """(source, target, weight): entries with at least min_weight keywords in common."""
-    p = similar_entries(entries, measure="overlap")
-    return p.where(F.col("shared") >= min_weight).select(F.col("id1").alias("source"), F.col("id2").alias("target"), F.col("shared").alias("weight"))
+    p = similar_entries(entries, measure="overlap", shared=min_weight)
+    return p.select(F.col("id1").alias("source"), F.col("id2").alias("target"), F.col("shared").alias("weight"))
 
 
 def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
@@ -226,7 +237,7 @@ def dual_map(entries: DataFrame, top: int = 50) -> DataFrame:
 def landscape(entries: DataFrame, clusters: DataFrame, centrality: DataFrame, seed: int = 0) -> DataFrame:
     """(id, cluster, x, y, z): clusters on a circle, entries jittered by a hash; z = 5 * centrality + .1 * citations."""
     n = clusters.agg(F.count_distinct("cluster").alias("n"))
-    order = clusters.select("cluster").distinct().withColumn("nth", F.row_number().over(Window.orderBy("cluster")) - 1)  # one row per cluster
+    order = ranked(clusters.select("cluster").distinct(), F.asc("cluster")).select("cluster", (F.col("rank") - 1).alias("nth"))
     t = entries.join(clusters, "id").join(order, "cluster").crossJoin(F.broadcast(n)).join(centrality, "id", "left")
     angle = 2 * math.pi * F.col("nth") / F.col("n")
     jitter = lambda s: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(s)), F.lit(1000)) / 1000.0 - 0.5

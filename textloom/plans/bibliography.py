@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from textloom.operators import biblio
 from textloom.operators.graph import connected_components
+from textloom.runtime import materialize
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -70,7 +71,7 @@ SQL["co_citation"] = _SIMILAR + " SELECT id1 AS source, id2 AS target, shared AS
 
 def _clusters(s, d):
     e = entries(s, d)
-    links = biblio.similar_entries(e, "keywords", "jaccard", 0.3)
+    links = materialize(biblio.similar_entries(e, "keywords", "jaccard", 0.3), "links")
     return e, links, connected_components(links, "id1", "id2").toDF("id", "cluster")
 
 

@@ -101,15 +101,18 @@ def _rank_words(s, d):
     return corpus_tokens(docs(s, d)).where(without_stopwords(F.col("word"), True))
 
 
-QUERIES["textrank_keywords"] = lambda s, d: keywords.text_rank(_rank_words(s, d), rounds=10)
+QUERIES["textrank_keywords"] = lambda s, d: keywords.text_rank(_rank_words(s, d))
 SQL["textrank_keywords"] = f"""WITH RECURSIVE {WORDS}, t AS (SELECT text_id, tok_idx, word FROM words WHERE word NOT IN ({STOPS})),
 p AS (SELECT word AS x, unnest([lead(word, 1) OVER w, lead(word, 2) OVER w, lead(word, 3) OVER w]) AS y FROM t WINDOW w AS (PARTITION BY text_id ORDER BY tok_idx)),
 e AS MATERIALIZED (SELECT least(x, y) AS a, greatest(x, y) AS b, count(*) AS weight FROM p WHERE y IS NOT NULL AND x != y GROUP BY 1, 2),
-d AS (SELECT a, b, weight FROM e UNION ALL SELECT b, a, weight FROM e), l AS MATERIALIZED (SELECT a, b, weight / sum(weight) OVER (PARTITION BY a) AS p FROM d),
+d AS (SELECT a, b, weight FROM e UNION ALL SELECT b, a, weight FROM e),
+l AS MATERIALIZED (SELECT a, b, (weight / sum(weight) OVER (PARTITION BY a))::DOUBLE AS p FROM d UNION ALL SELECT DISTINCT a, a, 0.0::DOUBLE FROM d),
 n AS MATERIALIZED (SELECT count(DISTINCT a) AS n FROM l),
-r AS (SELECT 0 AS i, a, 1.0::DOUBLE / n AS r FROM (SELECT DISTINCT a FROM l), n UNION ALL
-      SELECT any_value(r.i) + 1, l.b, any_value((1 - 0.85::DOUBLE) / n.n) + 0.85::DOUBLE * sum(l.p * r.r) FROM l JOIN r USING (a), n WHERE r.i < 10 GROUP BY l.b)
-SELECT a AS keyword, round(r, 6) AS score FROM r WHERE i = 10 ORDER BY score DESC, encode(keyword) LIMIT 50"""
+r AS (SELECT 0 AS i, a, 1.0::DOUBLE / n AS r, 1e9::DOUBLE AS moved FROM (SELECT DISTINCT a FROM l), n UNION ALL
+      SELECT i, a, r, sum(abs(r - last)) OVER () FROM (
+        SELECT any_value(r.i) + 1 AS i, l.b AS a, any_value((1 - 0.85::DOUBLE) / n.n) + 0.85::DOUBLE * sum(l.p * r.r) AS r, max(CASE WHEN l.a = l.b THEN r.r END) AS last
+        FROM l JOIN r USING (a), n WHERE r.i < 100 AND r.moved >= n.n * 1e-6::DOUBLE GROUP BY l.b))
+SELECT a AS keyword, round(r, 6) AS score FROM r WHERE i = (SELECT max(i) FROM r) ORDER BY score DESC, encode(keyword) LIMIT 50"""
 QUERIES["cooccurrence_pairs"] = lambda s, d: keywords.cooccurrences(_rank_words(s, d), 4)
 SQL["cooccurrence_pairs"] = f"""WITH {WORDS}, t AS (SELECT text_id, tok_idx, word FROM words WHERE word NOT IN ({STOPS})),
 p AS (SELECT word AS x, unnest([lead(word, 1) OVER w, lead(word, 2) OVER w, lead(word, 3) OVER w]) AS y FROM t WINDOW w AS (PARTITION BY text_id ORDER BY tok_idx))
