@@ -175,3 +175,43 @@ def test_clusters_run_until_nothing_changes(spark):
     assert got == labels
     by_author = {r.id: r.cluster for r in biblio.cluster_entries(entries, "authors").collect()}
     assert all(by_author[i] == 3 * (i // 3) for i in range(30))
+
+
+def test_fuzzy_find_falls_back_to_other_lengths_and_keeps_every_match(spark):
+    needle, least = "abcdef", 0.8
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row = _next(row, i, x, b)
+        return row[-1]
+
+    def _next(row, i, x, b):
+        out = [i]
+        for j, y in enumerate(b, 1):
+            out.append(min(out[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+        return out
+
+    def brute(text, near=None):
+        found = []
+        for lengths in ([6], range(4, 9)):
+            for m in lengths:
+                for i in range(len(text) - m + 1):
+                    if near is not None and not (near - 3 <= i and i + m <= near + 9):
+                        continue
+                    s = 1 - edits(text[i : i + m].lower(), needle) / max(m, 6)
+                    if s >= least:
+                        found.append((i, i + m, round(s, 4)))
+            if found:
+                break
+        return sorted(found)
+
+    texts = ["xxabcdefxxABCDEFxxabcxefx", "zzzabcdzzz", "abXcdef", "zabdefzzabdefz", "", "abc", "q" * 40 + "abcdef", None]
+    df = spark.createDataFrame([(i, t, 3) for i, t in enumerate(texts)], "text_id int, text string, near int")
+    for near in (None, "near"):
+        got = {}
+        for r in reliability.fuzzy_find(df, needle, least, near, step=5).collect():
+            got.setdefault(r.text_id, []).append((r.start, r.end, r.similarity))
+        want = {i: brute(t, 3 if near else None) for i, t in enumerate(texts) if t}
+        assert {i: sorted(v) for i, v in got.items()} == {i: v for i, v in want.items() if v}
+    assert reliability.fuzzy_find(df, "").count() == 0

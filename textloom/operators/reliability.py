@@ -137,17 +137,48 @@ def confusion(spans: DataFrame, coder1: str, coder2: str) -> DataFrame:
     return p.groupBy("doc_id", "start", "end").agg(*(F.max(F.when(F.col("coder") == c, F.col("label"))).alias(a) for c, a in ((coder1, "label1"), (coder2, "label2")))).groupBy("label1", "label2").agg(F.count("*").alias("n")).where("label1 != '' or label2 != ''")
 
 
+def _even(c: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+
+
+def _alike(x: Column, y: Column, most: int | None = None) -> Column:
+    edits = F.levenshtein(x, y) if most is None else F.levenshtein(x, y, most)  # -1 beyond `most`
+    return F.when((F.length(x) == 0) | (F.length(y) == 0) | (edits < 0), 0.0).otherwise(1 - edits / F.greatest(F.length(x), F.length(y)))
+
+
 def similarity(a: Column, b: Column) -> Column:
     """1 - edit distance / longer length, of lower-cased texts with white space evened out; empty gives 0."""
-    clean = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
-    x, y = clean(a), clean(b)
-    return F.when((F.length(x) == 0) | (F.length(y) == 0), 0.0).otherwise(1 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y)))
+    return _alike(_even(a), _even(b))
+
 
+def fuzzy_find(texts: DataFrame, needle: str, least: float = 0.8, near: str | None = None, step: int = 1024) -> DataFrame:
+    """(text_id, start, end, similarity): every window of the needle's length that is as similar as `least`.
 
-def fuzzy_find(texts: DataFrame, needle: str, least: float = 0.8) -> DataFrame:
-    """(text_id, position, similarity): the best window of the needle's length, first of equals, at or above `least`."""
+    A text without one gives every window from a third shorter to a third longer. With `near`, the name of a
+    column with the expected start, windows lie within half the needle's length around that place. Texts are read
+    whole, in pieces of `step` starts that overlap by a window, so that a place in a long text costs no more
+    than one in a short text. Null texts, texts shorter than any window and an empty needle give nothing.
+    """
     n = len(needle)
-    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("text") - n + 1))
-    scored = F.transform(at, lambda i: F.struct((-similarity(F.substring(F.col("text"), i, F.lit(n)), F.lit(needle))).alias("s"), i.alias("i")))
-    best = texts.where("text is not null").select("text_id", F.array_min(scored).alias("b"))
-    return best.select("text_id", (F.col("b.i") - 1).alias("position"), F.round(-F.col("b.s"), 4).alias("similarity")).where(F.col("similarity") >= least)
+    if not n:
+        return texts.select("text_id", F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit(0.0).alias("similarity")).limit(0)
+    even = " ".join(needle.lower().split())
+    other = [m for m in range(n - -(-n // 3), n + n // 3 + 1) if m > 0]
+    most = int((1 - least) * 2 * max(other)) + 1  # edits that no window within `least` reaches; lower-casing may lengthen a text
+    low = F.greatest(F.lit(0), F.col(near) - n // 2) if near else F.lit(0)
+    high = F.least(F.length("text"), F.col(near) + n + n // 2) if near else F.length("text")
+    bases = F.when(high - low >= min(other), F.sequence(low, high - min(other), F.lit(step)))
+    pieces = F.transform(bases, lambda i: F.struct(i.alias("at"), F.substring(F.col("text"), i + 1, F.least(F.lit(step + max(other) - 1), high - i)).alias("piece")))
+
+    def windows(m: int) -> Column:
+        def inside(x: Column) -> Column:
+            starts = F.when(F.length(x["piece"]) >= m, F.sequence(F.lit(0), F.least(F.lit(step - 1), F.length(x["piece"]) - m)))
+            read = F.transform(starts, lambda i: F.struct((x["at"] + i).alias("at"), _even(F.substring(x["piece"], i + 1, F.lit(m))).alias("text")))
+            scored = F.transform(read, lambda w: F.struct(w["at"].alias("start"), (w["at"] + m).alias("end"), _alike(w["text"], F.lit(even), most).alias("similarity")))
+            return F.coalesce(F.filter(scored, lambda y: y["similarity"] >= least), F.array().cast("array<struct<start:int,end:int,similarity:double>>"))
+
+        return F.flatten(F.transform("pieces", inside))
+
+    t = texts.where("text is not null").select("text_id", pieces.alias("pieces")).where("pieces is not null").withColumn("same", windows(n))
+    found = F.when(F.size("same") > 0, F.col("same")).otherwise(F.concat(*map(windows, other)))
+    return t.select("text_id", F.explode(found).alias("w")).select("text_id", "w.start", "w.end", F.round("w.similarity", 4).alias("similarity"))

@@ -69,7 +69,21 @@ SELECT doc_id, start, "end", coder, label IS NOT NULL AS annotated, coalesce(lab
 QUERIES["confusion_matrix"] = lambda s, d: rel.confusion(spans(s, d), "1", "2")
 SQL["confusion_matrix"] = _SPANS + """, f AS (SELECT doc_id, start, "end", coalesce(min(label) FILTER (coder = '1'), '') AS label1, coalesce(min(label) FILTER (coder = '2'), '') AS label2 FROM spans GROUP BY 1, 2, 3)
 SELECT label1, label2, count(*) AS n FROM f WHERE label1 != '' OR label2 != '' GROUP BY 1, 2"""
-QUERIES["fuzzy_match"] = lambda s, d: rel.fuzzy_find(s.read.parquet(f"{d}/benchmark.parquet").selectExpr("item_id as text_id", "text"), "the ondth", 0.5)
-SQL["fuzzy_match"] = r"""WITH w AS (SELECT item_id, i, trim(regexp_replace(lower(substr(text, i, 9)), '\s+', ' ', 'g')) AS x FROM (SELECT item_id, text, unnest(range(1, greatest(1, length(text) - 8) + 1)) AS i FROM benchmark)),
-s AS (SELECT item_id, i, CASE WHEN x = '' THEN 0 ELSE 1 - levenshtein(x, 'the ondth') / greatest(length(x), 9) END AS s FROM w)
-SELECT item_id AS text_id, (arg_min(i, (-s, i)) - 1)::INT AS position, round(max(s), 4)::DOUBLE AS similarity FROM s GROUP BY 1 HAVING round(max(s), 4) >= 0.5"""
+def _fuzzy(s, d):
+    # edit distances at every place cost far more than moving the texts, so these are dealt out first
+    t = s.read.parquet(f"{d}/documents.parquet").selectExpr("doc_id as text_id", "text").repartition(int(s.conf.get("spark.sql.shuffle.partitions")))
+    return rel.fuzzy_find(t, "the ondth", 0.75)
+
+
+QUERIES["fuzzy_match"] = _fuzzy
+
+
+def _windows_sql(table, m):
+    return f"""SELECT doc_id, i AS start, i + {m} AS e, CASE WHEN x = '' THEN 0 ELSE 1 - levenshtein(x, 'the ondth') / greatest(length(x), 9) END AS s
+FROM (SELECT doc_id, base + k AS i, trim(regexp_replace(lower(substr(piece, k + 1, {m})), '\\s+', ' ', 'g')) AS x FROM (SELECT *, unnest(range(0, least(512, length(piece) - {m} + 1))) AS k FROM {table}))"""
+
+
+SQL["fuzzy_match"] = f"""WITH p AS MATERIALIZED (SELECT doc_id, base, substr(text, base + 1, 523) AS piece FROM (SELECT doc_id, text, unnest(range(0, length(text), 512)) AS base FROM documents)),
+f AS MATERIALIZED (SELECT * FROM ({_windows_sql("p", 9)}) WHERE s >= 0.75), q AS MATERIALIZED (SELECT * FROM p WHERE doc_id NOT IN (SELECT doc_id FROM f)),
+v AS ({" UNION ALL ".join(f"SELECT * FROM ({_windows_sql('q', m)}) WHERE s >= 0.75" for m in range(6, 13))})
+SELECT doc_id AS text_id, start::INT AS start, e::INT AS "end", round(s, 4)::DOUBLE AS similarity FROM (SELECT * FROM f UNION ALL SELECT * FROM v)"""
