@@ -215,3 +215,19 @@ def test_fuzzy_find_falls_back_to_other_lengths_and_keeps_every_match(spark):
         want = {i: brute(t, 3 if near else None) for i, t in enumerate(texts) if t}
         assert {i: sorted(v) for i, v in got.items()} == {i: v for i, v in want.items() if v}
     assert reliability.fuzzy_find(df, "").count() == 0
+
+
+def test_text_types_and_bands(spark):
+    t = spark.createDataFrame([("LAW",), ("Legal Document",), ("Social Media",), ("own",), (None,)], "t string")
+    assert [r[0] for r in t.select(semantic.priority_of(F.col("t"), {"own": ("Z1",)})).collect()] == [["G2", "G2.1"], ["G2", "G2.1"], [], ["Z1"], []]
+    tokens_ = spark.createDataFrame([("x", 0, "a", ["A1", "G2.1/B2"], "LAW"), ("x", 1, "b", ["A1", "B1"], "MED"), ("x", 2, "c", ["A1", "B1"], "GEN")], "text_id string, tok_idx int, lemma string, usas_tags array<string>, text_type string")
+    rows = semantic.disambiguate(tokens_, semantic.priority_of(F.col("text_type"))).orderBy("tok_idx").collect()
+    assert [(r.usas_tag, r.method) for r in rows] == [("G2.1", "priority"), ("B1", "priority"), ("A1", "domain")]
+    f = spark.createDataFrame([(x,) for x in (0.9, 0.8, 0.79, 0.6, 0.5, 0.1)], "f double")
+    assert [r[0] for r in f.select(reliability.f1_band(F.col("f"))).collect()] == ["excellent", "good", "fair", "moderate", "poor", "very poor"]
+
+
+def test_gold_summary(spark):
+    counts = spark.createDataFrame([("a", "*", 3, 1, 1), ("b", "*", 0, 2, 4), ("a", "X", 3, 1, 1), ("b", "X", 0, 2, 4)], "coder string, label string, tp bigint, fp bigint, fn bigint")
+    rows = {(r["kind"], r["item"]): (r["precision"], r["recall"], r["f1"], r["band"]) for r in reliability.gold_summary(counts).collect()}
+    assert rows == {("coder", "a"): (0.75, 0.75, 0.75, "fair"), ("coder", "b"): (0.0, 0.0, 0.0, "very poor"), ("label", "X"): (0.5, 0.375, 0.4286, "very poor"), ("mean", "*"): (0.375, 0.375, 0.375, "very poor")}

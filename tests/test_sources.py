@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import ROOT
-from textloom.operators import frameworks, graph
+from textloom.operators import catalog, frameworks, graph
 from textloom.sources import readers, writers
 
 
@@ -133,3 +133,51 @@ def test_entry_without_the_training_operators(tmp_path):
     code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert 'word_frequency' in q and not any(k.startswith('op') for k in q) and set(o) <= set(q)"
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env).returncode == 0
+
+
+def test_semantic_annotations(spark, tmp_path):
+    tok = lambda t: {"text": t, "usas_tag": "A1"}
+    put(tmp_path / "a.usas.json", {"success": True, "tokens": [tok("x"), tok("y")]})
+    put(tmp_path / "b.json", {"tokens": [tok("spoken")], "usas_annotations": {"segments": {"s10": {"segment_start": 9.5, "tokens": [tok("c")]}, "s2": {"segment_start": 1.5, "tokens": [tok("a"), tok("b")]}}}})
+    put(tmp_path / "c.json", {"usas_annotations": {"tokens": []}})
+    rows = sorted((r.text_id, r.tok_idx, r.segment_id, r.text, r.usas_tag) for r in readers.read_usas(spark, str(tmp_path)).collect())
+    assert rows == [("a", 0, None, "x", "A1"), ("a", 1, None, "y", "A1"), ("b", 0, "s2", "a", "A1"), ("b", 1, "s2", "b", "A1"), ("b", 2, "s10", "c", "A1")]
+
+
+def test_metaphor_annotations(spark, tmp_path):
+    sent = lambda *words: {"tokens": [{"word": w, "is_metaphor": w == "m"} if w != "n" else {"word": w} for w in words]}
+    put(tmp_path / "a.mipvu.json", {"success": True, "sentences": [sent("x", "m"), sent("n")]})
+    put(tmp_path / "b.json", {"mipvu_annotations": {"success": True, "segments": [{"mipvu_data": {"success": True, "sentences": [sent("a")]}}, {"mipvu_data": {"success": False, "sentences": [sent("lost")]}}, {"other": 1}, {"mipvu_data": {"success": True, "sentences": [sent("m")]}}]}})
+    put(tmp_path / "c.json", {"mipvu_annotations": {"success": True, "sentences": [sent("w")], "segments": [{"mipvu_data": {"success": True, "sentences": [sent("no")]}}]}})
+    put(tmp_path / "d.mipvu.json", {"success": False, "sentences": [sent("failed")]})
+    put(tmp_path / "e.mipvu.json", {"sentences": [sent("silent")]})
+    rows = sorted((r.text_id, r.sent_idx, r.tok_idx, r.word, r.is_metaphor) for r in readers.read_mipvu(spark, str(tmp_path)).collect())
+    assert rows == [("a", 0, 0, "x", False), ("a", 0, 1, "m", True), ("a", 1, 2, "n", False), ("b", 0, 0, "a", False), ("b", 1, 1, "m", True), ("c", 0, 0, "w", False)]
+
+
+def test_corpora_of_other_forms(spark, tmp_path):
+    for d in ("brown", "oanc", "now"):
+        (tmp_path / d).mkdir()
+    put(tmp_path / "brown/ca01", "The/at Fulton's/np$-tl 1/2/cd ``/`` x/ppss$ /odd y/zz z\n")
+    assert [tuple(r) for r in readers.read_brown(spark, str(tmp_path / "brown")).collect()] == [("ca01", "The", "the", "DT"), ("ca01", "Fulton's", "fulton's", "NNP"), ("ca01", "1/2", "1/2", "CD"), ("ca01", "x", "x", "PRP"), ("ca01", "y", "y", "NN")]
+    put(tmp_path / "oanc/a.xml", '<d><s><tok pos="VB" lemma="go">Went</tok><tok type="IN">to</tok></s><w>Sea</w><token pos="">A&amp;B</token><word> </word></d>')
+    rows = sorted(tuple(r) for r in readers.read_oanc(spark, str(tmp_path / "oanc")).collect())
+    assert rows == [("a", "A&B", "a&b", "NN"), ("a", "Sea", "sea", "NN"), ("a", "Went", "go", "VB"), ("a", "to", "to", "IN")]
+    put(tmp_path / "now/n.txt", "A big 3rd día, x_y!\n")
+    assert [r.word for r in readers.read_plain_words(spark, str(tmp_path / "now"), 2).collect()] == ["big", "día"]
+
+
+def test_preprocessed_texts_come_back(spark, tmp_path):
+    t = spark.createDataFrame([(1, ["a", "b"]), (2, [])], "text_id int, tokens array<string>")
+    writers.write_preprocessed(t, str(tmp_path / "p"), {"language": "en"})
+    rows = sorted(tuple(r) for r in readers.read_preprocessed(spark, str(tmp_path / "p")).collect())
+    assert rows == [("1", "a b", ["a", "b"], 2, {"language": "en"}), ("2", "", [], 0, {"language": "en"})]
+
+
+def test_tasks_and_corpora_go(spark):
+    texts = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "text_id int, corpus_id string")
+    tags = spark.createDataFrame([(1, "x"), (2, "x")], "text_id int, tag string")
+    tasks = spark.createDataFrame([(7, "a", 1), (8, "b", 1), (9, None, 2)], "task_id int, corpus_id string, text_id int")
+    t, g, k = catalog.remove_corpora(texts, tags, tasks, spark.createDataFrame([("a",), ("a",)], "corpus_id string"))
+    assert sorted(r.text_id for r in t.collect()) == [2, 3] and [tuple(r) for r in g.collect()] == [(2, "x")]
+    assert sorted(tuple(r) for r in k.collect()) == [(7, None, None), (8, "b", None), (9, None, 2)]

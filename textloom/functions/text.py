@@ -15,8 +15,35 @@ from textloom.operators.tokens import STOPWORDS, WORD
 
 #: ASCII punctuation, CJK symbols, full-width forms.
 PUNCTUATION = r"[!-/:-@\[-`{-~\x{3000}-\x{303E}\x{FF00}-\x{FFEE}]"
-# Part-of-speech maps to Penn tags by first letters, and from Penn to WordNet's letters.
-CLAWS_TO_PENN = {"NN1": "NN", "NN2": "NNS", "NN0": "NN", "NP0": "NNP", "VVB": "VBP", "VVD": "VBD", "VVG": "VBG", "VVI": "VB", "VVN": "VBN", "VVZ": "VBZ", "AJ0": "JJ", "AJC": "JJR", "AJS": "JJS", "AV0": "RB", "PRP": "IN", "AT0": "DT", "CJC": "CC", "CJS": "IN", "CRD": "CD", "PNP": "PRP", "TO0": "TO", "DPS": "PRP$"}
+# Part-of-speech maps to Penn tags, and from Penn to WordNet's letters by first letters.
+CLAWS_TO_PENN = {
+    "NN0": "NN", "NN1": "NN", "NN2": "NNS", "NP0": "NNP", "NP1": "NNP", "NP2": "NNPS",
+    "VBB": "VBP", "VBD": "VBD", "VBG": "VBG", "VBI": "VB", "VBN": "VBN", "VBZ": "VBZ",
+    "VDB": "VBP", "VDD": "VBD", "VDG": "VBG", "VDI": "VB", "VDN": "VBN", "VDZ": "VBZ",
+    "VHB": "VBP", "VHD": "VBD", "VHG": "VBG", "VHI": "VB", "VHN": "VBN", "VHZ": "VBZ",
+    "VVB": "VBP", "VVD": "VBD", "VVG": "VBG", "VVI": "VB", "VVN": "VBN", "VVZ": "VBZ", "VM0": "MD",
+    "AJ0": "JJ", "AJC": "JJR", "AJS": "JJS", "AV0": "RB", "AVP": "RB", "AVQ": "WRB",
+    "AT0": "DT", "DT0": "DT", "DPS": "PRP$", "DTQ": "WDT", "PNP": "PRP", "PNI": "PRP", "PNQ": "WP", "PNX": "PRP",
+    "PRP": "IN", "PRF": "IN", "CJC": "CC", "CJS": "IN", "CJT": "IN", "CRD": "CD", "ORD": "JJ",
+    "PUN": ".", "PUL": "(", "PUR": ")", "PUQ": "''",
+    "TO0": "TO", "XX0": "RB", "ZZ0": "SYM", "UNC": "NN", "ITJ": "UH", "EX0": "EX", "POS": "POS",
+}
+BROWN_TO_PENN = {
+    "nn": "NN", "nns": "NNS", "np": "NNP", "nps": "NNPS", "nn$": "NN", "nns$": "NNS", "np$": "NNP", "nps$": "NNPS",
+    "nn-tl": "NNP", "nns-tl": "NNPS", "np-tl": "NNP", "nn-hl": "NN", "nns-hl": "NNS", "nr": "NN", "nr-tl": "NNP", "nr-hl": "NN",
+    "vb": "VB", "vbd": "VBD", "vbg": "VBG", "vbn": "VBN", "vbz": "VBZ", "vb-hl": "VB", "vbd-hl": "VBD", "vbg-hl": "VBG", "vbn-hl": "VBN",
+    "hv": "VB", "hvd": "VBD", "hvg": "VBG", "hvn": "VBN", "hvz": "VBZ",
+    "be": "VB", "bed": "VBD", "bedz": "VBD", "beg": "VBG", "bem": "VBP", "ben": "VBN", "ber": "VBP", "bez": "VBZ",
+    "do": "VB", "dod": "VBD", "doz": "VBZ", "md": "MD",
+    "jj": "JJ", "jjr": "JJR", "jjs": "JJS", "jjt": "JJS", "jj-tl": "JJ", "jj-hl": "JJ",
+    "rb": "RB", "rbr": "RBR", "rbt": "RBS", "rp": "RP", "rb-hl": "RB", "wrb": "WRB", "ql": "RB",
+    "at": "DT", "dt": "DT", "dti": "DT", "dts": "DT", "dtx": "DT", "ap": "DT", "abn": "DT", "abx": "DT",
+    "pp$": "PRP$", "pps": "PRP", "ppss": "PRP", "ppo": "PRP", "ppl": "PRP", "ppls": "PRP", "pn": "PRP", "pn$": "PRP$",
+    "wdt": "WDT", "wp$": "WP$", "wps": "WP", "wpo": "WP",
+    "in": "IN", "in-tl": "IN", "in-hl": "IN", "cc": "CC", "cs": "IN", "cd": "CD", "cd-tl": "CD", "cd-hl": "CD", "od": "JJ",
+    ".": ".", ",": ",", ":": ":", "(": "(", ")": ")", "''": "''", "``": "``", "--": ":", "*": "SYM", "'": "''", '"': "''",
+    "to": "TO", "ex": "EX", "uh": "UH", "fw": "FW", "nil": "NN",
+}
 PENN_TO_WORDNET = {"J": "a", "V": "v", "N": "n", "R": "r"}
 
 
@@ -26,6 +53,26 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+def _mapped(table: dict[str, str], key: Column) -> Column:
+    return F.try_element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), key)
+
+
+def claws_to_penn(tag: Column) -> Column:
+    """The Penn tag of a CLAWS tag, of the first of an ambiguous pair; NN for unknown ones and none."""
+    return F.coalesce(_mapped(CLAWS_TO_PENN, F.upper(F.substring_index(tag, "-", 1))), F.lit("NN"))
+
+
+def brown_to_penn(tag: Column) -> Column:
+    """The Penn tag of a Brown tag; a possessive that has none takes its base's; NN for unknown ones and none."""
+    low = F.lower(tag)
+    return F.coalesce(_mapped(BROWN_TO_PENN, low), F.when(low.contains("$"), _mapped(BROWN_TO_PENN, F.replace(low, F.lit("$"), F.lit("")))), F.lit("NN"))
+
+
+def penn_to_wordnet(tag: Column) -> Column:
+    """WordNet's letter of a Penn tag, a noun's where it has none."""
+    return F.coalesce(_mapped(PENN_TO_WORDNET, F.left(tag, F.lit(1))), F.lit("n"))
+
+
 def clean(text: Column) -> Column:
     """White space evened out, then control characters dropped, then trimmed."""
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"\s+", " "), r"\p{Cc}", ""))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -41,3 +41,49 @@ def append_new(old: DataFrame, new: DataFrame, key: str = "unique_id") -> DataFr
     """old with those rows of new whose key it lacks; a row with a null key is always new."""
     first = new.where(F.col(key).isNull()).unionByName(new.where(F.col(key).isNotNull()).dropDuplicates([key]))
     return old.unionByName(first.join(old.select(key), key, "left_anti").select(*old.columns))
+
+
+def remove(table: DataFrame, gone: DataFrame, *keys: str) -> DataFrame:
+    """table without the rows whose keys are in `gone`."""
+    return table.join(gone.select(*keys).distinct(), list(keys), "left_anti")
+
+
+def remove_corpora(texts: DataFrame, text_tags: DataFrame, tasks: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The texts, tags and tasks that are left when corpora (corpus_id) go: texts and their tags go too, tasks stay without their references."""
+    left = remove(texts, gone, "corpus_id")
+    lost = texts.join(gone.select("corpus_id").distinct(), "corpus_id", "left_semi").select("text_id").distinct()
+    without = lambda t, dead, key: t.join(dead.select(key).distinct().withColumn("_dead", F.lit(True)), key, "left").withColumn(key, F.when(F.col("_dead").isNull(), F.col(key))).drop("_dead")
+    kept = without(without(tasks, gone, "corpus_id"), lost, "text_id")
+    return left, remove(text_tags, lost, "text_id"), kept.select(*tasks.columns)
+
+
+def add_tags(text_tags: DataFrame, new: DataFrame) -> DataFrame:
+    """(text_id, tag) pairs, each once, however often it is added."""
+    return text_tags.select("text_id", "tag").unionByName(new.select("text_id", "tag")).distinct()
+
+
+def remove_tags(text_tags: DataFrame, gone: DataFrame) -> DataFrame:
+    return remove(text_tags, gone, "text_id", "tag")
+
+
+def update_tasks(tasks: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
+    """tasks with the fields that changes (task_id, ...) brings; a null field keeps the old one. Changed tasks get the time, completed ones as their end too."""
+    fields = [c for c in changes.columns if c != "task_id"]
+    new = changes.select("task_id", *(F.col(c).alias(f"n_{c}") for c in fields), F.lit(True).alias("_changed"))
+    t = tasks.join(new, "task_id", "left")
+    t = t.withColumns({c: F.coalesce(f"n_{c}", c) for c in fields})
+    done = F.col("n_status") == "completed" if "status" in fields else F.lit(False)
+    t = t.withColumns({"updated_at": F.when(F.col("_changed"), now).otherwise(F.col("updated_at")), "completed_at": F.when(done, now).otherwise(F.col("completed_at"))})
+    return t.select(*tasks.columns)
+
+
+def active_tasks(tasks: DataFrame, corpus: str, now: Column, recent: str = "2 minutes") -> DataFrame:
+    """A corpus's tasks that wait or run, or that ended within `recent`; newest first."""
+    ended = F.col("status").isin("completed", "failed") & (F.col("updated_at") > now - F.expr(f"interval {recent}"))
+    return tasks.where((F.col("corpus_id") == corpus) & (F.col("status").isin("pending", "processing") | ended)).orderBy(F.desc("created_at"), "task_id")
+
+
+def fail_stale(tasks: DataFrame, now: Column) -> DataFrame:
+    """tasks in which those that wait or run have failed, as after a restart."""
+    stale = F.col("status").isin("pending", "processing")
+    return tasks.withColumns({"message": F.when(stale, "Task interrupted (server restart)").otherwise(F.col("message")), "updated_at": F.when(stale, now).otherwise(F.col("updated_at")), "status": F.when(stale, "failed").otherwise(F.col("status"))})

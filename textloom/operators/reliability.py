@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.runtime import materialize
+
 
 def ratings(spans: DataFrame, lengths: DataFrame, coders: list[str]) -> DataFrame:
     """(doc_id, start, size, coder, category) per segment and coder; the category is the set of labels, as a bit string over all labels in order."""
@@ -45,6 +47,10 @@ def band(value: Column) -> Column:
     return F.when(value >= 0.8, "almost perfect").when(value >= 0.6, "substantial").when(value >= 0.4, "moderate").when(value >= 0.2, "fair").when(value >= 0, "slight").otherwise("poor")
 
 
+def f1_band(f1: Column) -> Column:
+    return F.when(f1 >= 0.9, "excellent").when(f1 >= 0.8, "good").when(f1 >= 0.7, "fair").when(f1 >= 0.6, "moderate").when(f1 >= 0.5, "poor").otherwise("very poor")
+
+
 def cohens_kappa(r: DataFrame) -> DataFrame:
     """(coder1, coder2, kappa, band) over label sets as categories."""
     n = _pairs(r).groupBy("coder1", "coder2", "c1", "c2").agg(F.sum("size").cast("double").alias("n"))
@@ -118,6 +124,38 @@ def precision_recall(spans: DataFrame, gold: str) -> DataFrame:
     return n.select("coder", "label", "tp", "fp", "fn", F.round(p, 4).alias("precision"), F.round(r, 4).alias("recall"), F.round(ratio(2 * p * r, p + r), 4).alias("f1"))
 
 
+def gold_summary(counts: DataFrame) -> DataFrame:
+    """(kind, item, precision, recall, f1, band) of precision_recall(): per coder, per label over all coders, and the coders' means, whose band is that of the mean precision and recall."""
+    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    scored = lambda t: t.withColumns({"p": ratio(F.col("tp"), F.col("tp") + F.col("fp")), "r": ratio(F.col("tp"), F.col("tp") + F.col("fn"))}).withColumn("f", ratio(2 * F.col("p") * F.col("r"), F.col("p") + F.col("r")))
+    coders = scored(counts.where("label = '*'")).select(F.lit("coder").alias("kind"), F.col("coder").alias("item"), "p", "r", "f")
+    labels = scored(counts.where("label != '*'").groupBy("label").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")))).select(F.lit("label").alias("kind"), F.col("label").alias("item"), "p", "r", "f")
+    mean = coders.agg(*(F.avg(c).alias(c) for c in ("p", "r", "f"))).select(F.lit("mean").alias("kind"), F.lit("*").alias("item"), "p", "r", "f")
+    out = coders.unionByName(labels).unionByName(mean)
+    return out.select("kind", "item", F.round("p", 4).alias("precision"), F.round("r", 4).alias("recall"), F.round("f", 4).alias("f1"), f1_band(ratio(2 * F.col("p") * F.col("r"), F.col("p") + F.col("r"))).alias("band"))
+
+
+def report(spans: DataFrame, lengths: DataFrame, coders: list[str], gold: str | None = None) -> DataFrame:
+    """(measure, item, value, band): every coefficient in one table, ready for a CSV or JSON writer.
+
+    Items are pairs of coders, levels of measurement, coders or labels; `*` is the whole. The ratings are written once and read by each measure.
+    """
+    r = materialize(ratings(spans, lengths, coders), "ratings")
+    pair, none = F.concat_ws("-", "coder1", "coder2").alias("item"), F.lit(None).cast("string").alias("band")
+    named = lambda t, measure, item, value, band_: t.select(F.lit(measure).alias("measure"), item, F.col(value).alias("value"), band_)
+    agreement, kappa, fleiss = percent_agreement(r), cohens_kappa(r), fleiss_kappa(r)
+    rows = [named(agreement, "percent_agreement", pair, "agreement", none), named(kappa, "cohens_kappa", pair, "kappa", F.col("band")), named(fleiss, "fleiss_kappa", F.lit("*").alias("item"), "kappa", band(F.col("kappa")).alias("band"))]
+    rows += [named(krippendorff_alpha(r, level), "krippendorff_alpha", F.col("level").alias("item"), "alpha", band(F.col("alpha")).alias("band")) for level in ("nominal", "ordinal", "interval", "ratio")]
+    if gold is not None:
+        g = gold_summary(precision_recall(spans, gold))
+        item = F.concat_ws(":", "kind", "item").alias("item")
+        rows += [named(g, m, item, m, F.col("band") if m == "f1" else none) for m in ("precision", "recall", "f1")]
+    out = rows[0]
+    for more in rows[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def unit_table(spans: DataFrame, n_coders: int) -> DataFrame:
     """(doc_id, start, end, label, coders, rate, agreed) per annotated position: the first coder's label, how many annotated it, and whether all labels are one."""
     n = spans.groupBy("doc_id", "start", "end").agg(F.min(F.struct("coder", "label")).alias("first"), F.count_distinct("coder").alias("coders"), F.count_distinct("label").alias("labels"))

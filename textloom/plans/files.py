@@ -111,7 +111,7 @@ def _bnc(s, d):
 
 
 QUERIES["read_bnc"] = _bnc
-SQL["read_bnc"] = f"WITH {TOKENS} SELECT word, lower(lemma) AS lemma, CASE pos WHEN 'NOUN' THEN 'NN' WHEN 'DET' THEN 'DT' ELSE 'XX0' END AS tag, count(*) AS n FROM tokens WHERE NOT is_punct GROUP BY ALL"
+SQL["read_bnc"] = f"WITH {TOKENS} SELECT word, lower(lemma) AS lemma, CASE pos WHEN 'NOUN' THEN 'NN' WHEN 'DET' THEN 'DT' ELSE 'RB' END AS tag, count(*) AS n FROM tokens WHERE NOT is_punct GROUP BY ALL"
 QUERIES["read_tagged"] = lambda s, d: readers.read_tagged(s, _written(s, annotate(docs(s, d)).groupBy("text_id", "sent_idx").agg(F.array_join(F.collect_list(F.when(F.col("is_punct"), F.col("text")).otherwise(F.concat_ws("_", "text", "pos"))), " ").alias("value")).select("value"))).groupBy("word", "tag").agg(F.count("*").alias("n"))
 SQL["read_tagged"] = f"WITH {TOKENS} SELECT text AS word, CASE WHEN NOT is_punct THEN pos END AS tag, count(*) AS n FROM tokens WHERE text != '_' GROUP BY ALL"
 QUERIES["read_frequencies"] = lambda s, d: readers.read_frequencies(s, _written(s, _parts(s, d).select(F.col("p_name").alias("word"), F.col("p_brand").alias("lemma"), F.col("p_type").alias("pos"), F.when(F.col("p_size") % 5 == 0, "n/a").otherwise(F.col("p_size").cast("string")).alias("freq")), "csv", header=True)).select("word", "lemma", "pos", "freq")
@@ -180,7 +180,7 @@ SQL["address_parts"] = "SELECT s_suppkey, 'Univ ' || s_name AS institution, n_na
 QUERIES["default_thresholds"] = lambda s, d: s.createDataFrame(sorted(stats.THRESHOLDS.items()), "measure string, threshold double")
 SQL["default_thresholds"] = "SELECT unnest(['log_likelihood', 'chi_squared', 'log_ratio', 'dice', 'mi', 'mi3', 't_score', 'simple', 'fisher']) AS measure, unnest([6.63, 6.63, 1.0, 0.0, 0.0, 0.0, 1.96, 0.0, 2.0])::DOUBLE AS threshold"
 QUERIES["tag_maps"] = lambda s, d: s.createDataFrame([("claws", *x) for x in text.CLAWS_TO_PENN.items()] + [("wordnet", *x) for x in text.PENN_TO_WORDNET.items()], "map string, tag string, mapped string").where("tag like 'N%' or map = 'wordnet'")
-SQL["tag_maps"] = "SELECT unnest(['claws', 'claws', 'claws', 'claws', 'wordnet', 'wordnet', 'wordnet', 'wordnet']) AS map, unnest(['NN1', 'NN2', 'NN0', 'NP0', 'J', 'V', 'N', 'R']) AS tag, unnest(['NN', 'NNS', 'NN', 'NNP', 'a', 'v', 'n', 'r']) AS mapped"
+SQL["tag_maps"] = "SELECT unnest(['claws', 'claws', 'claws', 'claws', 'claws', 'claws', 'wordnet', 'wordnet', 'wordnet', 'wordnet']) AS map, unnest(['NN0', 'NN1', 'NN2', 'NP0', 'NP1', 'NP2', 'J', 'V', 'N', 'R']) AS tag, unnest(['NN', 'NN', 'NNS', 'NNP', 'NNP', 'NNPS', 'a', 'v', 'n', 'r']) AS mapped"
 
 
 def _plain_sentences(s, d):

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.functions.text import CLAWS_TO_PENN, address_parts, resource_name
+from textloom.functions.text import address_parts, brown_to_penn, claws_to_penn, resource_name
 
 TOKEN = "struct<text: string, start: int, `end`: int, pos: string, tag: string, lemma: string, dep: string, head: int, morph: string, is_stop: boolean, is_punct: boolean, is_space: boolean, usas_tag: string, usas_tags: array<string>, is_metaphor: boolean, metaphor_source: string>"
 SIDECAR = f"tokens array<{TOKEN}>, sentences array<struct<text: string, start: int, `end`: int, tokens: array<{TOKEN}>>>, entities array<struct<text: string, start: int, `end`: int, label: string, description: string>>, segments map<string, struct<segment_start: double, segment_end: double, tokens: array<{TOKEN}>>>"
@@ -20,7 +20,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
     Heads inside a segment are numbered from the segment's first token on; missing flags are false.
     """
-    raw = spark.read.schema(SIDECAR).json(path, multiLine=True).withColumn("text_id", F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[a-z]+)?\.json$", 1))
+    raw = spark.read.schema(SIDECAR).json(path, multiLine=True).withColumn("text_id", _stem())
     nested = F.flatten(F.transform("sentences", lambda s: F.coalesce(s["tokens"], F.array().cast(f"array<{TOKEN}>"))))
     plain = raw.where("segments is null").select("text_id", F.lit(None).cast("string").alias("segment_id"), F.posexplode(F.coalesce("tokens", nested)).alias("tok_idx", "t"))
     seg = raw.where("segments is not null").select("text_id", F.explode("segments").alias("segment_id", "s")).select("text_id", "segment_id", "s.segment_start", F.posexplode("s.tokens").alias("i", "t"))
@@ -31,6 +31,51 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return plain.unionByName(seg).select("text_id", "segment_id", "tok_idx", "t.*").withColumns(flags)
 
 
+def read_usas(spark: SparkSession, path: str) -> DataFrame:
+    """(text_id, segment_id, tok_idx, token fields) of semantic annotation files and of transcripts that hold one.
+
+    Tokens come first, else the segments' in the file's form; a segment's tokens are numbered on from the one before.
+    """
+    form = f"tokens array<{TOKEN}>, segments map<string, struct<segment_start: double, tokens: array<{TOKEN}>>>"
+    raw = spark.read.schema(f"{form}, usas_annotations struct<{form}>").json(path, multiLine=True).withColumn("text_id", _stem())
+    raw = raw.select("text_id", *(F.when(F.col("usas_annotations").isNotNull(), F.col(f"usas_annotations.{c}")).otherwise(F.col(c)).alias(c) for c in ("tokens", "segments")))
+    plain = raw.where("tokens is not null").select("text_id", F.lit(None).cast("string").alias("segment_id"), F.posexplode("tokens").alias("tok_idx", "t"))
+    seg = raw.where("tokens is null").select("text_id", F.explode("segments").alias("segment_id", "s")).select("text_id", "segment_id", "s.segment_start", F.posexplode("s.tokens").alias("i", "t"))
+    seg = seg.withColumn("tok_idx", F.row_number().over(Window.partitionBy("text_id").orderBy("segment_start", "segment_id", "i")) - 1)
+    return plain.unionByName(seg.select("text_id", "segment_id", "tok_idx", "t")).select("text_id", "segment_id", "tok_idx", "t.*")
+
+
+def read_mipvu(spark: SparkSession, path: str) -> DataFrame:
+    """(text_id, sent_idx, tok_idx, word, lemma, pos, tag, dep, start, end, is_metaphor, metaphor_source) of metaphor annotations.
+
+    A file is an annotation, or a transcript that holds one, whole or per segment; the sentences of successful
+    segments are put together in order. Files that do not report success are left out.
+    """
+    token = "struct<word: string, lemma: string, pos: string, tag: string, dep: string, start: int, `end`: int, is_metaphor: boolean, metaphor_source: string>"
+    form = f"success boolean, sentences array<struct<tokens: array<{token}>>>"
+    raw = spark.read.schema(f"{form}, mipvu_annotations struct<{form}, segments: array<struct<mipvu_data: struct<{form}>>>>").json(path, multiLine=True).withColumn("text_id", _stem())
+    held = F.col("mipvu_annotations")
+    good = F.filter(held["segments"], lambda s: F.coalesce(s["mipvu_data"]["success"], F.lit(False)))
+    merged = F.flatten(F.transform(good, lambda s: F.coalesce(s["mipvu_data"]["sentences"], F.array().cast(f"array<struct<tokens: array<{token}>>>"))))
+    cut = held["segments"].isNotNull() & held["sentences"].isNull()
+    own = F.when(held.isNull(), F.when(F.col("success"), F.col("sentences"))).when(cut, merged).when(held["success"], held["sentences"])
+    t = raw.select("text_id", F.posexplode(own).alias("sent_idx", "s")).select("text_id", "sent_idx", F.posexplode("s.tokens").alias("i", "t"))
+    t = t.withColumn("tok_idx", F.row_number().over(Window.partitionBy("text_id").orderBy("sent_idx", "i")) - 1)
+    return t.select("text_id", "sent_idx", "tok_idx", "t.*").withColumn("is_metaphor", F.coalesce("is_metaphor", F.lit(False)))
+
+
+def _stem() -> Column:
+    """The file's name without .json and the kind before it."""
+    return F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[a-z]+)?\.json$", 1)
+
+
+def read_preprocessed(spark: SparkSession, path: str) -> DataFrame:
+    """(text_id, text, tokens, word_count, config) as write_preprocessed() has them."""
+    texts = spark.read.schema("text_id string, text string").json(f"{path}/texts")
+    tokens = spark.read.schema("text_id string, tokens array<string>, word_count bigint, config map<string, string>").json(f"{path}/tokens")
+    return texts.join(tokens, "text_id")
+
+
 def read_frequencies(spark: SparkSession, path: str) -> DataFrame:
     """(prefix, category, word, lemma, pos, freq): CSV lists with their names' parts; numbers that are none count zero."""
     t = spark.read.schema("word string, lemma string, pos string, freq string").csv(path, header=True)
@@ -137,13 +182,41 @@ def _entries(t, title, authors, institutions, countries, journal, year, keywords
 def read_bnc(spark: SparkSession, path: str) -> DataFrame:
     """(text_id, word, lemma, tag) of <w c5 hw> elements, tags mapped to Penn's."""
     t = spark.read.format("xml").option("rowTag", "w").schema("_c5 string, _hw string, _VALUE string").load(path)
-    tags = F.create_map(*(F.lit(x) for kv in CLAWS_TO_PENN.items() for x in kv))
-    return t.select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.xml$", 1).alias("text_id"), F.trim("_VALUE").alias("word"), F.col("_hw").alias("lemma"), F.coalesce(tags[F.col("_c5")], F.col("_c5")).alias("tag"))
+    return t.select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.xml$", 1).alias("text_id"), F.trim("_VALUE").alias("word"), F.col("_hw").alias("lemma"), claws_to_penn(F.col("_c5")).alias("tag"))
+
+
+def read_brown(spark: SparkSession, path: str) -> DataFrame:
+    """(text_id, word, lemma, tag) of plain texts of word/tag pairs, tags mapped to Penn's; quotes and dashes are left out."""
+    t = spark.read.text(path).select(_text_id(), F.explode(F.split("value", r"\s+")).alias("p")).where(F.col("p").rlike(r"^\S+/\S+$"))
+    t = t.select("text_id", F.regexp_extract("p", r"^(\S+)/(\S+)$", 1).alias("word"), brown_to_penn(F.regexp_extract("p", r"^(\S+)/(\S+)$", 2)).alias("tag"))
+    return t.where(~F.col("word").isin("``", "''", "--")).select("text_id", "word", F.lower("word").alias("lemma"), "tag")
+
+
+def read_oanc(spark: SparkSession, path: str, elements: tuple[str, ...] = ("tok", "token", "word", "w")) -> DataFrame:
+    """(text_id, word, lemma, tag) of the XML elements in use for words; the tag is pos, else type, else NN. Each element is one scan."""
+    out = None
+    for name in elements:
+        t = spark.read.format("xml").option("rowTag", name).schema("_pos string, _type string, _lemma string, _VALUE string").load(path)
+        tag = F.coalesce(F.nullif(F.coalesce("_pos", "_type"), F.lit("")), F.lit("NN"))
+        t = t.select(_text_id(), F.trim("_VALUE").alias("word"), F.coalesce("_lemma", F.lower(F.trim("_VALUE"))).alias("lemma"), tag.alias("tag")).where("word != ''")
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
+def read_plain_words(spark: SparkSession, path: str, least: int = 1) -> DataFrame:
+    """(text_id, word) of plain texts: words of letters only, of `least` or more. They bring no tags."""
+    t = spark.read.text(path).select(_text_id(), F.explode(F.regexp_extract_all("value", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("word"))
+    return t.where(F.col("word").rlike(r"^\p{L}+$") & (F.length("word") >= least))
+
+
+def _text_id() -> Column:
+    """The file's name without its ending."""
+    return F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[a-z]+)?$", 1).alias("text_id")
 
 
 def read_tagged(spark: SparkSession, path: str, mark: str = "_") -> DataFrame:
     """(text_id, word, tag) of plain texts of word_TAG pairs."""
-    t = spark.read.text(path).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[a-z]+)?$", 1).alias("text_id"), F.explode(F.split(F.trim("value"), r"\s+")).alias("p")).where("p != ''")
+    t = spark.read.text(path).select(_text_id(), F.explode(F.split(F.trim("value"), r"\s+")).alias("p")).where("p != ''")
     at = F.length("p") - F.locate(mark, F.reverse("p"))
     return t.select("text_id", F.when(F.locate(mark, F.col("p")) > 0, F.substring(F.col("p"), F.lit(1), at)).otherwise(F.col("p")).alias("word"), F.when(F.locate(mark, F.col("p")) > 0, F.substring(F.col("p"), at + 2, F.length("p"))).alias("tag"))
 

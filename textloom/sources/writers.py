@@ -41,3 +41,11 @@ def write_topics(topics: DataFrame, path: str) -> None:
     """Topic results (topic, term, ...) as JSON, one topic a line with its terms in order of rank."""
     kept = [c for c in topics.columns if c not in ("topic", "rank")]
     topics.groupBy("topic").agg(F.sort_array(F.collect_list(F.struct("rank", *kept))).alias("terms")).write.mode("overwrite").json(path)
+
+
+def write_preprocessed(texts: DataFrame, path: str, config: dict[str, str] | None = None) -> None:
+    """Processed texts (text_id, tokens) under path: `texts` with the words joined, `tokens` with the words, their number and the settings."""
+    named = [F.lit(x) for kv in (config or {}).items() for x in kv]
+    t = texts.withColumn("text_id", F.col("text_id").cast("string"))
+    t.select("text_id", F.array_join("tokens", " ").alias("text")).write.mode("overwrite").json(f"{path}/texts")
+    t.select("text_id", "tokens", F.size("tokens").alias("word_count"), F.create_map(*named).cast("map<string, string>").alias("config")).write.mode("overwrite").json(f"{path}/tokens")
