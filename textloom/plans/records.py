@@ -36,8 +36,8 @@ def _usas_files(s, d):
     return _written(s, whole.select(form(0, F.col("tokens")).alias("tokens"), held.alias("usas_annotations")), "json", maxRecordsPerFile=1)
 
 
-QUERIES["read_usas"] = lambda s, d: readers.read_usas(s, _usas_files(s, d)).groupBy("tok_idx", "text", "pos", "lemma", "usas_tag", F.array_join("usas_tags", " ").alias("tags"), F.col("segment_id").alias("segment")).agg(F.count("*").alias("n"))
-SQL["read_usas"] = _TAGGED + """ SELECT tok_idx::INT AS tok_idx, text, pos, lemma, usas_tag, array_to_string(usas_tags, ' ') AS tags, CASE WHEN text_id % 3 = 2 THEN 's' || (tok_idx // 50) END AS segment, count(*) AS n FROM t GROUP BY ALL"""
+QUERIES["read_usas"] = lambda s, d: readers.read_usas(s, _usas_files(s, d)).groupBy("text", "pos", "lemma", "usas_tag", F.array_join("usas_tags", " ").alias("tags"), F.col("segment_id").alias("segment")).agg(F.count("*").alias("n"), F.sum("tok_idx").alias("places"))
+SQL["read_usas"] = _TAGGED + """ SELECT text, pos, lemma, usas_tag, array_to_string(usas_tags, ' ') AS tags, CASE WHEN text_id % 3 = 2 THEN 's' || (tok_idx // 50) END AS segment, count(*) AS n, sum(tok_idx)::BIGINT AS places FROM t GROUP BY ALL"""
 
 
 def _mipvu_files(s, d):
@@ -53,9 +53,9 @@ def _mipvu_files(s, d):
     return _written(s, whole.select(form(0, ok).alias("success"), form(0, sentences).alias("sentences"), held.alias("mipvu_annotations")), "json", maxRecordsPerFile=1)
 
 
-QUERIES["read_mipvu"] = lambda s, d: readers.read_mipvu(s, _mipvu_files(s, d)).groupBy("tok_idx", "word", "lemma", "pos", "tag", "dep", "is_metaphor", "metaphor_source").agg(F.count("*").alias("n"))
-SQL["read_mipvu"] = _TAGGED + """, k AS (SELECT *, row_number() OVER (PARTITION BY text_id ORDER BY tok_idx) - 1 AS i FROM t WHERE CASE WHEN text_id % 3 = 2 THEN sent_idx % 5 != 4 ELSE text_id % 7 != 0 END)
-SELECT i::INT AS tok_idx, text AS word, lemma, pos, tag, dep, is_metaphor, CASE WHEN tok_idx % 2 = 0 THEN 'rule:x' WHEN tok_idx % 3 = 0 THEN 'hitz' ELSE 'odd' END AS metaphor_source, count(*) AS n FROM k GROUP BY ALL"""
+QUERIES["read_mipvu"] = lambda s, d: readers.read_mipvu(s, _mipvu_files(s, d)).groupBy("word", "lemma", "pos", "tag", "dep", "is_metaphor", "metaphor_source").agg(F.count("*").alias("n"), F.sum("tok_idx").alias("places"), F.sum("sent_idx").alias("sentences"))
+SQL["read_mipvu"] = _TAGGED + """, k AS (SELECT *, row_number() OVER (PARTITION BY text_id ORDER BY tok_idx) - 1 AS i, dense_rank() OVER (PARTITION BY text_id ORDER BY sent_idx) - 1 AS j FROM t WHERE CASE WHEN text_id % 3 = 2 THEN sent_idx % 5 != 4 ELSE text_id % 7 != 0 END)
+SELECT text AS word, lemma, pos, tag, dep, is_metaphor, CASE WHEN tok_idx % 2 = 0 THEN 'rule:x' WHEN tok_idx % 3 = 0 THEN 'hitz' ELSE 'odd' END AS metaphor_source, count(*) AS n, sum(i)::BIGINT AS places, sum(j)::BIGINT AS sentences FROM k GROUP BY ALL"""
 
 
 # Surrogate tags in the two tag sets, by part of speech.
@@ -222,4 +222,4 @@ def _preprocessed(s, d):
 
 
 QUERIES["preprocessed_files"] = _preprocessed
-SQL["preprocessed_files"] = f"SELECT doc_id, tokens, tokens AS text, len(string_split(nullif(tokens, ''), ' ')) AS word_count, 'en' AS language FROM ({_LONGTAIL['preprocess_pipeline']})"
+SQL["preprocessed_files"] = f"SELECT doc_id, tokens, tokens AS text, coalesce(len(string_split(nullif(tokens, ''), ' ')), 0) AS word_count, 'en' AS language FROM ({_LONGTAIL['preprocess_pipeline']})"
