@@ -84,6 +84,14 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from textloom.llm.alignment import align
+
+    return align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 #: The ledger of op7 with its rules and policy written out.
 OP7_SQL = r"""
 WITH d AS (
@@ -121,5 +129,5 @@ def _sql() -> dict[str, str]:
     return {"op7_quality": OP7_SQL, "op8_mixing": mixing.SQL}
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op3_chat, op4_substring, op5_embeddings, op6_html, op7_quality, op8_mixing, op9_langid, op10_line_dedup, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op3_chat, op4_substring, op5_embeddings, op6_html, op7_quality, op8_mixing, op9_langid, op10_line_dedup, op11_alignment, pipeline)}
 SQL: dict[str, str] = _sql()
