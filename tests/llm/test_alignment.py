@@ -57,7 +57,7 @@ HARD = ["Hello  world ", " a", "\nLe mot", "x\xa0 y\xa0", "ﬁ é", "a\t b\r\n
 
 def test_two_pointers():
     sizes = [1, 2, 3, 4]
-    assert merge([2, 0, 1], [1, 1, 1], sizes, sizes) == ([(0, 3, 0, 3)], True)
+    assert merge([2, 0, 1], [1, 1, 1], sizes, sizes) == ([(0, 2, 0, 2), (2, 3, 2, 3)], True)
     assert merge([2, 0, 1], [2, 2], sizes, sizes) == ([(0, 1, 0, 1), (1, 3, 1, 2)], True)
     assert merge([3], [0, 2], sizes, sizes) == ([(0, 1, 0, 2)], True)
     assert merge([0], [1], sizes, sizes)[1] is False
