@@ -92,6 +92,12 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.codes import compress
+
+    return compress(table(spark, sf_dir, "embeddings"))
+
+
 #: The ledger of op7 with its rules and policy written out.
 OP7_SQL = r"""
 WITH d AS (
@@ -124,10 +130,10 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
 
 
 def _sql() -> dict[str, str]:
-    from textloom.llm import mixing
+    from textloom.llm import codes, mixing
 
-    return {"op7_quality": OP7_SQL, "op8_mixing": mixing.SQL}
+    return {"op7_quality": OP7_SQL, "op8_mixing": mixing.SQL, "op12_codes": codes.SQL}
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op3_chat, op4_substring, op5_embeddings, op6_html, op7_quality, op8_mixing, op9_langid, op10_line_dedup, op11_alignment, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op3_chat, op4_substring, op5_embeddings, op6_html, op7_quality, op8_mixing, op9_langid, op10_line_dedup, op11_alignment, op12_codes, pipeline)}
 SQL: dict[str, str] = _sql()
