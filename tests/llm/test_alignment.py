@@ -4,6 +4,7 @@ import hashlib
 from collections import Counter
 from itertools import accumulate
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -11,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from textloom.llm.alignment import Aligner, align, byte_alphabet, merge
+from textloom.llm.alignment import Aligner, align, byte_alphabet, merge, spread
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 TOK = Tokenizer.from_file(A)
@@ -55,13 +56,30 @@ def expected(texts):
 HARD = ["Hello  world ", " a", "\nLe mot", "x\xa0 y\xa0", "ﬁ é", "a\t b\r\n  c \n\n d", "<|endoftext|> <s> <0x41> </s>", "▁x", "a ▁ b", "　a", "x   ", "é\x00b", "日本 語", "don't  'll 's", "🙂🙂 a  b", "é\ń x", ".\n.\n\n.", "\n", " ", "\u0085x \u0085", "a\x1c b \x1fc", "x᠎ y"]
 
 
-def test_two_pointers():
-    sizes = [1, 2, 3, 4]
-    assert merge([2, 0, 1], [1, 1, 1], sizes, sizes) == ([(0, 2, 0, 2), (2, 3, 2, 3)], True)
-    assert merge([2, 0, 1], [2, 2], sizes, sizes) == ([(0, 1, 0, 1), (1, 3, 1, 2)], True)
-    assert merge([3], [0, 2], sizes, sizes) == ([(0, 1, 0, 2)], True)
-    assert merge([0], [1], sizes, sizes)[1] is False
-    assert merge([], [], sizes, sizes) == ([], True)
+def two_pointers(ends_a, ends_b):
+    i = j = g = 0
+    of_a, of_b = [], []
+    while i < len(ends_a):
+        if j < len(ends_b) and ends_b[j] < ends_a[i]:
+            of_b.append(g)
+            j += 1
+        elif j < len(ends_b) and ends_b[j] == ends_a[i]:
+            of_a.append(g)
+            of_b.append(g)
+            i, j, g = i + 1, j + 1, g + 1
+        else:
+            of_a.append(g)
+            i += 1
+    return of_a, of_b, g
+
+
+@given(st.sets(st.integers(1, 60)), st.sets(st.integers(1, 60)))
+def test_two_pointers(a, b):
+    a, b = sorted(a | {61}), sorted(b | {61})
+    of_a, of_b, n = merge(np.array(a), np.array(b))
+    assert (of_a.tolist(), of_b.tolist(), n) == two_pointers(a, b)
+    at_a, at_b = spread(of_a, of_b, n)
+    assert list(zip(at_a.tolist(), at_b.tolist(), strict=True)) == [(i, j) for i in range(len(a)) for j in range(len(b)) if of_a[i] == of_b[j]]
 
 
 @settings(max_examples=300, deadline=None)

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
-import os
+import json
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -18,7 +20,7 @@ from textloom.llm import kernels as K
 from textloom.runtime import materialize, small_batches
 
 #: Distinct segments that a worker keeps, and their bytes; beyond either it begins anew after a block.
-_SEGMENTS, _SEGMENT_BYTES = 300_000, 48 << 20
+_SEGMENTS, _SEGMENT_BYTES = 250_000, 128 << 20
 #: Bytes of text of a block of documents.
 BLOCK = 2 << 20
 #: Where white space outside ASCII may begin in UTF-8.
@@ -46,17 +48,6 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in keep} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-@dataclass
-class Aligned:
-    """A segment's token counts, its groups as text and its links as pairs a << 32 | b, repeats included."""
-
-    n_a: int
-    n_b: int
-    n_groups: int
-    groups: bytes
-    links: bytes
-
-
 @dataclass
 class Block:
     """Of a block's texts: token, group and link counts, digests, and slots into `pairs` with times, text k's from start[k] on."""
@@ -69,49 +60,69 @@ class Block:
     times: np.ndarray
 
 
-def merge(a: list[int], b: list[int], size_a: list[int], size_b: list[int]) -> tuple[list[tuple[int, int, int, int]], bool]:
-    """Two pointers over the cumulative ends of both sides: (from a, to a, from b, to b) of each group; whether both end together."""
-    out = []
-    i = j = i0 = j0 = end_a = end_b = 0
-    while i < len(a) or j < len(b):
-        if j >= len(b) or i < len(a) and end_a <= end_b:
-            end_a += size_a[a[i]]
-            i += 1
-        else:
-            end_b += size_b[b[j]]
-            j += 1
-        if end_a == end_b and i > i0 and j > j0:
-            out.append((i0, i, j0, j))
-            i0, j0 = i, j
-    return out, i0 == i and j0 == j
+def merge(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """The group of each token of both sides, and the number of groups, by one merge of their cumulative ends.
+
+    A stable sort of two ascending runs is their merge with one pointer into each; an end that comes
+    twice in it is common to both sides and ends a group. The last ends must be equal.
+    """
+    both = np.concatenate([ends_a, ends_b])
+    order = np.argsort(both, kind="stable")
+    both = both[order]
+    common = np.append(both[1:] == both[:-1], False)
+    # the first of a common pair is A's, by stability; a token's group counts the common ends before its own
+    group = np.empty(len(both), np.int64)
+    group[order] = np.cumsum(common) - common
+    group_b = group[len(ends_a) :]
+    # B's token at a common end comes behind A's, where the group has been counted already
+    last = np.zeros(len(both), bool)
+    last[order[1:][common[:-1]]] = True
+    return group[: len(ends_a)], group_b - last[len(ends_a) :], int(common.sum())
+
+
+def spread(groups_a: np.ndarray, groups_b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs within groups, as places in A and in B, A's in order."""
+    size_b = np.bincount(groups_b, minlength=n)
+    first_b = np.cumsum(size_b) - size_b
+    times = size_b[groups_a]
+    at_a = np.repeat(np.arange(len(groups_a)), times)
+    step = np.arange(len(at_a)) - np.repeat(np.cumsum(times) - times, times)
+    return at_a, first_b[groups_a][at_a] + step
 
 
 class Aligner:
-    """Both tokenizers, and the alignment of segments between places where each of them always cuts."""
+    """Both tokenizers, and the ids of segments between places where each of them always cuts."""
 
     _kept: dict[tuple[str, str], Aligner] = {}
 
     def __init__(self, path_a: str, path_b: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import public_tokenizers
         import sentencepiece
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.a = Tokenizer.from_file(path_a)
-        self.a.encode_special_tokens = True
-        self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
+        with open(path_a, encoding="utf-8") as f:
+            told = json.load(f)
         alphabet = byte_alphabet()
-        self.bytes_a: dict[int, bytes] = {}
-        for token, i in self.a.get_vocab(with_added_tokens=True).items():
-            self.bytes_a[i] = bytes(alphabet[c] for c in token) if all(c in alphabet for c in token) else token.encode()
+        special = {t["content"] for t in told["added_tokens"] if t["special"]}
+        ranks = {bytes(alphabet[c] for c in t): i for t, i in told["model"]["vocab"].items() if t not in special}
+        # ids ascend with the merges, so that they are ranks
+        merges = [m.split(" ") if isinstance(m, str) else m for m in told["model"]["merges"]]
+        made = [told["model"]["vocab"]["".join(m)] for m in merges]
+        if made != sorted(made) or told["normalizer"] is not None:
+            raise ValueError(f"{path_a} is no byte-level BPE whose ids are in order of its merges")
+        self.a = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.size_a = {i: len(x) for i, x in self.bytes_a.items()}
-        self.size_b = [len(x) for x in self.bytes_b]
+        self.size_a = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.size_a[list(ranks.values())] = [len(x) for x in ranks]
+        self.size_b = np.array([len(x) for x in self.bytes_b])
+        # what an id is followed by in a group: another id of its side, the other side, or the next group
+        self.named = [f"{i}{sign}".encode() for i in range(max(len(self.size_a), len(self.size_b))) for sign in ",|;"]
         # B cuts before a space mark that follows another character, and on both sides of a line break, if no piece spans them
         self.space_cuts = not any("▁" in p.lstrip("▁") for p in pieces)
-        self.break_cuts = not any("\n" in p for p in pieces)
         self.mark = self.b.encode("\n")[:1]
-        self.break_cuts &= self.bytes_b[self.mark[0]] == b" " and len(self.b.encode("\n")) == 2
+        self.break_cuts = not any("\n" in p for p in pieces) and len(self.b.encode("\n")) == 2 and self.bytes_b[self.mark[0]] == b" "
         self.clear()
 
     @classmethod
@@ -121,8 +132,8 @@ class Aligner:
         return cls._kept[path_a, path_b]
 
     def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.found: list[Aligned | None] = []
+        #: A segment's ids of both sides, as bytes of 32-bit numbers; None if B's pieces do not spell it.
+        self.found: dict[bytes, tuple[bytes, bytes] | None] = {}
         self.bytes_kept = 0
 
     def segments(self, text: bytes) -> list[bytes]:
@@ -142,55 +153,55 @@ class Aligner:
         ends = [0, *np.flatnonzero(cut).tolist(), len(x)]
         return [text[i:j] for i, j in zip(ends, ends[1:])]
 
-    def align(self, segment: bytes) -> Aligned | None:
-        """None if the bytes of either side's tokens are not the segment's."""
-        text = segment.decode()
-        a = self.a.encode(text, add_special_tokens=False).ids
-        if segment[0] == _SPACE:
-            b = self.b.encode(text[1:], num_threads=1) if len(segment) > 1 else self.mark
-        else:
-            b = self.b.encode(text, num_threads=1)
-            if b[:1] != self.mark:
-                return None
-            b = b[1:]
-        if b"".join([self.bytes_a[i] for i in a]) != segment or b"".join([self.bytes_b[i] for i in b]) != segment:
-            return None
-        groups, whole = merge(a, b, self.size_a, self.size_b)
-        assert whole
-        text = ";".join(f"{','.join(map(str, a[i:k]))}|{','.join(map(str, b[j:m]))}" for i, k, j, m in groups)
-        links = np.concatenate([(np.array(a[i:k], np.int64)[:, None] << 32 | np.array(b[j:m], np.int64)[None, :]).ravel() for i, k, j, m in groups])
-        return Aligned(len(a), len(b), len(groups), text.encode(), links.tobytes())
-
-    def numbers(self, text: bytes) -> list[int]:
-        """The number of each segment of the text in what this aligner has found."""
-        out = []
-        get = self.index.get
-        for s in self.segments(text):
-            k = get(s)
-            if k is None:
-                k = self.index[s] = len(self.found)
-                one = self.align(s)
-                self.found.append(one)
-                self.bytes_kept += len(s) + 200 + (len(one.groups) + len(one.links) if one else 0)
-            out.append(k)
-        return out
+    def learn(self, segments: list[bytes]) -> None:
+        """The ids of new segments."""
+        texts = [x.decode() for x in segments]
+        # B puts a space before what it is given: it stands for the segment's own, or goes again before a line break
+        plain = [x[0] == _SPACE for x in segments]
+        many = self.b.encode([t[1:] if k else t for t, k in zip(texts, plain, strict=True)], num_threads=1)
+        for x, t, k, b in zip(segments, texts, plain, many, strict=True):
+            if k:
+                b = b or self.mark
+            else:
+                b = b[1:] if b[:1] == self.mark else []
+            if b"".join([self.bytes_b[i] for i in b]) == x:
+                a = self.a.encode_ordinary(t)
+                self.found[x] = struct.pack(f"<{len(a)}I", *a), struct.pack(f"<{len(b)}I", *b)
+            else:
+                self.found[x] = None
+            self.bytes_kept += len(x) + 400
 
     def block(self, texts: list[bytes | None]) -> Block:
-        if len(self.index) > _SEGMENTS or self.bytes_kept > _SEGMENT_BYTES:
+        if len(self.found) > _SEGMENTS or self.bytes_kept > _SEGMENT_BYTES:
             self.clear()
-        sums, digests = np.zeros((len(texts), 4), np.int64), [""] * len(texts)
-        per: list[tuple[np.ndarray, np.ndarray]] = []
-        for k, text in enumerate(texts):
-            found = [self.found[i] for i in self.numbers(text)] if text else [None]
-            if None in found:
-                per.append((np.zeros(0, np.int64), np.zeros(0, np.int64)))
-                continue
-            digests[k] = hashlib.sha256(b";".join([f.groups for f in found])).hexdigest()
-            links = np.frombuffer(b"".join([f.links for f in found]), np.int64)
-            sums[k] = sum([f.n_a for f in found]), sum([f.n_b for f in found]), sum([f.n_groups for f in found]), len(links)
-            per.append(np.unique(links, return_counts=True))
-        pairs, slots = np.unique(np.concatenate([p for p, _ in per]), return_inverse=True)
-        return Block(sums, digests, pairs, np.cumsum([0, *(len(p) for p, _ in per)]), slots, np.concatenate([n for _, n in per]))
+        cut = [self.segments(t) if t else [] for t in texts]
+        self.learn([x for x in dict.fromkeys(chain.from_iterable(cut)) if x not in self.found])
+        ids = [[self.found[x] for x in c] for c in cut]
+        ids = [[] if None in x else x for x in ids]
+        a, b = (np.frombuffer(b"".join([x[side] for t in ids for x in t]), "<u4").astype(np.int64) for side in (0, 1))
+        n_a, n_b = (np.array([sum([len(x[side]) for x in t]) // 4 for t in ids], np.int64) for side in (0, 1))
+        groups_a, groups_b, n = merge(np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b]))
+        # each text begins and ends with a group
+        n_groups = np.diff(np.append(groups_a, n)[np.cumsum(n_a)], prepend=0) if len(a) else np.zeros(len(texts), np.int64)
+        at_a, at_b = spread(groups_a, groups_b, n)
+        text_of_a = np.repeat(np.arange(len(texts)), n_a)
+        pairs, slots = np.unique(a[at_a] << 32 | b[at_b], return_inverse=True)
+        key, times = np.unique(text_of_a[at_a] * max(1, len(pairs)) + slots, return_counts=True)
+        n_links = np.bincount(text_of_a[at_a], minlength=len(texts))
+        start = np.searchsorted(key, np.arange(len(texts) + 1) * max(1, len(pairs)))
+        return Block(np.column_stack([n_a, n_b, n_groups, n_links]), self._digests(a, b, groups_a, groups_b, n_a + n_b), pairs, start, key % max(1, len(pairs)), times)
+
+    def _digests(self, a: np.ndarray, b: np.ndarray, groups_a: np.ndarray, groups_b: np.ndarray, sizes: np.ndarray) -> list[str]:
+        """Of each text, with `sizes` ids of both sides: the digest of its groups written out."""
+        out = np.empty(len(a) + len(b), np.int64)
+        last = lambda g: np.append(g[1:] != g[:-1], True).astype(np.int64)
+        out[np.arange(len(a)) + np.searchsorted(groups_b, groups_a)] = 3 * a + last(groups_a)
+        out[np.arange(len(b)) + np.searchsorted(groups_a, groups_b, "right")] = 3 * b + 2 * last(groups_b)
+        digests, at, get = [], 0, self.named.__getitem__
+        for n in sizes.tolist():
+            digests.append(hashlib.sha256(b"".join(map(get, out[at : at + n].tolist()))[:-1]).hexdigest() if n else "")
+            at += n
+        return digests
 
 
 _DOCS = "n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string"
