@@ -98,6 +98,12 @@ def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compress(table(spark, sf_dir, "embeddings"))
 
 
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.pii import find
+
+    return find(table(spark, sf_dir, "documents"))
+
+
 #: The ledger of op7 with its rules and policy written out.
 OP7_SQL = r"""
 WITH d AS (
@@ -130,10 +136,10 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
 
 
 def _sql() -> dict[str, str]:
-    from textloom.llm import codes, mixing
+    from textloom.llm import codes, mixing, pii
 
-    return {"op7_quality": OP7_SQL, "op8_mixing": mixing.SQL, "op12_codes": codes.SQL}
+    return {"op7_quality": OP7_SQL, "op8_mixing": mixing.SQL, "op12_codes": codes.SQL, "op13_pii": pii.sql()}
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op3_chat, op4_substring, op5_embeddings, op6_html, op7_quality, op8_mixing, op9_langid, op10_line_dedup, op11_alignment, op12_codes, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op3_chat, op4_substring, op5_embeddings, op6_html, op7_quality, op8_mixing, op9_langid, op10_line_dedup, op11_alignment, op12_codes, op13_pii, pipeline)}
 SQL: dict[str, str] = _sql()
