@@ -73,6 +73,29 @@ def test_tags_without_ends_lose_nothing():
         assert text(head + "<title>no<body><p>All of it</p>") == "All of it"
 
 
+ARTICLE = "".join(f"<p>The town council met on the {k} of May and agreed to mend the bridge before the winter came round again.</p>" for k in range(12))
+
+
+def test_open_elements_of_any_number():
+    want = main_text(f"<nav><a href=x>Home</a></nav>{ARTICLE}", TREE)
+    assert len(want) > 1000
+    for n in (1, 63, 64, 65, 200, 10_000):
+        for before, after in (("<nav><table><tr>", "</nav>"), ("<form><table><tr>", "</table></form>"), ("<nav><table><tr>", "</tr></table></nav>")):
+            assert main_text(f"{before}{'<td><a href=x>Go</a>' * n}{after}{ARTICLE}", TREE) == want
+        assert main_text(f"<nav>{'<div><a href=x>Go</a>' * n}</nav>{ARTICLE}", TREE) == want
+        assert main_text(f"<nav>{'<ul><li><a href=x>Go</a>' * n}</nav>{ARTICLE}", TREE) == want
+    # a table in a cell keeps the outer cell open
+    assert [b.text for b in blocks("<table><td>a<table><td>b<td>c</table>d<td>e</table>f")[0]] == list("abcdef")
+
+
+def test_attributes_of_any_length():
+    want = main_text(f"<div>{ARTICLE}</div>", TREE)
+    for n in (10, 9_999, 10_001, 1_000_000):
+        for quote in "\"'":
+            for value in ("<p>" + "y" * n, "y" * n + "</div><p>no", "a > b " + "y" * n, "y" * n + ">", "it is<" * (n // 6)):
+                assert main_text(f"<div data-x={quote}{value}{quote} class=a>{ARTICLE}</div>", TREE) == want
+
+
 def f1(pages):
     """Over words: how well the tree finds the marked blocks."""
     hit = said = true = 0
@@ -103,10 +126,10 @@ def test_containers_do_not_decide_alone():
 
 
 def test_reading_takes_linear_time():
-    for bad in ("<script ", '<a href="', "<!--", "<![CDATA[", "<textarea>", "<", "<div ", "<b \"'", "</", "<select>", "<div><span>", "<p a='"):
+    for bad in ("<script ", '<a href="', "<!--", "<![CDATA[", "<textarea>", "<", "<div ", "<b \"'", "</", "<select>", "<div><span>", "<p a='", "<b \"\"\"\"\"\"\"\"", "<td>", "<table><td>", "<p a=\"x>", "<p a='<\">", "</nav></td>"):
         took = []
         for size in (50_000, 400_000):
             began = time.process_time()
-            main_text(bad * (size // len(bad)), TREE)
+            main_text(bad * (size // len(bad)) + "<p>", TREE)
             took.append(time.process_time() - began)
         assert took[1] < 3 and took[1] < 40 * took[0] + 0.3, bad

@@ -69,26 +69,24 @@ class _Ends:
         close, following = self.find(">", at), self.find("<", at)
         if close < 0 or 0 <= following < close:
             # a quoted value may hold either sign; a tag without an end stops at the next one
-            i = at
+            i, near = at, dict.fromkeys("\"'<>", -2)
             while True:
-                near = [x for x in (self.find(c, i) for c in "\"'<>") if x >= 0]
-                if not near:
+                for c, k in near.items():
+                    if k != -1 and k < i:
+                        near[c] = self.find(c, i)
+                i = min((k for k in near.values() if k >= 0), default=-1)
+                if i < 0:
                     return len(self.page), len(self.page)
-                i = min(near)
                 if self.page[i] == ">":
                     return i, i + 1
                 if self.page[i] == "<":
                     return i, i
-                quoted = self.find(self.page[i], i + 1)
-                if self.page[i - 1] != "=" or quoted < 0 or quoted - i > 10_000:
-                    i += 1
-                else:
-                    i = quoted + 1
+                quoted = self.find(self.page[i], i + 1) if self.page[i - 1] == "=" else -1
+                i = quoted + 1 if quoted >= 0 else i + 1
         for c in "\"'":
-            begin = self.page.find("=" + c, at, close)
-            if begin >= 0 and self.page.count(c, at, close) % 2:
+            if self.page.find("=" + c, at, close) >= 0 and self.page.count(c, at, close) % 2:
                 end = self.find(c, close)
-                if 0 <= end < begin + 10_000:
+                if end >= 0:
                     close = self.find(">", end)
                     return (close, close + 1) if close >= 0 else (len(self.page), len(self.page))
         return close, close + 1
@@ -203,9 +201,16 @@ def blocks(page: str) -> tuple[list[Block], list[int]]:
     parents = [-1]
     # name, number, against, sticky, inside, hidden: each what it is or stands in
     stack: list[tuple[str, int, int, bool, bool, bool]] = [("", 0, 0, False, False, False)]
+    # where the open elements of a name stand in the stack
+    opened: dict[str, list[int]] = {}
     parts: list[tuple[str, bool]] = []
     link, button, heading = 0, 0, False
 
+    def leave(tag: str) -> None:
+        at = opened[tag][-1]
+        while len(stack) > at:
+            opened[stack.pop()[0]].pop()
+
     def close() -> None:
         if parts:
             text = " ".join(html.unescape("".join(t for t, _ in parts)).split())
@@ -231,6 +236,8 @@ def blocks(page: str) -> tuple[list[Block], list[int]]:
             if tag in HOLDERS and not attributes.rstrip().endswith("/"):
                 if kind == "s":
                     link = 0
+                    if tag == "td" and opened.get("td") and opened["td"][-1] > (opened.get("table") or [0])[-1]:
+                        leave("td")  # a cell ends where the next one of its table begins
                     _, number, against, sticky, inside, hidden = stack[-1]
                     mine, within, unseen = _hints(attributes)
                     if tag == "header" and inside:
@@ -238,10 +245,10 @@ def blocks(page: str) -> tuple[list[Block], list[int]]:
                     if tag in ("article", "main") or within and not mine:
                         inside = True
                     parents.append(number)
+                    opened.setdefault(tag, []).append(len(stack))
                     stack.append((tag, len(parents) - 1, max(against, mine, 2 if tag == "header" and not inside else 0), sticky or tag in STICKY, inside, hidden or unseen))
-                elif any(t == tag for t, *_ in stack[-64:]):
-                    while stack.pop()[0] != tag:
-                        pass
+                elif opened.get(tag):
+                    leave(tag)
     close()
     return out, parents
 
