@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 from textloom.llm import langid
-from textloom.llm.langid import fit, identify, known_language, train
+from textloom.llm.langid import fit, has_letter, identify, known_language, train
 
 
 def test_held_out_accuracy(spark):
@@ -77,3 +77,20 @@ def test_no_labels(spark):
 
 def test_empty(nothing):
     assert identify(nothing).collect() == [] and known_language(nothing).collect() == []
+
+
+def test_letters_are_unicodes_letters():
+    for text in ("\u00b2", "\u00bd", "\u2167", "\u2460 \u2461", "123", "_", "", "\u0661", "\u0301"):
+        assert not has_letter(text)
+    for text in ("x", "1\u00e9", "\u00b2\u00aa", "\u6771", "\u02b0", "\u01c5"):
+        assert has_letter(text)
+
+
+def test_sample_is_bounded_in_bytes(spark, monkeypatch):
+    rows = [(k, f"{k} " + "xyzw " * 400, f"l{k % 3}") for k in range(600)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    seen = []
+    monkeypatch.setattr(langid, "train", lambda texts, labels: seen.append(sum(map(len, texts))))
+    langid.fit(df, most_total=100_000)
+    langid.fit(df)
+    assert 20_000 < seen[0] < 200_000 < seen[1]

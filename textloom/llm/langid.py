@@ -17,6 +17,7 @@ from textloom.llm import kernels as K
 from textloom.runtime import small_batches
 
 _BUCKETS, _WIDTH, _GRAMS = 1 << 16, 16, (3, 4, 5)
+#: Letters, and numbers other than decimal digits, which are told apart where found.
 _LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
@@ -51,6 +52,11 @@ def _grams(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.n
                 yield bucket, start, np.maximum(start, np.clip(off[1:] - n + 1 - lo, 0, len(bucket)))
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is of one of Unicode's categories of letters."""
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
 @dataclass
 class Model:
     """Per language a weight of each subword bucket; a text's logits are the averages over its subwords."""
@@ -82,7 +88,7 @@ class Model:
         data, off = K.texts_of(texts)
         p = self.scores(data, off)
         best = p.argmax(1)
-        known = np.fromiter((t is not None and bool(_LETTER.search(t)) for t in texts.to_pylist()), bool, len(texts))
+        known = np.fromiter((t is not None and has_letter(t) for t in texts.to_pylist()), bool, len(texts))
         return [self.langs[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], np.where(known, p[np.arange(len(best)), best], 0.0)
 
 
@@ -144,20 +150,20 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, per_lang: int = 400, most_langs: int = 200, most_bytes: int = 32_768) -> Model | None:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, per_lang: int = 400, most_langs: int = 200, most_bytes: int = 32_768, most_total: int = 64 << 20) -> Model | None:
     """A model of a bounded sample: about per_lang labelled texts of each of the most_langs most frequent languages.
 
     Rows take part whose text and language are not null, whose text has most_bytes at most and whose id
-    is not null or held out; which of them is settled by a hash of id and text, so that reruns agree, and
+    is not null or held out; a language gets an equal share of most_total bytes at most; which of them is settled by a hash of id and text, so that reruns agree, and
     repeated rows count once. None if there are no such rows. Every text is classified, however long.
     """
     rows = docs.where(~held_out(id_col) & F.col(id_col).isNotNull() & (F.octet_length(text_col) <= most_bytes) & F.col(lang_col).isNotNull())
     rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()
     if not counts:
         return None
     share = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) / F.lit(1 << 20)
-    pick = [(F.col("lang") == r.lang) & (share < min(1.0, per_lang / r.n)) for r in counts]
+    pick = [(F.col("lang") == r.lang) & (share < min(1.0, per_lang / r.n, most_total / (len(counts) * max(1, r.size)))) for r in counts]
     sample = rows.where(reduce(or_, pick)).distinct()
     got = sorted((r.id, r.text, r.lang) for r in sample.collect())
     got = got or sorted((r.id, r.text, r.lang) for r in rows.limit(per_lang).collect())
@@ -201,7 +207,11 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def known_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", model: Model | None = None, **how) -> DataFrame:
-    """docs without the rows whose language is rejected; all columns come back, whatever their names."""
+    """docs without the rows whose language is rejected; all columns come back, whatever their names.
+
+    A null text and one without a letter go; rows with null or repeated ids are judged by their texts
+    alone; an empty table, or one from which nothing can be learned, gives no rows.
+    """
     small_batches(docs)
     model = model or fit(docs, id_col, text_col, lang_col, **how)
     found = docs.select(F.struct("*").alias("row"), _scorer(docs, model)(F.col(text_col)).alias("x"))
