@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -19,8 +18,8 @@ from pyspark.sql import functions as F
 from textloom.llm import kernels as K
 from textloom.runtime import materialize, small_batches
 
-#: Distinct segments that a worker keeps, and their bytes; beyond either it begins anew after a block.
-_SEGMENTS, _SEGMENT_BYTES = 250_000, 128 << 20
+#: Distinct segments that a worker keeps, and their ids; beyond either it begins anew after a block.
+_SEGMENTS, _IDS = 400_000, 8 << 20
 #: Bytes of text of a block of documents.
 BLOCK = 2 << 20
 #: Where white space outside ASCII may begin in UTF-8.
@@ -132,9 +131,11 @@ class Aligner:
         return cls._kept[path_a, path_b]
 
     def clear(self) -> None:
-        #: A segment's ids of both sides, as bytes of 32-bit numbers; None if B's pieces do not spell it.
-        self.found: dict[bytes, tuple[bytes, bytes] | None] = {}
-        self.bytes_kept = 0
+        #: A segment's number; the ids of both sides one after the other, with the place of each segment's first; whether B spells it.
+        self.index: dict[bytes, int] = {}
+        self.ids = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        self.start = [np.zeros(1, np.int64), np.zeros(1, np.int64)]
+        self.spelt = np.zeros(0, bool)
 
     def segments(self, text: bytes) -> list[bytes]:
         """The text after a space, cut where both tokenizers cut whatever stands around: each piece begins with a space or a line break.
@@ -155,31 +156,49 @@ class Aligner:
 
     def learn(self, segments: list[bytes]) -> None:
         """The ids of new segments."""
+        if not segments:
+            return
         texts = [x.decode() for x in segments]
         # B puts a space before what it is given: it stands for the segment's own, or goes again before a line break
-        plain = [x[0] == _SPACE for x in segments]
-        many = self.b.encode([t[1:] if k else t for t, k in zip(texts, plain, strict=True)], num_threads=1)
-        for x, t, k, b in zip(segments, texts, plain, many, strict=True):
-            if k:
-                b = b or self.mark
-            else:
-                b = b[1:] if b[:1] == self.mark else []
-            if b"".join([self.bytes_b[i] for i in b]) == x:
-                a = self.a.encode_ordinary(t)
-                self.found[x] = struct.pack(f"<{len(a)}I", *a), struct.pack(f"<{len(b)}I", *b)
-            else:
-                self.found[x] = None
-            self.bytes_kept += len(x) + 400
+        broken = np.array([x[0] == _BREAK for x in segments])
+        b = [i or self.mark for i in self.b.encode([t[1:] if t[0] == " " else t for t in texts], num_threads=1)]
+        a = [*map(self.a.encode_ordinary, texts)]
+        flat, size = [], []
+        for many in (a, b):
+            size.append(np.fromiter(map(len, many), np.int64, len(many)))
+            flat.append(np.fromiter(chain.from_iterable(many), np.int64, size[-1].sum()))
+        first = np.cumsum(size[1]) - size[1]
+        spelt = ~broken | (flat[1][first] == self.mark[0])
+        flat[1] = np.delete(flat[1], first[broken])
+        size[1] = size[1] - broken
+        spelt &= np.diff(np.append(0, np.cumsum(self.size_b[flat[1]]))[np.append(0, np.cumsum(size[1]))]) == [*map(len, segments)]
+        said = [self.bytes_b[i] for i in flat[1].tolist()]
+        if b"".join(said) != b"".join(segments):
+            ends = np.append(0, np.cumsum(size[1])).tolist()
+            spelt &= [b"".join(said[i:j]) == x for i, j, x in zip(ends, ends[1:], segments, strict=False)]
+        for x in segments:
+            self.index[x] = len(self.index)
+        for side in (0, 1):
+            self.ids[side] = np.concatenate([self.ids[side], flat[side]])
+            self.start[side] = np.append(self.start[side], self.start[side][-1] + np.cumsum(size[side]))
+        self.spelt = np.append(self.spelt, spelt)
 
     def block(self, texts: list[bytes | None]) -> Block:
-        if len(self.found) > _SEGMENTS or self.bytes_kept > _SEGMENT_BYTES:
+        if len(self.index) > _SEGMENTS or len(self.ids[0]) + len(self.ids[1]) > _IDS:
             self.clear()
         cut = [self.segments(t) if t else [] for t in texts]
-        self.learn([x for x in dict.fromkeys(chain.from_iterable(cut)) if x not in self.found])
-        ids = [[self.found[x] for x in c] for c in cut]
-        ids = [[] if None in x else x for x in ids]
-        a, b = (np.frombuffer(b"".join([x[side] for t in ids for x in t]), "<u4").astype(np.int64) for side in (0, 1))
-        n_a, n_b = (np.array([sum([len(x[side]) for x in t]) // 4 for t in ids], np.int64) for side in (0, 1))
+        every = [*chain.from_iterable(cut)]
+        self.learn([x for x in dict.fromkeys(every) if x not in self.index])
+        number = np.fromiter(map(self.index.__getitem__, every), np.int64, len(every))
+        of = np.repeat(np.arange(len(texts)), [*map(len, cut)])
+        use = ~np.isin(of, of[~self.spelt[number]])
+        number, of = number[use], of[use]
+        both, sizes = [], []
+        for ids, start in zip(self.ids, self.start, strict=True):
+            n = start[number + 1] - start[number]
+            both.append(ids[np.repeat(start[number] - np.cumsum(n) + n, n) + np.arange(n.sum())])
+            sizes.append(np.bincount(of, n, len(texts)).astype(np.int64))
+        (a, b), (n_a, n_b) = both, sizes
         groups_a, groups_b, n = merge(np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b]))
         # each text begins and ends with a group
         n_groups = np.diff(np.append(groups_a, n)[np.cumsum(n_a)], prepend=0) if len(a) else np.zeros(len(texts), np.int64)
