@@ -304,9 +304,10 @@ def reduce_outliers(vecs: DataFrame, least: float = 0.0) -> DataFrame:
 def reassign(docs: DataFrame, scores: DataFrame, least: float = 0.0) -> DataFrame:
     """(doc_id, old_topic, topic, similarity): outliers of docs (doc_id, topic), topic -1, go to their best topic of scores (doc_id, topic, score), if above `least`.
 
-    Any strategy's scores will do: class_scores(), window_scores(), or a model's probabilities. Ties go to the least topic.
+    Any strategy's scores will do: class_scores(), window_scores(), or a model's probabilities. Scores
+    that agree to six places are ties and go to the least topic; similarity is the score, rounded once.
     """
-    best = scores.groupBy("doc_id").agg(F.max_by("topic", F.struct("score", (-F.col("topic")).alias("t"))).alias("near"), F.max("score").alias("s"))
+    best = scores.groupBy("doc_id").agg(F.max_by("topic", F.struct(F.round("score", 6).alias("s"), (-F.col("topic")).alias("t"))).alias("near"), F.max("score").alias("s"))
     x = docs.join(best, "doc_id", "left").withColumn("moves", (F.col("topic") == -1) & (F.coalesce("s", F.lit(0.0)) > least))
     similarity = F.when(F.col("topic") == -1, F.coalesce("s", F.lit(0.0))).otherwise(1.0)
     return x.select("doc_id", F.col("topic").alias("old_topic"), F.when(F.col("moves"), F.col("near")).otherwise(F.col("topic")).alias("topic"), F.round(similarity, 4).alias("similarity"))
@@ -319,7 +320,7 @@ def class_scores(terms: DataFrame) -> DataFrame:
     n = terms.where("topic = -1").groupBy("doc_id", "term").agg(F.count("*").alias("n"))
     size = n.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("size"))
     s = n.join(w, "term").groupBy("doc_id", "topic").agg(F.sum(F.col("n") * F.col("score")).alias("s"))
-    return s.join(norm, "topic").join(size, "doc_id").select("doc_id", "topic", F.round(F.col("s") / (F.col("norm") * F.col("size")), 6).alias("score"))
+    return s.join(norm, "topic").join(size, "doc_id").select("doc_id", "topic", (F.col("s") / (F.col("norm") * F.col("size"))).alias("score"))
 
 
 def window_scores(terms: DataFrame, window: int = 4) -> DataFrame:
@@ -334,7 +335,7 @@ def window_scores(terms: DataFrame, window: int = 4) -> DataFrame:
     t = t.withColumn("n", n).withColumn("at", at)
     inside = F.least(F.col("at"), F.col("n") - F.col("at") + 1, F.lit(window), F.greatest(F.lit(1), F.col("n") - window + 1))
     s = t.select("doc_id", "term", inside.alias("times")).join(w, "term").groupBy("doc_id", "topic").agg(F.sum(F.col("times") * F.col("score")).alias("s"))
-    return s.select("doc_id", "topic", F.round(F.col("s") / F.sum("s").over(Window.partitionBy("doc_id")), 6).alias("score"))
+    return s.select("doc_id", "topic", (F.col("s") / F.sum("s").over(Window.partitionBy("doc_id"))).alias("score"))
 
 
 def merge_topics(terms: DataFrame, groups: dict[int, int], top: int = 10) -> DataFrame:

@@ -56,8 +56,17 @@ SQL["read_wos"] = """SELECT 'The study of ' || p_name || ' with measured numbers
 CASE WHEN p_size % 4 = 0 THEN array_to_string(list_filter(regexp_extract_all(lower('The study of ' || p_name || ' with measured numbers'), '[a-z]{4,}'), lambda w: w NOT IN ('with', 'this', 'that', 'from', 'were', 'been', 'these', 'those', 'using', 'based'))[1:5], '|')
      ELSE p_type || '|corpus|CORPUS' END AS keywords,
 'Journal of Parts' AS journal, p_size + 1960 AS year, 'Journal Article' AS doc_type, p_size::BIGINT AS citation_count, 'WOS:' || p_partkey AS unique_id, '11-19' AS pages FROM part"""
-QUERIES["source_types"] = lambda s, d: _wos_files(s, d).select(readers.source_type(F.col("value")).alias("type")).unionByName(_cnki_files(s, d).select(readers.source_type(F.col("value")).alias("type"))).unionByName(docs(s, d).select(readers.source_type(F.col("text")).alias("type"))).distinct()
-SQL["source_types"] = "SELECT unnest(['WOS', 'CNKI', NULL]) AS type"
+
+
+def _marked(s, d):
+    """Documents with marks of exports behind texts of any length; some have both kinds."""
+    n = F.col("doc_id") % 7
+    marks = F.when(n == 0, "\nER\n").when(n == 1, "\nDS CNKI\nx").when(n == 2, "\nCN 11-1").when(n == 3, "\nUT KJD:1").when(n == 4, "\nDS CNKI\nER").when(n == 5, "\nCN 1\nUT WOS:1").otherwise(" CN 1 ERx")
+    return s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.concat(F.coalesce("text", F.lit("")), marks).alias("value"))
+
+
+QUERIES["source_types"] = lambda s, d: _marked(s, d).select("doc_id", readers.source_type(F.col("value")).alias("type"))
+SQL["source_types"] = "SELECT doc_id, (['WOS', 'CNKI', 'CNKI', 'WOS', 'WOS', 'CNKI', NULL])[doc_id % 7 + 1] AS type FROM documents"
 
 
 def _cnki_files(s, d):

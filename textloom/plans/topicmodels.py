@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from textloom.operators import chunking, topics
+from textloom.operators import chunking, density, neighbours, topics
 from textloom.operators.predicates import PosFilter, without_stopwords
 from textloom.operators.tokens import annotate, corpus_tokens
 from textloom.plans.frequency import docs
@@ -107,6 +107,8 @@ QUERIES["lsa_topics"] = lambda s, d: topics.lsa(_bags(s, d), 5, min_df=2)[0]
 QUERIES["lsa_variance"] = lambda s, d: topics.lsa(_bags(s, d), 5, min_df=2)[1]
 QUERIES["nmf_topics"] = lambda s, d: topics.nmf(_bags(s, d), 5, min_df=2)[0]
 QUERIES["embedding_clusters"] = lambda s, d: topics.cluster(_vecs(s, d).drop("topic"), 8).groupBy("topic").count().withColumnRenamed("count", "vectors")
+QUERIES["embedding_neighbours"] = lambda s, d: neighbours.settled_graph(_vecs(s, d), 15, metric="cosine")
+QUERIES["embedding_hdbscan"] = lambda s, d: density.cluster_vectors(_vecs(s, d), 5, metric="cosine")
 QUERIES["document_scatter"] = lambda s, d: topics.project(_vecs(s, d)).select("vec_id", "topic", F.col("position")[0].alias("x"), F.col("position")[1].alias("y"))
 QUERIES["intertopic_map"] = lambda s, d: topics.intertopic_map(topics.class_tf_idf(_terms(s, d), 50), _terms(s, d).groupBy("topic").count())[0]
 QUERIES["topic_hierarchy"] = lambda s, d: topics.hierarchy(topics.class_tf_idf(_terms(s, d), 50))
@@ -135,12 +137,12 @@ QUERIES["outlier_distributions"] = _reassigned(topics.window_scores)
 _OUT = f"""WITH {WORDS}, t AS (SELECT text_id AS doc_id, tok_idx, CASE WHEN regexp_extract(corpus, '(\\d+)$', 1)::INT < 9 THEN regexp_extract(corpus, '(\\d+)$', 1)::INT ELSE -1 END AS topic, word AS term FROM words WHERE word NOT IN ({STOPS}) AND length(word) > 2),
 n AS (SELECT topic, term, count(*) AS frequency FROM t WHERE topic != -1 GROUP BY 1, 2), f AS (SELECT term, sum(frequency) AS f FROM n GROUP BY 1), sz AS (SELECT topic, sum(frequency) AS size FROM n GROUP BY 1),
 w AS (SELECT topic, term, round(frequency / size * ln(1 + (SELECT avg(size) FROM sz) / f), 6)::DOUBLE AS score FROM n JOIN f USING (term) JOIN sz USING (topic)),"""
-_MOVED = """b AS (SELECT doc_id, arg_min(topic, (-score, topic)) AS near, max(score) AS s FROM sc GROUP BY 1), u AS (SELECT DISTINCT doc_id, topic FROM t)
+_MOVED = """b AS (SELECT doc_id, arg_min(topic, (-round(score, 6), topic)) AS near, max(score) AS s FROM sc GROUP BY 1), u AS (SELECT DISTINCT doc_id, topic FROM t)
 SELECT doc_id, u.topic AS old_topic, CASE WHEN u.topic = -1 AND coalesce(s, 0) > 0.05 THEN near ELSE u.topic END AS topic, CASE WHEN u.topic = -1 THEN round(coalesce(s, 0), 4) ELSE 1.0 END::DOUBLE AS similarity FROM u LEFT JOIN b USING (doc_id)"""
 SQL["outlier_ctfidf"] = _OUT + """ nm AS (SELECT topic, sqrt(sum(score * score)) AS norm FROM w GROUP BY 1), c AS (SELECT doc_id, term, count(*) AS n FROM t WHERE topic = -1 GROUP BY 1, 2), cs AS (SELECT doc_id, sqrt(sum(n * n)) AS size FROM c GROUP BY 1),
-sc AS (SELECT doc_id, topic, round(sum(n * score) / (any_value(norm) * any_value(size)), 6)::DOUBLE AS score FROM c JOIN w USING (term) JOIN nm USING (topic) JOIN cs USING (doc_id) GROUP BY 1, 2), """ + _MOVED
+sc AS (SELECT doc_id, topic, sum(n * score) / (any_value(norm) * any_value(size)) AS score FROM c JOIN w USING (term) JOIN nm USING (topic) JOIN cs USING (doc_id) GROUP BY 1, 2), """ + _MOVED
 SQL["outlier_distributions"] = _OUT + """ o AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY tok_idx) AS nth, count(*) OVER (PARTITION BY doc_id) AS n FROM t WHERE topic = -1),
-ts AS (SELECT doc_id, w.topic, sum(least(nth, n - nth + 1, 4, greatest(1, n - 3)) * score) AS s FROM o JOIN w USING (term) GROUP BY 1, 2), sc AS (SELECT doc_id, topic, round(s / sum(s) OVER (PARTITION BY doc_id), 6)::DOUBLE AS score FROM ts), """ + _MOVED
+ts AS (SELECT doc_id, w.topic, sum(least(nth, n - nth + 1, 4, greatest(1, n - 3)) * score) AS s FROM o JOIN w USING (term) GROUP BY 1, 2), sc AS (SELECT doc_id, topic, s / sum(s) OVER (PARTITION BY doc_id) AS score FROM ts), """ + _MOVED
 
 
 def _probabilities(s, d):

@@ -111,12 +111,11 @@ def read_whole(spark: SparkSession, path: str) -> DataFrame:
 
 
 def source_type(value: Column) -> Column:
-    """WOS or CNKI by an export's marks, null if neither shows."""
-    head = F.left(value, F.lit(2000))
-    return (
-        F.when(head.contains("DS CNKI") | head.rlike(r"(?m)^RT ") | head.rlike(r"(?m)^CN "), "CNKI")
-        .when(head.rlike(r"(?m)^FN ") | head.contains("UT WOS:") | value.rlike(r"\nER\s*(\n|$)"), "WOS")
-    )
+    """WOS or CNKI by an export's marks, null if none shows; the whole content counts, and WOS's first marks before CNKI's."""
+    ends = value.contains("\nER\n") | F.rtrim(F.regexp_replace(value, r"\s+$", "")).endswith("ER")
+    wos = F.left(value, F.lit(500)).contains("Clarivate Analytics Web of Science") | ends
+    cnki = value.contains("\nDS CNKI") | value.contains("\nCN ")
+    return F.when(wos, "WOS").when(cnki, "CNKI").when(value.contains("\nUT WOS:") | value.contains("\nUT KJD:"), "WOS")
 
 
 def _fields(files: DataFrame, records: Column, continuation: str, glue: str) -> DataFrame:
@@ -126,7 +125,7 @@ def _fields(files: DataFrame, records: Column, continuation: str, glue: str) ->
     tagged = F.col("line").rlike(r"^[A-Z][A-Z0-9](\s|$)")
     w = Window.partitionBy("path", "record").orderBy("i")
     line = line.withColumn("field", F.sum(F.when(tagged, 1).otherwise(0)).over(w)).where((F.col("field") > 0) & (tagged | F.col("line").rlike(continuation)))
-    text = F.when(tagged, F.trim(F.substring("line", 3, 1 << 20))).otherwise(F.trim("line"))
+    text = F.when(tagged, F.trim(F.substring("line", 3, (1 << 31) - 1))).otherwise(F.trim("line"))
     f = line.select("path", "record", "field", "i", F.when(tagged, F.left("line", F.lit(2))).alias("tag"), text.alias("text"))
     f = f.groupBy("path", "record", "field").agg(F.max("tag").alias("tag"), F.sort_array(F.collect_list(F.struct("i", "text"))).alias("x"))
     f = f.select("path", "record", "field", "tag", F.trim(F.array_join(F.transform("x", lambda x: x["text"]), glue)).alias("value"))
