@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.operators.intervals import overlapping
+
 SCHEMA = "framework string, node_id string, parent_id string, name string, type string, definition string, depth int, path string"
 
 
@@ -67,9 +69,25 @@ def define(tree: DataFrame, framework: str, path: str, definition: str) -> DataF
     return tree.withColumn("definition", F.when(here, definition).otherwise(F.col("definition")))
 
 
+def _pairs(manual: DataFrame, automatic: DataFrame) -> DataFrame:
+    return overlapping(automatic, manual.select("doc_id", F.col("start").alias("other_start"), F.col("end").alias("other_end")))
+
+
 def merge_annotations(manual: DataFrame, automatic: DataFrame) -> DataFrame:
     """Manual spans and those automatic ones that overlap none of them; (doc_id, start, end, label)."""
-    m = manual.select("doc_id", F.col("start").alias("s"), F.col("end").alias("e"))
-    a = automatic.select("doc_id", "start", "end", "label")
-    free = a.join(m, (a.doc_id == m.doc_id) & (a.start < m.e) & (m.s < a.end), "left_anti")
+    taken = _pairs(manual, automatic.select("doc_id", "start", "end")).select("doc_id", "start", "end").distinct()
+    free = automatic.select("doc_id", "start", "end", "label").join(taken, ["doc_id", "start", "end"], "left_anti")
     return manual.select("doc_id", "start", "end", "label").unionByName(free)
+
+
+def merge_distinct(manual: DataFrame, automatic: DataFrame) -> DataFrame:
+    """Manual spans and those automatic ones that no manual one equals in place and label."""
+    same = ["doc_id", "start", "end", "label"]
+    return manual.select(same).unionByName(automatic.select(same).join(manual.select(same).distinct(), same, "left_anti"))
+
+
+def conflicts(manual: DataFrame, automatic: DataFrame) -> DataFrame:
+    """Automatic spans (doc_id, start, end, label) that cross a manual one: they overlap, and neither holds the other's ends."""
+    s, e, p, q = (F.col(c) for c in ("start", "end", "other_start", "other_end"))
+    crossing = _pairs(manual, automatic.select("doc_id", "start", "end").distinct()).where(((p < s) & (s < q) & (q < e)) | ((s < p) & (p < e) & (e < q)))
+    return automatic.select("doc_id", "start", "end", "label").join(crossing.select("doc_id", "start", "end").distinct(), ["doc_id", "start", "end"], "left_semi")

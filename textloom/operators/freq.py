@@ -36,15 +36,17 @@ def word_totals(tokens: DataFrame, **spec) -> DataFrame:
 def ngrams(tokens: DataFrame, sizes: Iterable[int] = (2,), *, target: str = "word", lowercase: bool = True, pos: PosFilter | None = None, min_length: int = 1, cross_text: bool = False) -> DataFrame:
     """(n, ngram) occurrences: windows of consecutive words without punctuation, of each size in 2..6, else 2.
 
-    Windows stay inside a text; cross_text runs over texts in order of their ids, one task, as a
-    whole-corpus stream has no cut - meant for corpora of that size only.
+    Windows stay inside a text; cross_text runs over all texts joined in order of their ids, dealt out by
+    stretches of the stream.
     """
     sizes = sorted({n for n in sizes if 2 <= n <= 6}) or [2]
     t = content(tokens) if "is_punct" in tokens.columns else tokens
     word = F.lower(form(target)) if lowercase else form(target)
     t = t.select("text_id", "tok_idx", word.alias("w"), *(["pos"] if pos else []))
-    w = Window.orderBy("text_id", "tok_idx") if cross_text else Window.partitionBy("text_id").orderBy("tok_idx")
     most = max(sizes)
+    w = Window.partitionBy("text_id").orderBy("tok_idx")
+    if cross_text:
+        t, w = _stretches(t, most), Window.partitionBy("stretch").orderBy("place")
     ahead = lambda c: [F.lead(c, k).over(w).alias(f"{c}{k}") for k in range(1, most)]
     t = t.select("*", *ahead("w"), *(ahead("pos") if pos else []))
     out = None
@@ -58,9 +60,19 @@ def ngrams(tokens: DataFrame, sizes: Iterable[int] = (2,), *, target: str = "wor
         if pos:
             ok &= pos.window(F.array("pos", *(f"pos{k}" for k in range(1, n))))
         cases.append(F.when(ok, F.struct(F.lit(n).alias("n"), F.concat_ws(" ", *parts).alias("ngram"))))
+    t = t.where("own") if cross_text else t
     return t.select(F.explode(F.array_compact(F.array(*cases))).alias("x")).select("x.*")
 
 
+def _stretches(tokens: DataFrame, most: int, length: int = 1 << 16) -> DataFrame:
+    """tokens with their place in the stream of all texts, by stretches of `length` places: the first most - 1
+    tokens of a stretch also stand, not as its own, at the end of the one before."""
+    t = ranked(tokens, F.col("text_id"), F.col("tok_idx"), rank="place").withColumn("at", F.floor((F.col("place") - 1) / length))
+    early = (F.col("place") - 1) % length < most - 1
+    t = t.withColumn("stretch", F.explode(F.when(early & (F.col("at") > 0), F.array("at", F.col("at") - 1)).otherwise(F.array("at"))))
+    return t.withColumn("own", F.col("stretch") == F.col("at"))
+
+
 def ngram_frequency(tokens: DataFrame, sizes: Iterable[int] = (2,), *, least: int = 1, most: int | None = None, kind: str = "all", value: str = "", exclude: Iterable[str] | str = (), **how) -> DataFrame:
     """(n, ngram, frequency, percentage, rank) over all sizes; searches see the n-gram, lists any of its words."""
     counts = ngrams(tokens, sizes, **how).groupBy("n", "ngram").agg(F.count("*").alias("frequency")).where(between("frequency", least, most))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from zlib import crc32
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.stats import log_dice
@@ -162,10 +164,38 @@ def sketch_difference(tokens: DataFrame, first: str, second: str, **how) -> Data
 
 
 def sketch_index(tokens: DataFrame, **how) -> DataFrame:
-    """All lemmas' scored collocates, to be written partitioned by lemma or queried."""
+    """All lemmas' scored collocates; store_index() writes them."""
     return scores(relations(tokens), **how)
 
 
+def store_index(tokens: DataFrame, path: str, *, buckets: int = 256, **how) -> None:
+    """Write sketch_index() as Parquet, partitioned by a hash of the lemma and sorted by lemma in each part.
+
+    A lemma's collocates lie in one folder and in few row groups of it, whose statistics skip the others.
+    """
+    found = sketch_index(tokens, **how).withColumn("bucket", _bucket(F.col("word1_lemma"), buckets))
+    found = found.withColumn("buckets", F.lit(buckets)).repartition("bucket").sortWithinPartitions("bucket", "word1_lemma", "relation")
+    found.write.partitionBy("bucket").mode("overwrite").parquet(path)
+
+
+def _bucket(lemma: Column, buckets: int) -> Column:
+    return F.pmod(F.crc32(lemma.cast("binary")), F.lit(buckets)).cast("int")
+
+
+def stored_sketch(spark: SparkSession, path: str, lemma: str, *, k: int = 12) -> DataFrame:
+    """The k best collocates of a lemma in each relation, from the index at path: one folder is read, by pushed filters.
+
+    An index without rows, or a lemma that it does not hold, gives no rows.
+    """
+    schema = "relation string, word1_lemma string, word2_lemma string, frequency bigint, log_dice double, buckets int, bucket int"
+    index = spark.read.schema(schema).parquet(path)
+    one = index.select("buckets").first()
+    bucket = crc32(lemma.lower().encode()) % (one.buckets if one else 1)
+    found = index.where((F.col("bucket") == bucket) & (F.col("word1_lemma") == lemma.lower())).drop("bucket", "buckets")
+    best = Window.partitionBy("relation").orderBy(F.desc("log_dice"), F.desc("frequency"), "word2_lemma")
+    return found.withColumn("rank", F.row_number().over(best).cast("bigint")).where(F.col("rank") <= k)
+
+
 def search_lemmas(tokens: DataFrame, kind: str, value: str, *, pos: PosFilter | None = None, least: int = 1) -> DataFrame:
     """(lemma, frequency, pos, forms): lemmas whose lemma or form matches; the last part of speech, the number of forms."""
     t = tokens.where("not coalesce(is_punct, false)")

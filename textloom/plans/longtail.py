@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from textloom.functions import dates, text
-from textloom.operators import catalog, dictionary, frameworks, freq, keyness, media
+from textloom.operators import catalog, dictionary, frameworks, freq, intervals, keyness, media
 from textloom.operators.tokens import annotate, corpus_tokens
 from textloom.plans.frequency import docs
 from textloom.plans.sql import STOPS, TOKENS
@@ -171,6 +172,41 @@ def _merged_sql():
 
 QUERIES["auto_annotation_merge"] = _merged
 SQL["auto_annotation_merge"] = _merged_sql()
+
+
+def _coders(s, d):
+    """Two coders' spans; the second's first label reaches two places on, so that some cross."""
+    from textloom.plans.agreement import spans
+
+    t = spans(s, d).select("doc_id", "start", "end", "label", "coder")
+    wide = F.when(F.col("label") == "A", F.col("end") + F.col("start") % 3).otherwise(F.col("end")).cast("int")
+    return t.where("coder = '1'").drop("coder"), t.where("coder = '2'").drop("coder").withColumn("end", wide)
+
+
+_TWO = """, m AS (SELECT doc_id, start, "end", label FROM spans WHERE coder = '1'), a AS (SELECT doc_id, start, (CASE WHEN label = 'A' THEN "end" + start % 3 ELSE "end" END)::INT AS "end", label FROM spans WHERE coder = '2')"""
+QUERIES["annotation_merge"] = lambda s, d: frameworks.merge_distinct(*_coders(s, d))
+SQL["annotation_merge"] = _merged_sql().split(", m AS (")[0] + _TWO + """ SELECT * FROM m UNION ALL SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.doc_id = a.doc_id AND m.start = a.start AND m."end" = a."end" AND m.label = a.label)"""
+QUERIES["annotation_conflicts"] = lambda s, d: frameworks.conflicts(*_coders(s, d))
+SQL["annotation_conflicts"] = _merged_sql().split(", m AS (")[0] + _TWO + """ SELECT * FROM a WHERE EXISTS (SELECT 1 FROM m WHERE m.doc_id = a.doc_id AND (m.start < a.start AND a.start < m."end" AND m."end" < a."end" OR a.start < m.start AND m.start < a."end" AND a."end" < m."end"))"""
+
+
+def _pieces(s, d, separator, number):
+    """Stretches of the documents between separators, with their places in characters."""
+    t = s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.posexplode(F.split("text", separator, -1)).alias("i", "piece"))
+    at = Window.partitionBy("doc_id").orderBy("i")
+    end = F.sum(F.length("piece") + 1).over(at) - 1
+    return t.select("doc_id", (F.col("i") + 1).alias(number), (end - F.length("piece")).alias("start"), end.alias("end"))
+
+
+_PIECES = """WITH {0} AS (SELECT doc_id, nth, stop - length(piece) AS start, stop FROM (SELECT doc_id, nth, piece, (sum(length(piece) + 1) OVER (PARTITION BY doc_id ORDER BY nth) - 1)::BIGINT AS stop
+  FROM (SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) AS nth FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)))),
+{1} AS (SELECT doc_id, nth AS word, stop - length(piece) AS start, stop FROM (SELECT doc_id, nth, piece, (sum(length(piece) + 1) OVER (PARTITION BY doc_id ORDER BY nth) - 1)::BIGINT AS stop
+  FROM (SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) AS nth FROM (SELECT doc_id, string_split(text, ' ') AS p FROM documents))))"""
+QUERIES["token_sentences"] = lambda s, d: intervals.first_holder(_pieces(s, d, " ", "word"), _pieces(s, d, "\n", "nth")).select("doc_id", "word", F.col("start").cast("bigint").alias("start"), F.col("nth").alias("sentence"))
+SQL["token_sentences"] = _PIECES.format("l", "w") + """ SELECT w.doc_id, w.word::INT AS word, w.start, coalesce(min(l.nth), 0)::INT AS sentence
+FROM w LEFT JOIN l ON w.doc_id = l.doc_id AND l.start <= w.start AND w.start < l.stop GROUP BY 1, 2, 3"""
+QUERIES["sentence_tokens"] = lambda s, d: intervals.holders(_pieces(s, d, " ", "word"), _pieces(s, d, "\n", "nth")).groupBy("doc_id", F.col("nth").alias("sentence")).agg(F.count("*").alias("words"), F.min("word").alias("first"), F.max("word").alias("last"))
+SQL["sentence_tokens"] = _PIECES.format("l", "w") + " SELECT w.doc_id, l.nth::INT AS sentence, count(*) AS words, min(word)::INT AS first, max(word)::INT AS last FROM w JOIN l ON w.doc_id = l.doc_id AND w.start >= l.start AND w.stop <= l.stop GROUP BY 1, 2"
 QUERIES["json_properties"] = lambda s, d: s.read.parquet(f"{d}/events.parquet").groupBy(F.get_json_object("props", "$.k").cast("int").alias("k")).agg(F.count("*").alias("n"))
 SQL["json_properties"] = "SELECT json_extract_string(props, '$.k')::INT AS k, count(*) AS n FROM events GROUP BY 1"
 
