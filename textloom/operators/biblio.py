@@ -179,6 +179,23 @@ def cluster_summary(entries: DataFrame, clusters: DataFrame, edges: DataFrame, f
     return sizes.join(inside, "cluster", "left").join(terms, "cluster", "left").select("cluster", "size", F.coalesce("cohesion", F.lit(0.0)).alias("cohesion"), "top_terms")
 
 
+def modularity(clusters: DataFrame, edges: DataFrame) -> DataFrame:
+    """(cluster, inner, degree, coverage, modularity) of clusters (id, cluster) over links (id1, id2): inner links and ends of links by cluster.
+
+    coverage is the share of all links that stay inside clusters, modularity what that exceeds links dealt
+    out by degree: the sum of inner / links - (degree / (2 * links))^2. Both are of all clusters, on every row.
+    """
+    c = lambda n: clusters.select(F.col("id").alias(f"id{n}"), F.col("cluster").alias(f"c{n}"))
+    e = edges.select("id1", "id2").join(c(1), "id1").join(c(2), "id2")
+    ends = e.select(F.explode(F.array(F.struct(F.col("c1").alias("cluster"), (F.col("c1") == F.col("c2")).cast("int").alias("x")), F.struct(F.col("c2").alias("cluster"), F.lit(0).alias("x")))).alias("y")).select("y.*")
+    by = ends.groupBy("cluster").agg(F.sum("x").alias("inner"), F.count("*").alias("degree"))
+    by = materialize(by, "degrees")
+    total = by.agg(F.sum("inner").alias("i"), F.sum("degree").alias("d"), F.sum((F.col("degree") * F.col("degree")).cast("decimal(38,0)")).cast("double").alias("s"))
+    x = by.crossJoin(F.broadcast(total))  # total is one row
+    coverage = 2 * F.col("i") / F.col("d")
+    return x.select("cluster", "inner", "degree", F.round(coverage, 4).alias("coverage"), F.round(coverage - F.col("s") / (F.col("d") * F.col("d").cast("double")), 4).alias("modularity"))
+
+
 def term_years(entries: DataFrame, field: str, lower: bool = True) -> DataFrame:
     """(term, year, n): terms of more than one character, each once an entry."""
     each = F.array_distinct(F.transform(field, lambda x: F.lower(F.trim(x)) if lower else F.trim(x)))

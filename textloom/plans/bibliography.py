@@ -98,6 +98,18 @@ def _summary(s, d):
 QUERIES["cluster_summary"] = _summary
 SQL["cluster_summary"] = _COMPONENTS + """, t AS (SELECT cluster, x, count(*) AS n FROM i JOIN cl USING (id) GROUP BY 1, 2), tt AS (SELECT cluster, array_to_string(list(x ORDER BY nth), '; ') AS top_terms FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, encode(x)) AS nth FROM t) WHERE nth <= 10 GROUP BY 1),
 co AS (SELECT c1.cluster, ((2 * sum(round(similarity * 10000)::BIGINT)::BIGINT + count(*)) // (2 * count(*))) / 10000 AS cohesion FROM l JOIN cl c1 ON c1.id = id1 GROUP BY 1) SELECT cluster, count(*) AS size, any_value(cohesion)::DOUBLE AS cohesion, any_value(top_terms) AS top_terms FROM cl JOIN co USING (cluster) JOIN tt USING (cluster) GROUP BY cluster"""
+
+
+def _years_modularity(s, d):
+    e, links, _ = _clusters(s, d)
+    return biblio.modularity(e.select("id", F.col("year").alias("cluster")), links)
+
+
+QUERIES["cluster_modularity"] = _years_modularity
+SQL["cluster_modularity"] = _COMPONENTS + """, le AS (SELECT a.year AS c1, b.year AS c2 FROM l JOIN e a ON a.id = id1 JOIN e b ON b.id = id2),
+en AS (SELECT c1 AS cluster, (c1 = c2)::INT AS x FROM le UNION ALL SELECT c2, 0 FROM le), dg AS (SELECT cluster, sum(x)::BIGINT AS "inner", count(*) AS degree FROM en GROUP BY 1)
+SELECT cluster, "inner", degree, round(2 * sum("inner") OVER () / sum(degree) OVER (), 4)::DOUBLE AS coverage,
+round(2 * sum("inner") OVER () / sum(degree) OVER () - sum(degree * degree) OVER () / (sum(degree) OVER ())::DOUBLE ^ 2, 4)::DOUBLE AS modularity FROM dg"""
 # A part stands for an author, a part and its quantity of a line for an institution.
 def _stand_ins(s, d):
     lines = s.read.parquet(f"{d}/lineitem.parquet").groupBy("l_orderkey").agg(F.collect_set(F.concat_ws(" ", "l_partkey", (F.col("l_quantity") % 5).cast("int"))).alias("institutions"))
