@@ -125,3 +125,4 @@ e AS (SELECT words, frequency, unnest(words) AS word FROM p), s AS (SELECT word,
 c AS (SELECT words, frequency, sum(s) AS raw FROM e JOIN s USING (word) GROUP BY 1, 2)
 SELECT array_to_string(words, ' ') AS keyword, round(raw / (max(raw) OVER () + 0.001), 4) AS score, frequency FROM c ORDER BY score DESC, encode(keyword) LIMIT 50"""
 QUERIES["yake_keywords"] = lambda s, d: keywords.yake(annotate(docs(s, d)))
+QUERIES["yake_phrases"] = lambda s, d: keywords.yake_phrases(annotate(docs(s, d)))

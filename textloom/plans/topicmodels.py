@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from textloom.operators import chunking, density, manifold, neighbours, topics
+from textloom.operators import birch, chunking, density, manifold, neighbours, topics
 from textloom.operators.predicates import PosFilter, without_stopwords
 from textloom.operators.tokens import annotate, corpus_tokens
 from textloom.plans.frequency import docs
@@ -109,6 +109,7 @@ QUERIES["nmf_topics"] = lambda s, d: topics.nmf(_bags(s, d), 5, min_df=2)[0]
 QUERIES["embedding_clusters"] = lambda s, d: topics.cluster(_vecs(s, d).drop("topic"), 8).groupBy("topic").count().withColumnRenamed("count", "vectors")
 QUERIES["embedding_neighbours"] = lambda s, d: neighbours.settled_graph(_vecs(s, d), 15, metric="cosine")
 QUERIES["embedding_hdbscan"] = lambda s, d: density.cluster_vectors(_vecs(s, d), 5, metric="cosine")
+QUERIES["embedding_birch"] = lambda s, d: birch.birch(_vecs(s, d), 8, threshold=0.5, metric="cosine")
 QUERIES["embedding_map"] = lambda s, d: manifold.embed(_vecs(s, d)).select("vec_id", F.col("position")[0].alias("x"), F.col("position")[1].alias("y"))
 QUERIES["document_scatter"] = lambda s, d: topics.project(_vecs(s, d)).select("vec_id", "topic", F.col("position")[0].alias("x"), F.col("position")[1].alias("y"))
 QUERIES["intertopic_map"] = lambda s, d: topics.intertopic_map(topics.class_tf_idf(_terms(s, d), 50), _terms(s, d).groupBy("topic").count())[0]
