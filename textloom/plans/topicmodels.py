@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from textloom.operators import birch, chunking, density, manifold, neighbours, topics
+from textloom.operators import birch, chunking, density, manifold, neighbours, topicmap, topics
 from textloom.operators.predicates import PosFilter, without_stopwords
 from textloom.operators.tokens import annotate, corpus_tokens
 from textloom.plans.frequency import docs
@@ -35,6 +35,20 @@ QUERIES["topic_merge"] = lambda s, d: topics.merge_topics(_terms(s, d), {"src1":
 SQL["topic_merge"] = _T.replace("corpus AS topic", "CASE corpus WHEN 'src1' THEN 'src0' WHEN 'src2' THEN 'src0' WHEN 'src4' THEN 'src3' ELSE corpus END AS topic") + _CTF + " SELECT * FROM ctf WHERE rank <= 10"
 QUERIES["topic_labels"] = lambda s, d: topics.rename_topics(topics.class_tf_idf(_terms(s, d)), s.createDataFrame([("src0", "first"), ("src5", "sixth")], "topic string, label string")).select("topic", "label").distinct()
 SQL["topic_labels"] = _T + _CTF + " SELECT topic, CASE topic WHEN 'src0' THEN 'first' WHEN 'src5' THEN 'sixth' ELSE topic || '_' || string_agg(term, '_' ORDER BY rank) END AS label FROM ctf WHERE rank <= 3 GROUP BY topic"
+QUERIES["topic_distances"] = lambda s, d: topicmap.topic_distances(_terms(s, d))
+SQL["topic_distances"] = _T + """, n AS (SELECT topic, term, count(*) AS n FROM t GROUP BY 1, 2), p AS MATERIALIZED (SELECT topic, term, n / sum(n) OVER (PARTITION BY topic) AS p FROM n),
+u AS (SELECT DISTINCT topic FROM n), g AS (SELECT a.topic AS topic1, b.topic AS topic2 FROM u a JOIN u b ON a.topic < b.topic),
+m AS (SELECT topic1, topic2, sum(CASE WHEN topic = topic1 THEN p ELSE 0 END) AS p, sum(CASE WHEN topic = topic2 THEN p ELSE 0 END) AS q FROM g JOIN p ON topic IN (topic1, topic2) GROUP BY topic1, topic2, term)
+SELECT topic1, topic2, round(greatest(0, sum(CASE WHEN p > 0 THEN p * ln(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * ln(2 * q / (p + q)) ELSE 0 END) / 2), 6)::DOUBLE AS distance FROM m GROUP BY 1, 2"""
+QUERIES["topic_coordinates"] = lambda s, d: topicmap.topic_coordinates(_terms(s, d))
+
+
+def _diverse(s, d):
+    w = topics.class_tf_idf(_terms(s, d), None).select("topic", "term", "score")
+    return topicmap.diverse_words(w, topicmap.term_profiles(w))
+
+
+QUERIES["topic_diverse_words"] = _diverse
 QUERIES["topic_relevance"] = lambda s, d: topics.relevance(_terms(s, d))
 SQL["topic_relevance"] = _T + """, n AS (SELECT topic, term, count(*) AS n FROM t GROUP BY 1, 2), x AS (SELECT topic, term, n / sum(n) OVER (PARTITION BY topic) AS p, sum(n) OVER (PARTITION BY term) / sum(n) OVER () AS q FROM n),
 r AS (SELECT topic, term, round(0.6::DOUBLE * ln(p) + 0.4::DOUBLE * ln(p / q), 4) AS relevance FROM x) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY relevance DESC, encode(term)) AS rank FROM r) WHERE rank <= 10"""
