@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from textloom.plans import agreement, bibliography, concordance, files, frequency, keys, longtail, meaning, records, sketches, topicmodels
+from textloom.plans import agreement, bibliography, concordance, files, frequency, keys, longtail, meaning, records, roundtrips, sketches, topicmodels
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _family in (frequency, keys, concordance, sketches, meaning, agreement, bibliography, topicmodels, longtail, files, records):
+for _family in (frequency, keys, concordance, sketches, meaning, agreement, bibliography, topicmodels, longtail, files, records, roundtrips):
     QUERIES |= _family.QUERIES
     SQL |= _family.SQL
