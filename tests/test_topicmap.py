@@ -3,6 +3,7 @@
 import numpy as np
 
 from textloom.operators.topicmap import coordinates, diverse_words, term_profiles, topic_coordinates, topic_distances
+from textloom.operators.topics import hierarchy, intertopic_map
 
 
 def test_distances_and_coordinates(spark):
@@ -52,3 +53,27 @@ def test_diverse_words(spark):
 def test_profiles(spark):
     df = spark.createDataFrame([(1, "a", 2.0), (3, "a", 4.0), (2, "b", 1.0)], "topic int, term string, score double")
     assert {r.term: r.v for r in term_profiles(df).collect()} == {"a": [2.0, 0.0, 4.0], "b": [0.0, 1.0, 0.0]}
+
+
+def test_map_and_hierarchy_use_all_terms(spark):
+    rng = np.random.default_rng(11)
+    words = [f"w{k:03}" for k in range(120)]
+    x = rng.integers(0, 9, (6, 120)).astype(float)
+    x[:, 60:] += np.repeat([[0.0], [7.0]], 3, 0)
+    df = spark.createDataFrame([(t, w, float(x[t, k])) for t in range(6) for k, w in enumerate(words) if x[t, k]], "topic int, term string, score double").repartition(4)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    c = u - u.mean(0)
+    left, s, _ = np.linalg.svd(c, full_matrices=False)
+    p = (left * s)[:, :2]
+    nodes = {r.topic: r for r in intertopic_map(df, spark.createDataFrame([(t, 10 * t) for t in range(6)], "topic int, count bigint"))[0].collect()}
+    got = np.array([[nodes[t].x, nodes[t].y] for t in range(6)])
+    assert np.allclose(np.abs(got), np.abs(p / np.abs(p).max() * 5), atol=1e-6) and [round(nodes[t].size) for t in (0, 5)] == [20, 70]
+    d, groups, want = 1 - u @ u.T, {i: [i] for i in range(6)}, []
+    while len(groups) > 1:
+        far, a, b = min((d[np.ix_(groups[a], groups[b])].mean(), a, b) for a in groups for b in groups if a < b)
+        k = 6 + len(want)
+        groups[k] = groups.pop(a) + groups.pop(b)
+        heavy = sorted(range(120), key=lambda j: (-round(x[groups[k]].sum(0)[j], 9), j))[:5]
+        want.append((len(want), a, b, round(float(far), 4), len(groups[k]), " ".join(words[j] for j in heavy)))
+    assert sorted(map(tuple, hierarchy(df).collect())) == want
+    assert hierarchy(df.limit(0)).collect() == []

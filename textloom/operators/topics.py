@@ -22,14 +22,17 @@ def preprocess(tokens: DataFrame, *, pos: PosFilter | None = None, stopwords: bo
     return g.select("text_id", F.transform("x", lambda x: x["w"]).alias("terms"), "original", "after_pos", "after_stop", "final")
 
 
-def vectors(terms: DataFrame, *, min_df: int = 1, max_df: float = 1.0, vocab: int = 1 << 18, ngram: int = 1, tf_idf: bool = False):
-    """(frame with `features`, vocabulary): counts or TF-IDF of term arrays; min_df texts at least, max_df of all at most."""
+def vectors(terms: DataFrame, *, min_df: int = 1, max_df: float = 1.0, vocab: int | None = None, ngram: int = 1, tf_idf: bool = False):
+    """(frame with `features`, vocabulary): counts or TF-IDF of term arrays; min_df texts at least, max_df of all at most.
+
+    All such terms count, or, for models that a driver should hold, the `vocab` most frequent of them.
+    """
     from pyspark.ml.feature import IDF, CountVectorizer, NGram
 
     column = "terms"
     if ngram > 1:
         terms, column = NGram(n=ngram, inputCol="terms", outputCol="grams").transform(terms), "grams"
-    count = CountVectorizer(inputCol=column, outputCol="counts", minDF=float(min_df), vocabSize=vocab)
+    count = CountVectorizer(inputCol=column, outputCol="counts", minDF=float(min_df), vocabSize=vocab or (1 << 31) - 1)
     model = (count.setMaxDF(float(max_df)) if max_df < 1 else count).fit(terms)
     out = model.transform(terms)
     return (IDF(inputCol="counts", outputCol="features").fit(out).transform(out) if tf_idf else out.withColumn("features", F.col("counts"))), model.vocabulary
@@ -392,24 +395,40 @@ def cluster(vecs: DataFrame, k: int, method: str = "kmeans", seed: int = 42) ->
     return model.transform(x).drop("v")
 
 
+def _cosines(weights: DataFrame) -> tuple[list, np.ndarray]:
+    """Topics in order and the matrix of their cosines over (topic, term, score), from joins on shared terms: topics by topics."""
+    norm = weights.groupBy("topic").agg(F.sqrt(F.sum(F.col("score") * F.col("score"))).alias("norm"))
+    w = weights.select("topic", "term", "score").join(norm, "topic").select("topic", "term", F.when(F.col("norm") > 0, F.col("score") / F.col("norm")).otherwise(0.0).alias("w"))
+    a, b = w.toDF("topic1", "term", "a"), w.toDF("topic2", "term", "b")
+    found = a.join(b, "term").groupBy("topic1", "topic2").agg(F.sum(F.col("a") * F.col("b")).alias("s")).collect()
+    names = sorted({r.topic1 for r in found})
+    at = {t: k for k, t in enumerate(names)}
+    out = np.zeros((len(names), len(names)))
+    for r in found:
+        out[at[r.topic1], at[r.topic2]] = r.s
+    return names, (out + out.T) / 2
+
+
 def intertopic_map(weights: DataFrame, sizes: DataFrame, links: float = 0.3, most: int = 50) -> tuple[DataFrame, DataFrame]:
     """(nodes, links): topics on two principal axes scaled to [-5, 5] with sizes 20 .. 70; pairs of cosine at least `links`.
 
-    weights is (topic, term, score): one row per topic and kept term, so the matrix is small.
+    weights is (topic, term, score) with any number of terms; only the cosines of topics come to the
+    driver, and the principal axes of unit vectors follow from these.
     """
-    rows = weights.toPandas().pivot_table(index="topic", columns="term", values="score", fill_value=0.0)
-    x = rows.to_numpy()
-    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    c = x - x.mean(0)
-    u, s, _ = np.linalg.svd(c, full_matrices=False)
-    p = np.zeros((len(x), 2))
-    p[:, : min(2, u.shape[1])] = (u * s)[:, :2]
-    p = p / max(1e-12, np.abs(p).max()) * 5
-    n = dict(sizes.select("topic", "count").collect())
-    count = np.array([n.get(t, 0) for t in rows.index], float)
-    size = 20 + 50 * (count - count.min()) / max(1.0, count.max() - count.min())
+    names, g = _cosines(weights)
+    n = len(names)
+    h = np.eye(n) - 1 / max(1, n)
+    value, vector = np.linalg.eigh(h @ g @ h) if n else (np.zeros(0), np.zeros((0, 0)))
+    p = np.zeros((n, 2))
+    for k, j in enumerate(np.argsort(-value)[:2]):
+        v = vector[:, j] * np.sqrt(max(0.0, value[j]))
+        p[:, k] = v * (1 if v[np.abs(v).argmax()] >= 0 else -1)
+    p = p / max(1e-12, np.abs(p).max(initial=0.0)) * 5
+    of = dict(sizes.select("topic", "count").collect())
+    count = np.array([of.get(t, 0) for t in names], float)
+    size = 20 + 50 * (count - count.min(initial=0.0 if not n else np.inf)) / max(1.0, float(np.ptp(count)) if n else 1.0)
     spark = weights.sparkSession
-    nodes = spark.createDataFrame([(t if isinstance(t, str) else int(t), float(a), float(b), float(z)) for t, (a, b), z in zip(rows.index, p, size, strict=True)], f"topic {weights.schema['topic'].dataType.simpleString()}, x double, y double, size double")
+    nodes = spark.createDataFrame([(t, float(a), float(b), float(z)) for t, (a, b), z in zip(names, p, size, strict=True)], f"topic {weights.schema['topic'].dataType.simpleString()}, x double, y double, size double")
     pairs = topic_similarity(weights).where(F.col("topic1") < F.col("topic2")).where(F.col("similarity") >= links).orderBy(F.desc("similarity"), "topic1", "topic2").limit(most)
     return nodes, pairs
 
@@ -417,20 +436,24 @@ def intertopic_map(weights: DataFrame, sizes: DataFrame, links: float = 0.3, mos
 def hierarchy(weights: DataFrame) -> DataFrame:
     """(step, left, right, distance, size, terms): average linkage over cosine distances of the topics' weights; terms are the five heaviest of the leaves' mean.
 
-    Topics are few; their matrix is worked on the driver.
+    weights is (topic, term, score) with any number of terms. The matrix of topics by topics is worked on
+    the driver, the terms of each step by a join of its leaves.
     """
-    rows = weights.toPandas().pivot_table(index="topic", columns="term", values="score", fill_value=0.0)
-    x = rows.to_numpy()
-    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    d = 1 - u @ u.T
-    groups = {i: [i] for i in range(len(x))}
-    out, nxt = [], len(x)
+    names, g = _cosines(weights)
+    d = 1 - g
+    groups = {i: [i] for i in range(len(names))}
+    steps, leaves, nxt = [], [], len(names)
     while len(groups) > 1:
-        keys = sorted(groups)
-        _, a, b = min((float(d[np.ix_(groups[p], groups[q])].mean()), p, q) for i, p in enumerate(keys) for q in keys[i + 1 :])
-        far = float(d[np.ix_(groups[a], groups[b])].mean())
+        order = sorted(groups)
+        far, a, b = min((float(d[np.ix_(groups[p], groups[q])].mean()), p, q) for i, p in enumerate(order) for q in order[i + 1 :])
         groups[nxt] = groups.pop(a) + groups.pop(b)
-        mean = x[groups[nxt]].mean(0)
-        out.append((nxt - len(x), a, b, round(far, 4), len(groups[nxt]), " ".join(rows.columns[np.argsort(-mean, kind="stable")[:5]])))
+        steps.append((nxt - len(names), a, b, round(far, 4), len(groups[nxt])))
+        leaves += [(nxt - len(names), names[i]) for i in groups[nxt]]
         nxt += 1
-    return weights.sparkSession.createDataFrame(out, "step int, left int, right int, distance double, size int, terms string")
+    spark = weights.sparkSession
+    kind = weights.schema["topic"].dataType.simpleString()
+    of = spark.createDataFrame(leaves, f"step int, topic {kind}")
+    best = Window.partitionBy("step").orderBy(F.desc("s"), "term")
+    mean = weights.join(of, "topic").groupBy("step", "term").agg(F.round(F.sum("score"), 9).alias("s")).withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= 5)
+    terms = mean.groupBy("step").agg(F.sort_array(F.collect_list(F.struct("nth", "term"))).alias("x")).select("step", F.array_join(F.transform("x", lambda x: x["term"]), " ").alias("terms"))
+    return spark.createDataFrame(steps, "step int, left int, right int, distance double, size int").join(terms, "step", "left")

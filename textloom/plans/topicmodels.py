@@ -126,8 +126,8 @@ QUERIES["embedding_hdbscan"] = lambda s, d: density.cluster_vectors(_vecs(s, d),
 QUERIES["embedding_birch"] = lambda s, d: birch.birch(_vecs(s, d), 8, threshold=0.5, metric="cosine")
 QUERIES["embedding_map"] = lambda s, d: manifold.embed(_vecs(s, d)).select("vec_id", F.col("position")[0].alias("x"), F.col("position")[1].alias("y"))
 QUERIES["document_scatter"] = lambda s, d: topics.project(_vecs(s, d)).select("vec_id", "topic", F.col("position")[0].alias("x"), F.col("position")[1].alias("y"))
-QUERIES["intertopic_map"] = lambda s, d: topics.intertopic_map(topics.class_tf_idf(_terms(s, d), 50), _terms(s, d).groupBy("topic").count())[0]
-QUERIES["topic_hierarchy"] = lambda s, d: topics.hierarchy(topics.class_tf_idf(_terms(s, d), 50))
+QUERIES["intertopic_map"] = lambda s, d: topics.intertopic_map(topics.class_tf_idf(_terms(s, d), None), _terms(s, d).groupBy("topic").count())[0]
+QUERIES["topic_hierarchy"] = lambda s, d: topics.hierarchy(topics.class_tf_idf(_terms(s, d), None))
 QUERIES["lda_optimise"] = lambda s, d: topics.optimise_topics(_bags(s, d), range(2, 5), min_df=2, max_df=0.8)
 QUERIES["lsa_optimise"] = lambda s, d: topics.optimise_lsa(_bags(s, d), 8, min_df=2)
 QUERIES["nmf_optimise"] = lambda s, d: topics.optimise_nmf(_bags(s, d), range(2, 4), min_df=2)
