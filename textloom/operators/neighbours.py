@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.runtime import materialize, settled
+from textloom.runtime import materialize, settled, small_batches
 
 #: Rows of a bucket of the first guess at most, in expectation.
 _BUCKET = 64
@@ -17,6 +17,7 @@ _BUCKET = 64
 
 def _points(vecs: DataFrame, id_col: str, vector_col: str, metric: str) -> DataFrame:
     """(id, v) of vectors without null or non-finite numbers, of the most common length; unit vectors for cosines."""
+    small_batches(vecs, 128)  # a row of lists holds some eighty vectors
     v = F.col("v")
     x = vecs.select(F.col(id_col).alias("id"), F.transform(vector_col, lambda a: a.cast("double")).alias("v"))
     x = x.where(F.col("id").isNotNull() & (F.size(v) > 0) & F.forall(v, lambda a: a.isNotNull() & ~F.isnan(a) & (F.abs(a) < float("inf"))))

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from textloom.functions import dates, text
-from textloom.operators import catalog, dictionary, frameworks, freq, intervals, keyness, media
+from textloom.operators import catalog, dictionary, frameworks, freq, intervals, keyness, media, segmentation
 from textloom.operators.tokens import annotate, corpus_tokens
 from textloom.plans.frequency import docs
 from textloom.plans.sql import STOPS, TOKENS
@@ -192,10 +192,11 @@ SQL["annotation_conflicts"] = _merged_sql().split(", m AS (")[0] + _TWO + """ SE
 
 def _pieces(s, d, separator, number):
     """Stretches of the documents between separators, with their places in characters."""
-    t = s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.posexplode(F.split("text", separator, -1)).alias("i", "piece"))
+    # only lengths leave the texts
+    t = s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.transform(F.split("text", separator, -1), F.length).alias("n")).select("doc_id", F.posexplode("n").alias("i", "n"))
     at = Window.partitionBy("doc_id").orderBy("i")
-    end = F.sum(F.length("piece") + 1).over(at) - 1
-    return t.select("doc_id", (F.col("i") + 1).alias(number), (end - F.length("piece")).alias("start"), end.alias("end"))
+    end = F.sum(F.col("n") + 1).over(at) - 1
+    return t.select("doc_id", (F.col("i") + 1).alias(number), (end - F.col("n")).alias("start"), end.alias("end"))
 
 
 _PIECES = """WITH {0} AS (SELECT doc_id, nth, stop - length(piece) AS start, stop FROM (SELECT doc_id, nth, piece, (sum(length(piece) + 1) OVER (PARTITION BY doc_id ORDER BY nth) - 1)::BIGINT AS stop
@@ -224,3 +225,15 @@ def _stream(s, d):
 QUERIES["streaming_counts"] = _stream
 SQL["streaming_counts"] = """SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS term, count(*) AS n, round(sum(value), 2) AS value FROM events
 WHERE ts::DATE + 1 <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY 1, 2"""
+
+
+def _unspaced(s, d):
+    """Names of parts without their spaces, cut again by a lattice over the words that names are made of."""
+    p = s.read.parquet(f"{d}/part.parquet")
+    words = p.select(F.explode(F.split("p_name", " ")).alias("word")).groupBy("word").agg(F.count("*").alias("count"))
+    cut = segmentation.segment(p.select("p_partkey", F.translate("p_name", " ", "").alias("text")), words, pattern="[a-z]+", longest=12)
+    return cut.select("p_partkey", F.array_join("words", " ").alias("words"))
+
+
+QUERIES["segmented_words"] = _unspaced
+SQL["segmented_words"] = "SELECT p_partkey, p_name AS words FROM part"
