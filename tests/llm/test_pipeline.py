@@ -63,5 +63,5 @@ def test_entry_registers_all():
     entry = importlib.util.module_from_spec(spec)
     spec.loader.exec_module(entry)
     names = set(entry.queries())
-    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
-    assert {"op7_quality", "op8_mixing"} <= set(entry.oracle_sql()) <= names
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
+    assert {"op7_quality", "op8_mixing", "op12_codes", "op13_pii"} <= set(entry.oracle_sql()) <= names
