@@ -149,7 +149,7 @@ def test_graph_and_clusters_of_vectors(spark):
     want = {(i, int(j)) for i in range(len(x)) for j in np.argsort(d[i])[:10]}
     got = {(r.src, r.dst) for r in graph}
     assert len(got) == 10 * len(x) and len(got & want) >= 0.95 * len(want)
-    assert all(abs(r.distance - d[r.src, r.dst]) < 1e-6 for r in graph)
+    assert all(abs(r.distance - d[r.src, r.dst]) < 1e-4 for r in graph)
     found = cluster_vectors(df, 10)
     assert found.count() == len(rows)
     label = {r.vec_id: r.label for r in found.collect()}

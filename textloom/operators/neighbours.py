@@ -30,7 +30,7 @@ def _points(vecs: DataFrame, id_col: str, vector_col: str, metric: str) -> DataF
 
 
 def _matrix(column: pa.ListArray) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(column), -1)
 
 
 def _lists(lists: DataFrame, k: int, kind: str, metric: str, changed: bool) -> DataFrame:
@@ -77,14 +77,15 @@ def _best(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
 
 
-def nearest_graph(vecs: DataFrame, k: int = 15, *, id_col: str = "vec_id", vector_col: str = "embedding", metric: str = "euclidean", rounds: int = 8, tables: int = 4, width: int = 30, sample: int = 24) -> DataFrame:
+def nearest_graph(vecs: DataFrame, k: int = 15, *, id_col: str = "vec_id", vector_col: str = "embedding", metric: str = "euclidean", rounds: int = 8, tables: int = 4, width: int = 30, sample: int = 14) -> DataFrame:
     """(src, dst, distance, rank): the k nearest others of every vector, found by neighbour descent (Dong et al. 2011).
 
     The first guess compares vectors that share a bucket of signed random projections, in `tables` tables;
     a crowded bucket is dealt out by hash, so that none exceeds some 64 rows; and all meet some others at random. In each round a vector
     introduces its neighbours and those that have it as one, `sample` of either kind picked by hash, to
     each other; `width` neighbours are kept meanwhile, as vectors of many dimensions need more than k to go by; pairs that met before are not compared again. It ends after `rounds` rounds or once
-    no more than a thousandth of all neighbours changes. Seeded: reruns agree.
+    no more than a thousandth of all neighbours changes. Vectors travel in
+    single precision, of which distances are made. Seeded: reruns agree.
 
     Null ids and vectors with null or non-finite numbers, of other lengths than the most common, or zero
     under cosines, take no part. Repeated ids are distinct only if ids are; an empty table gives no rows.
@@ -92,6 +93,7 @@ def nearest_graph(vecs: DataFrame, k: int = 15, *, id_col: str = "vec_id", vecto
     spark, width = vecs.sparkSession, max(k, width)
     points = _points(vecs, id_col, vector_col, metric)
     kind = points.schema["id"].dataType.simpleString()
+    short = F.col("v").cast("array<float>").alias("v")
     n = points.count()
     first = points.first()
     d = len(first.v) if first else 1
@@ -113,7 +115,7 @@ def nearest_graph(vecs: DataFrame, k: int = 15, *, id_col: str = "vec_id", vecto
     placed = materialize(points.mapInArrow(hashed, f"id {kind}, v array<double>, t int, bucket bigint"), "hashed")
     crowd = placed.groupBy("t", "bucket").agg(F.ceil(F.count("*") / _BUCKET).cast("int").alias("parts"))
     dealt = placed.join(crowd, ["t", "bucket"]).withColumn("part", F.pmod(F.xxhash64("id", "t"), F.col("parts")))
-    lists = dealt.groupBy("t", "bucket", "part").agg(F.collect_list(F.struct("id", "v", F.lit(False).alias("old"))).alias("c")).select("c")
+    lists = dealt.withColumn("v", short).groupBy("t", "bucket", "part").agg(F.collect_list(F.struct("id", "v", F.lit(False).alias("old"))).alias("c")).select("c")
     graph = materialize(_best(_lists(lists, width, kind, metric, False).withColumn("old", F.lit(False)), width), "graph")
     for r in range(rounds):
         # a neighbour is old once it has been introduced; of the new ones and of the old ones up to `sample` go out
@@ -123,7 +125,7 @@ def nearest_graph(vecs: DataFrame, k: int = 15, *, id_col: str = "vec_id", vecto
         into = out.withColumn("nth", F.row_number().over(back)).where(F.col("nth") <= sample)
         members = out.select(F.col("src").alias("host"), F.col("dst").alias("id"), "old").unionByName(into.select(F.col("dst").alias("host"), F.col("src").alias("id"), "old"))
         members = members.groupBy("host", "id").agg(F.min("old").alias("old"))
-        lists = members.join(points, "id").groupBy("host").agg(F.collect_list(F.struct("id", "v", "old")).alias("c")).select("c")
+        lists = members.join(points.select("id", short), "id").groupBy("host").agg(F.collect_list(F.struct("id", "v", "old")).alias("c")).select("c")
         found = _lists(lists, width, kind, metric, True).withColumn("old", F.lit(False))
         gone = out.select("src", "dst", F.lit(True).alias("went"))
         kept = graph.join(gone, ["src", "dst"], "left").select("src", "dst", "distance", (F.col("old") | F.coalesce("went", F.lit(False))).alias("old"))
