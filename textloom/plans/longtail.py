@@ -192,8 +192,8 @@ SQL["annotation_conflicts"] = _merged_sql().split(", m AS (")[0] + _TWO + """ SE
 
 def _pieces(s, d, separator, number):
     """Stretches of the documents between separators, with their places in characters."""
-    # only lengths leave the texts
-    t = s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.transform(F.split("text", separator, -1), F.length).alias("n")).select("doc_id", F.posexplode("n").alias("i", "n"))
+    # only lengths leave the texts, as one array each, so that the window needs no shuffle of pieces
+    t = s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.transform(F.split("text", separator, -1), F.length).alias("n")).repartition("doc_id").select("doc_id", F.posexplode("n").alias("i", "n"))
     at = Window.partitionBy("doc_id").orderBy("i")
     end = F.sum(F.col("n") + 1).over(at) - 1
     return t.select("doc_id", (F.col("i") + 1).alias(number), (end - F.col("n")).alias("start"), end.alias("end"))
