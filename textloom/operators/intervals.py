@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Places of a bin. A span stands in every bin that it touches, so that work grows with the text's length and with the pairs found.
@@ -30,24 +30,30 @@ def overlapping(a: DataFrame, b: DataFrame, width: int = WIDTH) -> DataFrame:
     return x.join(y, ["doc_id", "bin"]).where((F.col("bin") == first) & (F.col("start") < F.col("other_end")) & (F.col("other_start") < F.col("end"))).drop("bin")
 
 
-def _by_bin(spans: DataFrame, width: int) -> DataFrame:
-    """(doc_id, bin, spans): the numbered spans (doc_id, nth, start, end) of each bin, in order."""
-    x = spans.where("start IS NOT NULL AND `end` IS NOT NULL").select("doc_id", F.struct("nth", "start", "end").alias("x"), _bins(F.col("start"), F.col("end"), width).alias("bin"))
-    return x.groupBy("doc_id", "bin").agg(F.sort_array(F.collect_list("x")).alias("spans"))
+def _met(points: DataFrame, spans: DataFrame, width: int) -> DataFrame:
+    """points with `spans`, an array of the numbered spans (nth, start, end) of their bin.
+
+    Both stand in one table, and a window over each bin hands its spans to its points. Where both sides are dealt out
+    by text already, as pieces of texts are, no row is shuffled again, which a join on text and bin would do.
+    """
+    s = spans.where("doc_id IS NOT NULL AND start IS NOT NULL AND `end` IS NOT NULL")
+    s = s.select("doc_id", _bins(F.col("start"), F.col("end"), width).alias("__bin"), F.struct("nth", "start", "end").alias("__span"))
+    both = points.withColumn("__bin", _bin(F.col("start"), width)).unionByName(s, allowMissingColumns=True)
+    here = F.collect_list("__span").over(Window.partitionBy("doc_id", "__bin"))
+    return both.withColumn("spans", here).where("__span IS NULL").drop("__bin", "__span")
 
 
 def first_holder(points: DataFrame, spans: DataFrame, name: str = "nth", width: int = WIDTH) -> DataFrame:
-    """points (doc_id, start, ...) with `name`: the number of the first span with start <= place < end, 0 where none holds it.
+    """points (doc_id, start, ...) with `name`: the lowest number of a span with start <= place < end, 0 where none holds it.
 
-    Spans, as sentences, are few in a bin: those of a bin travel as one row, and every point is joined once.
+    Points with a null text or place are held by none; an empty table of spans gives zeros.
     """
-    x = points.withColumn("bin", _bin(F.col("start"), width)).join(_by_bin(spans, width), ["doc_id", "bin"], "left")
     holds = F.filter("spans", lambda s: (s["start"] <= F.col("start")) & (F.col("start") < s["end"]))
-    return x.withColumn(name, F.coalesce(F.get(holds, F.lit(0))["nth"], F.lit(0))).drop("bin", "spans")
+    first = F.array_min(F.transform(holds, lambda s: s["nth"]))
+    return _met(points, spans, width).withColumn(name, F.coalesce(first, F.lit(0))).drop("spans")
 
 
 def holders(inner: DataFrame, spans: DataFrame, name: str = "nth", width: int = WIDTH) -> DataFrame:
     """inner (doc_id, start, end, ...) once for each span that holds it whole, with the span's number as `name`."""
-    x = inner.withColumn("bin", _bin(F.col("start"), width)).join(_by_bin(spans, width), ["doc_id", "bin"])
     holds = F.filter("spans", lambda s: (s["start"] <= F.col("start")) & (F.col("end") <= s["end"]))
-    return x.withColumn(name, F.explode(F.transform(holds, lambda s: s["nth"]))).drop("bin", "spans")
+    return _met(inner, spans, width).withColumn(name, F.explode(F.transform(holds, lambda s: s["nth"]))).drop("spans")
