@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import dates, stats, text
 from textloom.operators import biblio, cql, freq, keyness, kwic, predicates, reliability, semantic
+from textloom.sources import writers
 
 
 def test_two_by_two(spark):
@@ -231,3 +232,26 @@ def test_gold_summary(spark):
     counts = spark.createDataFrame([("a", "*", 3, 1, 1), ("b", "*", 0, 2, 4), ("a", "X", 3, 1, 1), ("b", "X", 0, 2, 4)], "coder string, label string, tp bigint, fp bigint, fn bigint")
     rows = {(r["kind"], r["item"]): (r["precision"], r["recall"], r["f1"], r["band"]) for r in reliability.gold_summary(counts).collect()}
     assert rows == {("coder", "a"): (0.75, 0.75, 0.75, "fair"), ("coder", "b"): (0.0, 0.0, 0.0, "very poor"), ("label", "X"): (0.5, 0.375, 0.4286, "very poor"), ("mean", "*"): (0.375, 0.375, 0.375, "very poor")}
+
+
+def test_report_page(spark, tmp_path):
+    rows = [("cohens_kappa", "a<b>-c", 0.1235, "slight"), ("cohens_kappa", "a-\"d&", 0.12, None), ("cohens_kappa", None, None, None), ("percent_agreement", "x", -0.5, "poor"), ("zeta", "*", 1.0, "k"), (None, "lost", 1.0, "k")]
+    page = reliability.report_page(spark.createDataFrame(rows, "measure string, item string, value double, band string").repartition(3), "A & B")
+    got = [r.html for r in page.orderBy("nth").collect()]
+    assert len(got) == 5 and got[0].endswith("<h1>A &amp; B</h1>") and "percent" not in got[0]
+    cell = lambda *c: "<tr>" + "".join(f"<td>{x}</td>" for x in c) + "</tr>"
+    assert got[1].startswith("<section><h2>Percent agreement</h2>") and cell("x", "-0.5000", "poor") + cell("mean", "-0.5000", "-") in got[1]
+    # the mean of 0.1235 and 0.12 is 0.12175: half up in ten-thousandths
+    assert cell("-", "-", "-") + cell("a-&quot;d&amp;", "0.1200", "-") + cell("a&lt;b&gt;-c", "0.1235", "slight") + cell("mean", "0.1218", "-") in got[2]
+    assert "<h2>zeta</h2>" in got[3] and "mean" not in got[3] and "lost" not in "".join(got)
+    writers.write_page(page, str(tmp_path / "page"))
+    (part,) = (tmp_path / "page").glob("part-*")
+    assert part.read_text("utf-8").splitlines() == got
+    empty = reliability.report_page(spark.createDataFrame([], "measure string, item string, value double, band string"))
+    assert empty.count() == 2
+
+
+def test_cooccurrence_pairs(spark):
+    rows = [(["b", " a", "b", "", "c"],), (["c", "a"],), (["a"],), ([],), (None,), ([f"{k:04d}" for k in range(300)],)]
+    got = {(r.source, r.target): r.weight for r in biblio.cooccurrence(spark.createDataFrame(rows, "x array<string>"), "x").collect()}
+    assert got[("a", "c")] == 2 and got[("a", "b")] == got[("b", "c")] == 1 and len(got) == 3 + 300 * 299 // 2

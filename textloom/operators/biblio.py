@@ -61,9 +61,10 @@ def _named(column: str) -> Column:
 def cooccurrence(entries: DataFrame, field: str, lower: bool = False) -> DataFrame:
     """(source, target, weight): unordered pairs of different items inside an entry, each once."""
     items = F.array_sort(F.array_distinct(F.transform(field, lambda x: F.lower(F.trim(x)) if lower else F.trim(x))))
-    e = entries.select(F.filter(items, lambda x: x != "").alias("x"))
-    pairs = F.flatten(F.transform("x", lambda a, i: F.transform(F.slice("x", i + 2, F.size("x")), lambda b: F.struct(a.alias("source"), b.alias("target")))))
-    return e.where(F.size("x") > 1).select(F.explode(pairs).alias("p")).groupBy("p.source", "p.target").agg(F.count("*").alias("weight"))
+    e = entries.select(F.filter(items, lambda x: x != "").alias("x")).where(F.size("x") > 1)
+    # an item at a time with those behind it, so that no row holds all pairs of an entry
+    one = e.select("x", F.posexplode("x").alias("i", "source")).select("source", F.explode(F.slice("x", F.col("i") + 2, F.size("x"))).alias("target"))
+    return one.groupBy("source", "target").agg(F.count("*").alias("weight"))
 
 
 def items(entries: DataFrame, field: str, lower: bool = False) -> DataFrame:

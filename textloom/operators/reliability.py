@@ -156,6 +156,43 @@ def report(spans: DataFrame, lengths: DataFrame, coders: list[str], gold: str |
     return out
 
 
+#: Sections of a page in order; other measures follow by name.
+TITLES = {"percent_agreement": "Percent agreement", "cohens_kappa": "Cohen's kappa", "fleiss_kappa": "Fleiss' kappa", "krippendorff_alpha": "Krippendorff's alpha", "precision": "Precision", "recall": "Recall", "f1": "F1"}
+_GUIDE = (("0.8 and more", "almost perfect"), ("0.6 to 0.8", "substantial"), ("0.4 to 0.6", "moderate"), ("0.2 to 0.4", "fair"), ("0 to 0.2", "slight"), ("below 0", "poor"))
+
+
+def _escaped(c: Column) -> Column:
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        c = F.replace(c, F.lit(sign), F.lit(name))
+    return c
+
+
+def report_page(rows: DataFrame, title: str = "Inter-coder reliability") -> DataFrame:
+    """(nth, html): report() as one HTML page in parts, the head, a section per measure, and how to read the values.
+
+    A section lists its items in order with value and band; measures of pairs of coders also have their mean,
+    rounded half up in whole ten-thousandths. Names are escaped; null values and bands show as `-`. An
+    empty report gives head and guide alone. A section holds a row per pair, level, coder or label.
+    """
+    order = F.coalesce(F.create_map(*(F.lit(x) for kv in zip(TITLES, range(1, len(TITLES) + 1)) for x in kv))[F.col("measure")], F.lit(len(TITLES) + 1))
+    heading = F.coalesce(F.create_map(*(F.lit(x) for kv in TITLES.items() for x in kv))[F.col("measure")], F.col("measure"))
+    number = lambda v: F.coalesce(F.when(v.isNotNull(), F.format_string("%.4f", v)), F.lit("-"))
+    line = lambda item, value, name: F.concat(F.lit("<tr><td>"), item, F.lit("</td><td>"), value, F.lit("</td><td>"), name, F.lit("</td></tr>"))
+    each = line(_escaped(F.coalesce("item", F.lit("-"))), number(F.col("value")), _escaped(F.coalesce("band", F.lit("-"))))
+    whole = F.round(F.col("value") * 10000).cast("bigint")
+    s = rows.where("measure is not null").groupBy("measure").agg(F.sort_array(F.collect_list(F.struct("item", each.alias("x")))).alias("lines"), F.sum(whole).alias("s"), F.count("value").alias("n"))
+    mean = F.floor((2 * F.col("s") + F.col("n")) / (2 * F.col("n"))) / 10000
+    last = F.when(F.col("measure").isin("percent_agreement", "cohens_kappa") & (F.col("n") > 0), line(F.lit("mean"), number(mean), F.lit("-"))).otherwise("")
+    section = F.concat(F.lit("<section><h2>"), _escaped(heading), F.lit("</h2><table><tr><th>Item</th><th>Value</th><th>Band</th></tr>"), F.array_join("lines.x", ""), last, F.lit("</table></section>"))
+    # one row per measure
+    body = s.select(F.row_number().over(Window.orderBy(order, "measure")).alias("nth"), section.alias("html"))
+    spark = rows.sparkSession
+    head = spark.range(1).select(F.lit(0).alias("nth"), F.concat(F.lit('<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>'), _escaped(F.lit(title)), F.lit("</title></head><body><h1>"), _escaped(F.lit(title)), F.lit("</h1>")).alias("html"))
+    guide = "".join(f"<tr><td>{a}</td><td>{b}</td></tr>" for a, b in _GUIDE)
+    foot = spark.range(1).select(F.lit((1 << 31) - 1).alias("nth"), F.lit(f"<section><h2>Reading kappa and alpha</h2><table><tr><th>Value</th><th>Band</th></tr>{guide}</table></section></body></html>").alias("html"))
+    return head.unionByName(body).unionByName(foot)
+
+
 def unit_table(spans: DataFrame, n_coders: int) -> DataFrame:
     """(doc_id, start, end, label, coders, rate, agreed) per annotated position: the first coder's label, how many annotated it, and whether all labels are one."""
     n = spans.groupBy("doc_id", "start", "end").agg(F.min(F.struct("coder", "label")).alias("first"), F.count_distinct("coder").alias("coders"), F.count_distinct("label").alias("labels"))

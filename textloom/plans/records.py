@@ -145,6 +145,16 @@ SQL["reliability_report"] = " UNION ALL ".join(
     ]
 )
 
+QUERIES["reliability_page"] = lambda s, d: rel.report_page(QUERIES["reliability_report"](s, d), "Agreement of three coders")
+_HEADINGS = "CASE measure " + " ".join(f"WHEN '{k}' THEN '{v.replace(chr(39), chr(39) * 2)}'" for k, v in rel.TITLES.items()) + " END"
+_PLACES = "CASE measure " + " ".join(f"WHEN '{k}' THEN {i + 1}" for i, k in enumerate(rel.TITLES)) + " END"
+SQL["reliability_page"] = f"""WITH r AS ({SQL["reliability_report"]}), x AS (SELECT measure, string_agg('<tr><td>' || item || '</td><td>' || printf('%.4f', value) || '</td><td>' || coalesce(band, '-') || '</td></tr>', '' ORDER BY item) AS rows,
+  floor((2 * sum(round(value * 10000)::BIGINT) + count(*)) / (2 * count(*))) / 10000 AS mean FROM r GROUP BY 1)
+SELECT 0 AS nth, '<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>Agreement of three coders</title></head><body><h1>Agreement of three coders</h1>' AS html
+UNION ALL SELECT {_PLACES}, '<section><h2>' || {_HEADINGS} || '</h2><table><tr><th>Item</th><th>Value</th><th>Band</th></tr>' || rows
+  || CASE WHEN measure IN ('percent_agreement', 'cohens_kappa') THEN '<tr><td>mean</td><td>' || printf('%.4f', mean) || '</td><td>-</td></tr>' ELSE '' END || '</table></section>' FROM x
+UNION ALL SELECT 2147483647, '<section><h2>Reading kappa and alpha</h2><table><tr><th>Value</th><th>Band</th></tr><tr><td>0.8 and more</td><td>almost perfect</td></tr><tr><td>0.6 to 0.8</td><td>substantial</td></tr><tr><td>0.4 to 0.6</td><td>moderate</td></tr><tr><td>0.2 to 0.4</td><td>fair</td></tr><tr><td>0 to 0.2</td><td>slight</td></tr><tr><td>below 0</td><td>poor</td></tr></table></section></body></html>'"""
+
 
 def _catalog(s, d):
     """Texts, their tags and a task for each order, of which customers are the texts."""

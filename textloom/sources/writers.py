@@ -37,6 +37,11 @@ def write_table(result: DataFrame, path: str, kind: str = "csv") -> None:
         getattr(result.write.mode("overwrite"), kind)(path)
 
 
+def write_page(page: DataFrame, path: str) -> None:
+    """The parts (nth, html) of one page as one text file, in order; a page is small, a part per measure."""
+    page.coalesce(1).sortWithinPartitions("nth").select(F.col("html").alias("value")).write.mode("overwrite").text(path)
+
+
 def write_topics(topics: DataFrame, path: str) -> None:
     """Topic results (topic, term, ...) as JSON, one topic a line with its terms in order of rank."""
     kept = [c for c in topics.columns if c not in ("topic", "rank")]
