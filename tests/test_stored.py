@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.operators import freq, sketch
+from textloom.operators.ranking import offsets
 from textloom.operators.tokens import annotate
 
 DATA = "/root/testdata/sf0.001"
@@ -43,3 +44,15 @@ def test_stored_sketches(spark, tmp_path):
     direct.unpersist()
     sketch.store_index(tokens.limit(0), path + "0", marginals="corpus")
     assert sketch.stored_sketch(spark, path + "0", "a").collect() == []
+
+
+def test_offsets(spark):
+    rows = [(k, (k * 7) % 5) for k in range(200)] + [(500, 0)]
+    got = {r.k: r.offset for r in offsets(spark.createDataFrame(rows, "k int, n bigint").repartition(6), "n", F.col("k")).collect()}
+    assert got == {k: sum(n for j, n in rows if j < k) for k, _ in rows}
+    assert offsets(spark.createDataFrame([], "k int, n bigint"), "n", F.col("k")).collect() == []
+
+
+def test_tokens_without_a_text_come_first(spark):
+    t = spark.createDataFrame([(None, 0, "a"), (None, 1, "b"), (2, 5, "e"), (1, 3, "c"), (1, 9, "d")], "text_id int, tok_idx int, text string")
+    assert sorted(r.ngram for r in freq.ngrams(t, (2,), cross_text=True).collect()) == ["a b", "b c", "c d", "d e"]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.operators.predicates import PosFilter, between, content, form, lines_of, search, without_stopwords
-from textloom.operators.ranking import ranked
+from textloom.operators.ranking import offsets, ranked
 
 
 def share(n: str, total: str, name: str = "percentage"):
@@ -66,8 +66,16 @@ def ngrams(tokens: DataFrame, sizes: Iterable[int] = (2,), *, target: str = "wor
 
 def _stretches(tokens: DataFrame, most: int, length: int = 1 << 16) -> DataFrame:
     """tokens with their place in the stream of all texts, by stretches of `length` places: the first most - 1
-    tokens of a stretch also stand, not as its own, at the end of the one before."""
-    t = ranked(tokens, F.col("text_id"), F.col("tok_idx"), rank="place").withColumn("at", F.floor((F.col("place") - 1) / length))
+    tokens of a stretch also stand, not as its own, at the end of the one before.
+
+    Only texts are put in order, by id with their numbers of tokens; a token's place is its text's offset and its
+    own rank in the text. Tokens without a text come first, as one text.
+    """
+    sizes = tokens.groupBy("text_id").agg(F.count("*").alias("__n"))
+    starts = offsets(sizes, "__n", F.asc_nulls_first("text_id")).select("text_id", F.col("offset").alias("__before"))
+    t = tokens.withColumn("__nth", F.row_number().over(Window.partitionBy("text_id").orderBy("tok_idx"))).join(starts, "text_id", "left")
+    place = F.coalesce("__before", F.lit(0)) + F.col("__nth")
+    t = t.withColumn("place", place.cast("bigint")).drop("__nth", "__before").withColumn("at", F.floor((F.col("place") - 1) / length))
     early = (F.col("place") - 1) % length < most - 1
     t = t.withColumn("stretch", F.explode(F.when(early & (F.col("at") > 0), F.array("at", F.col("at") - 1)).otherwise(F.array("at"))))
     return t.withColumn("own", F.col("stretch") == F.col("at"))

@@ -59,7 +59,7 @@ _ngrams("ngram_multi", (2, 3, 4, 5, 6), least=3)
 _ngrams("ngram_search", (2, 3), least=2, after="list_has_any(string_split(ngram, ' '), ['the', 'of']) AND NOT list_has_any(string_split(ngram, ' '), ['and'])", kind="wordlist", value="the\nof", exclude=["and"])
 _ngrams("ngram_search_regex", (2,), least=2, after="regexp_matches(ngram, '^the .*ing$')", kind="regex", value="^the .*ing$")
 
-QUERIES["ngram_cross_text"] = lambda s, d: freq.ngram_frequency(corpus_tokens(docs(s, d)), (2, 3), least=2, cross_text=True)
+QUERIES["ngram_cross_text"] = lambda s, d: freq.ngram_frequency(corpus_tokens(docs(s, d).repartition("doc_id")), (2, 3), least=2, cross_text=True)  # texts are dealt out, not tokens
 SQL["ngram_cross_text"] = "WITH " + WORDS + _ngram_sql((2, 3), least=2).replace("PARTITION BY text_id ORDER BY tok_idx", "ORDER BY text_id, tok_idx") + _NGRAM_OUT + "true"
 
 QUERIES["ngram_pos_filter"] = lambda s, d: freq.ngram_frequency(annotate(docs(s, d)), (2,), least=2, pos=PosFilter(("NOUN", "VERB", "ADJ")), min_length=3)
