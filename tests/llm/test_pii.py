@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm import pii
 from textloom.llm.pii import KINDS, LOOSE, PLAIN_FORMS, Bootstrap, find, score
+from textloom.llm.queries import op13_pii
 
 ONE = 1_000_000
 
@@ -173,3 +174,44 @@ def test_planted_by_sql(spark, tmp_path):
     con.register("documents", df.toArrow())
     want = sorted(con.execute(pii.sql()).fetchall())
     assert sorted(map(tuple, find(df).collect())) == want and sum(w[6].count(":") // 2 > sum(w[1:5]) for w in want) == 4
+
+
+def test_long_mentions_are_discovered(spark, tmp_path):
+    """The query: a context that is sure discovers what stands there, however many numbers follow it or characters it has."""
+    row, name, host = " ".join(str(100 + k) for k in range(60)), "ann" * 40, "desk." * 30
+    texts = [*planted(), f"Please call me at (555) 010-8888 {row} before noon", f"Contact desk: {name}[at]example[dot]com for help", f"Contact desk: joe@{host}org for help", f"Elsewhere <{name.upper()}[at]EXAMPLE[dot]com> writes"]
+    spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [r.spans for r in sorted(op13_pii(spark, str(tmp_path)).collect())][len(planted()) :]
+    ann, joe = f"{name}[at]example[dot]com", f"joe@{host}org"
+    assert got[0] == "phone:18:39" and texts[-4][18:39] == "(555) 010-8888 100 10"
+    assert got[1] == f"email:14:{14 + len(ann)}" and got[2] == f"email:14:{14 + len(joe)}" and got[3] == f"email:11:{11 + len(ann)}"
+    assert min(len(ann), len(joe), len(row)) > pii.LONGEST
+
+
+def test_any_length_as_plain(spark, monkeypatch):
+    """Against plain bootstrapping that knows no longest mention."""
+    rng = random.Random(9)
+    pieces = [*"ab.@+-()0123459é_%[t]:F", "[at]", "[dot]com", "a@b.c", "1.2.3.4", " 12", " (555) 010-7777", "4111 1111 1111 1111", "abcdef0" * 4]
+    longs = ["".join(rng.choice(pieces) for _ in range(rng.randint(20, 60))) for _ in range(60)]
+    texts = []
+    for _ in range(1500):
+        x = rng.choice(longs) if rng.random() < 0.5 else "".join(rng.choice(pieces) for _ in range(rng.randint(1, 60)))
+        texts.append(f"{rng.choice(['tel', 'mail to', 'so'])} {rng.choice(['', '(', '<'])}{rng.choice([x, x.upper()])}{rng.choice(['', '.', '>,'])} {rng.choice(['ok', 'end'])}")
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, text string").coalesce(2)
+    how = Bootstrap(support=3, smooth=0, confidence=100_000, accept=150_000)
+    got, short = [tuple(r)[1:] for r in sorted(find(df, how=how, longest=None).collect())], list(plain(texts, how))
+    monkeypatch.setattr(pii, "LONGEST", 1 << 40)
+    want = list(plain(texts, how))
+    assert got == want
+    assert sum(a != b for a, b in zip(want, short, strict=True)) >= 30
+
+
+def test_long_mentions_are_read_once(spark):
+    """Runs on which the loose forms would be read in quadratic time or nested too deep."""
+    n = 200_000
+    texts = ["a1" * n, "f" * n + "1", "x@" + "." * n, "a[at]b" + "[dot]c" * n, "1" + ".:" * n + "a", "1.a" * n, "a." * n + "1", "12 " * n, "1( " * n, "[at]a" * n, "_@" * n]
+    df = spark.createDataFrame([(k, f"mail {t} ok") for k, t in enumerate(texts)], "doc_id bigint, text string").repartition(4)
+    began = time.time()
+    marks = pii._marks(df, "doc_id", "text")
+    can = [r.can for r in pii.mentions(marks, None).orderBy(F.length("match").desc()).collect()]
+    assert time.time() - began < 60 and len(can) >= len(texts) and [0] in can

@@ -34,15 +34,21 @@ _BLANK = r"\x20\x09-\x0D"
 #: runs behind it that begin with digits. The second is for an engine that reads in linear time anyway.
 MENTION = rf"(?<![^{_BLANK}])[^{_BLANK}]*?(?:[0-9@]|[\[(]at[\])])[^{_BLANK}]*+(?:\x20\(?[0-9][^{_BLANK}]*+)*+"
 PLAIN_MENTION = rf"[^{_BLANK}]*?(?:[0-9@]|[\[(]at[\])])[^{_BLANK}]*(?:\x20\(?[0-9][^{_BLANK}]*)*"
-#: An identifier within a mention, by kind: looser than the fixed forms.
+#: An identifier within a mention, by kind: looser than the fixed forms, for an engine that reads in linear time anyway.
 LOOSE = {
     "email": r"[A-Za-z0-9._%+-]+(?:@|[\[(]at[\])])[A-Za-z0-9.-]*[A-Za-z0-9](?:[\[(]dot[\])][A-Za-z0-9-]+)*",
     "ip": r"[0-9A-Fa-f]+(?:[.:]+[0-9A-Fa-f]+){3,}",
     "card": r"[0-9](?:[\x20.-]?[0-9]){11,18}",
     "phone": r"[(]?[0-9](?:[\x20()./-]{0,2}[0-9]){6,14}",
 }
+#: The same, so that a mention of any length is read in linear time: as the fixed forms, from the start of a run and possessive.
+LOOSE_ONCE = LOOSE | {
+    "email": rf"(?<![{_LOCAL}])[{_LOCAL}]++(?:@|[\[(]at[\])])[A-Za-z0-9.-]*[A-Za-z0-9](?:[\[(]dot[\])][A-Za-z0-9-]++)*+",
+    "ip": r"(?<![0-9A-Fa-f])[0-9A-Fa-f]++(?:[.:]++[0-9A-Fa-f]++){3,}+",
+}
 WORD = rf"[^{_BLANK}]+"
-#: Characters of a mention that may be an identifier at most, and those of a context to either side.
+#: Characters of a mention that the SQL discovers at most and of an instance that is kept as it is, a longer one goes by its
+#: digest; and those of a context to either side.
 LONGEST, LEFT, RIGHT = 80, 60, 40
 _EDGES = ".,;:!?()[]{}<>\"'"
 _ONE = 1_000_000
@@ -122,19 +128,22 @@ def base_spans(marks: DataFrame) -> DataFrame:
     return _placed(rows).where(holds).select("rid", "kind", "start", (F.col("start") + F.length("match")).alias("end"))
 
 
-def mentions(marks: DataFrame) -> DataFrame:
+def mentions(marks: DataFrame, longest: int | None = LONGEST) -> DataFrame:
     """(rid, start, match, instance, seed, can, patterns) of every mention.
 
-    seed is the kind of a fixed form within it, can the kinds that it may be of otherwise; patterns are
-    what stands before and after: l and a word, ll and two words, r and a word; ^ stands for none.
+    seed is the kind of a fixed form within it, can the kinds that it may be of otherwise, none if it has
+    over longest characters (None: any number may be of a kind); patterns are what stands before and after:
+    l and a word, ll and two words, r and a word; ^ stands for none.
     """
     rows = marks.where(F.size("m_mention") > 0).select("rid", F.posexplode(F.arrays_zip(F.col("m_mention").alias("m"), F.slice("g_mention", 1, F.size("m_mention")).alias("g"), F.slice("g_mention", 2, F.size("m_mention")).alias("h"))).alias("nth", "x"))
     rows = rows.select("rid", F.lit(0).alias("kind"), "nth", F.col("x.g.n").cast("bigint").alias("gap"), F.col("x.m").alias("match"), F.col("x.g.before").alias("before"), F.col("x.h.after").alias("after"))
-    m, short = F.col("match"), F.length("match") <= LONGEST
+    m, same = F.col("match"), F.btrim(F.lower("match"), F.lit(_EDGES))
     last = lambda k: F.coalesce(F.try_element_at("before", F.lit(-k)), F.lit("^"))
     seed = F.coalesce(*[F.when(valid(k, F.regexp_extract(m, FORMS[k], 0)) & (F.regexp_extract(m, FORMS[k], 0) != ""), F.lit(i)) for i, k in enumerate(KINDS)])
-    can = F.filter(F.array(*[F.when(short & (F.regexp_extract(F.when(short, m).otherwise(""), LOOSE[k], 0) != ""), F.lit(i)) for i, k in enumerate(KINDS)]), lambda x: x.isNotNull())
-    instance = F.when(short, F.btrim(F.lower(m), F.lit(_EDGES))).otherwise(F.concat(F.lit("#"), F.sha2(m, 256)))
+    short, whole = (F.length(same) <= LONGEST, same) if longest is None else (F.length(m) <= longest, m)
+    may = F.lit(True) if longest is None else short
+    can = F.filter(F.array(*[F.when(may & m.rlike(LOOSE_ONCE[k]), F.lit(i)) for i, k in enumerate(KINDS)]), lambda x: x.isNotNull())
+    instance = F.when(short, same).otherwise(F.concat(F.lit("#"), F.sha2(whole, 256)))
     after = F.when(F.col("after") == "", "^").otherwise(F.col("after"))
     patterns = F.array(F.concat(F.lit("l "), last(1)), F.concat(F.lit("ll "), last(2), F.lit(" "), last(1)), F.concat(F.lit("r "), after))
     return _placed(rows).select("rid", "start", "match", instance.alias("instance"), seed.alias("seed"), can.alias("can"), patterns.alias("patterns"))
@@ -164,22 +173,23 @@ def score(found: DataFrame, how: Bootstrap) -> DataFrame:
     return scores
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: Bootstrap | None = None) -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: Bootstrap | None = None, longest: int | None = LONGEST) -> DataFrame:
     """(id_col, n_email, n_ip, n_card, n_phone, base_sha256, spans) of every row of docs, from its whole text.
 
     Counts and digest are of the fixed forms; spans adds the identifiers that sure contexts discover and
     that overlap none of these, as kind:start:end in code points. An instance that two kinds claim goes
     to the one with the higher score, ties to the first. A null or empty text has none; rows with null or
     repeated ids each get their result; an empty table gives no rows; other columns are not read.
-    Mentions of over LONGEST characters are never discovered, fixed forms have any length.
+    Mentions of over longest characters are never discovered; with None, as the query has it, they are,
+    whatever their length. Fixed forms have any length.
     """
     how = how or Bootstrap()
     marks = _marks(docs, id_col, text_col)
     base = materialize(base_spans(marks), "base")
-    found = materialize(mentions(marks), "mentions")
+    found = materialize(mentions(marks, longest), "mentions")
     scores = score(found, how).where(F.col("score") >= how.accept)
     taken = scores.groupBy("instance").agg(F.min(F.struct((-F.col("score")).alias("s"), "kind")).alias("x")).select("instance", F.col("x.kind").alias("kind"))
-    core = reduce(lambda a, k: a.when(F.col("kind") == k, F.regexp_extract("match", LOOSE[KINDS[k]], 0)), range(1, 4), F.when(F.col("kind") == 0, F.regexp_extract("match", LOOSE["email"], 0)))
+    core = reduce(lambda a, k: a.when(F.col("kind") == k, F.regexp_extract("match", LOOSE_ONCE[KINDS[k]], 0)), range(1, 4), F.when(F.col("kind") == 0, F.regexp_extract("match", LOOSE_ONCE["email"], 0)))
     more = found.where(F.col("seed").isNull() & (F.size("can") > 0)).join(taken, "instance").select("rid", "kind", "start", "match", core.alias("core"))
     begin = F.col("start") + F.instr("match", F.col("core")) - 1
     more = more.select("rid", "kind", begin.alias("start"), (begin + F.length("core")).alias("end"))

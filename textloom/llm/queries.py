@@ -101,7 +101,7 @@ def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textloom.llm.pii import find
 
-    return find(table(spark, sf_dir, "documents"))
+    return find(table(spark, sf_dir, "documents"), longest=None)
 
 
 #: The ledger of op7 with its rules and policy written out.
