@@ -47,3 +47,7 @@ def test_outlier_probabilities_of_days_without_value(spark, days):
 
 def test_outlier_probabilities_round_as_sql(spark, half):
     same_as_sql(spark, half, "outlier_probabilities")
+
+
+def test_topic_evolution_of_days_without_value(spark, days):
+    assert any("nan" in r for r in same_as_sql(spark, days, "topic_evolution"))
