@@ -105,3 +105,25 @@ def test_lda_reads_its_texts_once(spark, bags):
     found, docs, _ = topics.lda(bags.mapInArrow(seen, TEXTS), 3, passes=2)
     assert found.count() == 30 and docs.count() == 60
     assert read.value == 60
+
+
+def test_lda_measures_are_sparks(bags):
+    x, words, _ = topics._counted(bags)
+    from pyspark.ml.clustering import LDA
+
+    model = LDA(k=3, maxIter=5, seed=1, optimizer="online", featuresCol="features").fit(x)
+    measures = topics._Measures(model, x)
+    assert measures["log_likelihood"] == pytest.approx(model.logLikelihood(x), rel=1e-4)
+    assert measures["log_perplexity"] == pytest.approx(model.logPerplexity(x), rel=1e-4)
+
+
+def test_lda_options_share_one_table_of_texts(spark, bags):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    rows = topics.optimise_topics(bags.mapInArrow(seen, TEXTS), range(2, 4), passes=2).collect()
+    assert [r.k for r in rows] == [2, 3] and sum(r.best for r in rows) == 1 and read.value == 60
