@@ -127,3 +127,8 @@ def test_lda_options_share_one_table_of_texts(spark, bags):
 
     rows = topics.optimise_topics(bags.mapInArrow(seen, TEXTS), range(2, 4), passes=2).collect()
     assert [r.k for r in rows] == [2, 3] and sum(r.best for r in rows) == 1 and read.value == 60
+
+
+def test_lda_topics_need_no_pass_for_measures(bags, monkeypatch):
+    monkeypatch.setattr(topics, "_bound", lambda *a: pytest.fail("measures were not asked for"))
+    assert {r["rank"] for r in topics.lda(bags, 3, passes=2, top=4)[0].collect()} == {1, 2, 3, 4}
