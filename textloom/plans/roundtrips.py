@@ -95,7 +95,7 @@ SQL["cql_validate_documents"] = "SELECT doc_id, ([true, true, false, false, true
 def _options(s, d):
     """Each part of speech's relations, and how many instances the corpus has of them."""
     options = s.createDataFrame([(c, r) for c in dict.fromkeys(p[0] for p in sketch.patterns()) for r in sketch.relation_names(c)], "word1_pos string, relation string")
-    n = sketch.relations(annotate(docs(s, d))).groupBy("word1_pos", "relation").agg(F.count("*").alias("instances"))
+    n = sketch.relations(annotate(docs(s, d), 4)).groupBy("word1_pos", "relation").agg(F.count("*").alias("instances"))
     return options.join(n, ["word1_pos", "relation"], "left").select(F.col("word1_pos").alias("center_pos"), "relation", F.coalesce("instances", F.lit(0)).alias("instances"))
 
 
