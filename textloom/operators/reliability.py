@@ -14,7 +14,7 @@ from textloom.runtime import materialize
 
 def ratings(spans: DataFrame, lengths: DataFrame, coders: list[str]) -> DataFrame:
     """(doc_id, start, size, coder, category) per segment and coder; the category is the set of labels, as a bit string over all labels in order."""
-    labels = [r.label for r in spans.select("label").distinct().orderBy("label").collect()]  # the framework's labels
+    labels = sorted((r.label for r in materialize(spans.select("label").distinct(), "labels").collect()), key=lambda x: (x is not None, x))  # the framework's labels
     inside = spans.join(lengths, "doc_id").select("doc_id", "coder", "label", F.greatest(F.lit(0), "start").alias("start"), F.least("end", "n_chars").alias("end")).where("start < end")
     cuts = inside.select("doc_id", F.explode(F.array("start", "end")).alias("at")).unionByName(lengths.select("doc_id", F.explode(F.array(F.lit(0).cast(spans.schema["start"].dataType), F.col("n_chars").cast(spans.schema["start"].dataType))).alias("at")))
     by_doc = Window.partitionBy("doc_id").orderBy("at")
@@ -31,10 +31,21 @@ def ratings(spans: DataFrame, lengths: DataFrame, coders: list[str]) -> DataFram
     return out.where("size is not null")
 
 
+def units(r: DataFrame) -> DataFrame:
+    """(ratings, size): how many characters have these ratings (coder, category), in order of the coders.
+
+    All coefficients follow from this table, which has a row per combination in use, not per segment.
+    """
+    if "ratings" in r.columns:
+        return r
+    u = r.groupBy("doc_id", "start", "size").agg(F.sort_array(F.collect_list(F.struct("coder", "category"))).alias("ratings"))
+    return u.groupBy("ratings").agg(F.sum("size").alias("size"))
+
+
 def _pairs(r: DataFrame) -> DataFrame:
-    a, b = r.alias("a"), r.alias("b")
-    on = (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.start") == F.col("b.start")) & (F.col("a.coder") < F.col("b.coder"))
-    return a.join(b, on).select(F.col("a.coder").alias("coder1"), F.col("b.coder").alias("coder2"), F.col("a.category").alias("c1"), F.col("b.category").alias("c2"), F.col("a.size").alias("size"))
+    """A row per combination in use and pair of its coders."""
+    pairs = F.flatten(F.transform("ratings", lambda a: F.transform(F.filter("ratings", lambda b: a["coder"] < b["coder"]), lambda b: F.struct(a["coder"].alias("coder1"), b["coder"].alias("coder2"), a["category"].alias("c1"), b["category"].alias("c2")))))
+    return units(r).select(F.inline(pairs), "size")
 
 
 def percent_agreement(r: DataFrame) -> DataFrame:
@@ -64,10 +75,10 @@ def cohens_kappa(r: DataFrame) -> DataFrame:
 
 def fleiss_kappa(r: DataFrame) -> DataFrame:
     """(p, pe, kappa)."""
-    u = r.groupBy("doc_id", "start", "size", "category").agg(F.count("*").cast("double").alias("n"))
-    per = u.groupBy("doc_id", "start", "size").agg(F.sum(F.col("n") * (F.col("n") - 1)).alias("same"), F.sum("n").alias("m"))
-    p = per.agg((F.sum(F.col("size") * F.col("same") / (F.col("m") * (F.col("m") - 1))) / F.sum("size")).alias("p"))
-    share = u.groupBy("category").agg(F.sum(F.col("n") * F.col("size")).alias("n"))
+    u = units(r).withColumn("c", F.col("ratings.category")).withColumn("m", F.size("c").cast("double"))
+    same = F.aggregate("c", F.lit(0.0), lambda s, a: s + F.size(F.filter("c", lambda b: a == b)) - 1)
+    p = u.agg((F.sum(F.col("size") * same / (F.col("m") * (F.col("m") - 1))) / F.sum("size")).alias("p"))
+    share = u.select(F.explode("c").alias("category"), "size").groupBy("category").agg(F.sum("size").cast("double").alias("n"))
     all_ = share.agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("squares"))
     x = p.crossJoin(F.broadcast(all_)).withColumn("pe", F.col("squares") / (F.col("all") * F.col("all")))  # one row each
     k = F.when(F.col("pe") < 1, (F.col("p") - F.col("pe")) / (1 - F.col("pe"))).otherwise(1.0)
@@ -76,13 +87,10 @@ def fleiss_kappa(r: DataFrame) -> DataFrame:
 
 def coincidences(r: DataFrame) -> DataFrame:
     """(c, k, o): weighted pairs of ratings of one unit by different coders."""
-    u = r.groupBy("doc_id", "start", "size", "category").agg(F.count("*").alias("n"))
-    m = u.groupBy("doc_id", "start").agg(F.sum("n").alias("m"))
-    a, b = u.alias("a"), u.alias("b")
-    p = a.join(b, (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.start") == F.col("b.start"))).select(F.col("a.doc_id").alias("doc_id"), F.col("a.start").alias("start"), F.col("a.size").alias("size"), F.col("a.category").alias("c"), F.col("b.category").alias("k"), F.col("a.n").alias("na"), F.col("b.n").alias("nb"))
-    p = p.join(m, ["doc_id", "start"]).where("m > 1")
-    w = F.col("na") * F.when(F.col("c") == F.col("k"), F.col("nb") - 1).otherwise(F.col("nb")) * F.col("size") / (F.col("m") - 1)
-    return p.groupBy("c", "k").agg(F.sum(w).alias("o")).where("o > 0")
+    c = F.col("ratings.category")
+    pairs = F.flatten(F.transform(c, lambda a, i: F.transform(F.filter(c, lambda _, j: j != i), lambda b: F.struct(a.alias("c"), b.alias("k")))))
+    u = units(r).select("size", F.size("ratings").alias("m"), F.inline(pairs))
+    return u.groupBy("c", "k").agg(F.sum(F.col("size") / (F.col("m") - 1)).alias("o")).where("o > 0")
 
 
 def krippendorff_alpha(r: DataFrame, level: str = "nominal") -> DataFrame:
@@ -111,13 +119,17 @@ def krippendorff_alpha(r: DataFrame, level: str = "nominal") -> DataFrame:
 def precision_recall(spans: DataFrame, gold: str) -> DataFrame:
     """(coder, label, tp, fp, fn, precision, recall, f1) against the gold coder, spans as (doc_id, start, end, label); label `*` over all."""
     key = ["doc_id", "start", "end", "label"]
-    s = spans.select("coder", *key).distinct()
-    g = s.where(F.col("coder") == gold).select(*key).withColumn("g", F.lit(1))
-    coders = s.where(F.col("coder") != gold)
-    names = coders.select("coder").distinct()
-    found = coders.select("coder", *key).withColumn("h", F.lit(1))
-    both = found.join(g.crossJoin(F.broadcast(names)), ["coder", *key], "full_outer")  # one row per coder
-    n = both.groupBy("coder", "label").agg(*(F.count_if(c).alias(a) for a, c in (("tp", F.col("h").isNotNull() & F.col("g").isNotNull()), ("fp", F.col("g").isNull()), ("fn", F.col("h").isNull()))))
+    s = spans.groupBy(*key).agg(F.sort_array(F.collect_set("coder")).alias("by"))
+    known = F.lit(True)
+    for c in key:
+        known &= F.col(c).isNotNull()
+    # a row per label and set of coders, not per span
+    s = materialize(s.groupBy("label", "by", known.alias("known")).agg(F.count("*").alias("n")), "marked")
+    names = s.select(F.explode("by").alias("coder")).where(F.col("coder") != gold).distinct()
+    h, g = F.array_contains("by", F.col("coder")), F.array_contains("by", gold)
+    x = s.crossJoin(F.broadcast(names)).where(h | g)  # one row per coder
+    ways = (("tp", h & g & F.col("known")), ("fp", h & ~(g & F.col("known"))), ("fn", g & ~(h & F.col("known"))))
+    n = x.groupBy("coder", "label").agg(*(F.sum(F.when(c, F.col("n")).otherwise(0)).alias(a) for a, c in ways))
     n = n.unionByName(n.groupBy("coder").agg(*(F.sum(c).cast("bigint").alias(c) for c in ("tp", "fp", "fn"))).withColumn("label", F.lit("*")))
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     p, r = ratio(F.col("tp"), F.col("tp") + F.col("fp")), ratio(F.col("tp"), F.col("tp") + F.col("fn"))
@@ -138,9 +150,9 @@ def gold_summary(counts: DataFrame) -> DataFrame:
 def report(spans: DataFrame, lengths: DataFrame, coders: list[str], gold: str | None = None) -> DataFrame:
     """(measure, item, value, band): every coefficient in one table, ready for a CSV or JSON writer.
 
-    Items are pairs of coders, levels of measurement, coders or labels; `*` is the whole. The ratings are written once and read by each measure.
+    Items are pairs of coders, levels of measurement, coders or labels; `*` is the whole. The combinations of ratings are counted once and read by each measure.
     """
-    r = materialize(ratings(spans, lengths, coders), "ratings")
+    r = materialize(units(ratings(spans, lengths, coders)), "units")
     pair, none = F.concat_ws("-", "coder1", "coder2").alias("item"), F.lit(None).cast("string").alias("band")
     named = lambda t, measure, item, value, band_: t.select(F.lit(measure).alias("measure"), item, F.col(value).alias("value"), band_)
     agreement, kappa, fleiss = percent_agreement(r), cohens_kappa(r), fleiss_kappa(r)

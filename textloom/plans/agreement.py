@@ -14,15 +14,20 @@ SQL: dict[str, str] = {}
 CODERS = ["1", "2", "3"]
 
 
+def _texts(s, d):
+    """Documents dealt out by text, so that spans and segments are not shuffled, to tasks small enough to sort them in memory."""
+    return docs(s, d).repartition(4 * int(s.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+
+
 def spans(s, d):
-    t = corpus_tokens(docs(s, d)).select(F.col("text_id").alias("doc_id"), F.col("tok_idx").alias("start"), F.length("word").alias("n"))
+    t = corpus_tokens(_texts(s, d)).select(F.col("text_id").alias("doc_id"), F.col("tok_idx").alias("start"), F.length("word").alias("n"))
     t = t.withColumn("coder", F.explode(F.array(*map(F.lit, CODERS)))).withColumn("k", F.col("coder").cast("int"))
     label = F.when((F.col("n") + F.when(F.col("start") % 4 == 0, F.col("k")).otherwise(0)) % 5 == 0, "A").when(F.col("n") % 7 == F.when(F.col("start") % 6 == 0, F.col("k")).otherwise(1), "B")
     return t.withColumn("label", label).where("label is not null").select("doc_id", "coder", "start", (F.col("start") + 1 + F.when(F.col("label") == "B", F.col("k") % 2).otherwise(0)).alias("end"), "label")
 
 
 def lengths(s, d):
-    return corpus_tokens(docs(s, d)).groupBy(F.col("text_id").alias("doc_id")).agg(F.count("*").cast("int").alias("n_chars"))
+    return corpus_tokens(_texts(s, d)).groupBy(F.col("text_id").alias("doc_id")).agg(F.count("*").cast("int").alias("n_chars"))
 
 
 _SPANS = f"""WITH {WORDS}, k(coder) AS (VALUES ('1'), ('2'), ('3')), x AS (SELECT text_id AS doc_id, coder, tok_idx AS start, length(word) AS n, coder::INT AS k FROM words, k),
