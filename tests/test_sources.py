@@ -181,3 +181,15 @@ def test_tasks_and_corpora_go(spark):
     t, g, k = catalog.remove_corpora(texts, tags, tasks, spark.createDataFrame([("a",), ("a",)], "corpus_id string"))
     assert sorted(r.text_id for r in t.collect()) == [2, 3] and [tuple(r) for r in g.collect()] == [(2, "x")]
     assert sorted(tuple(r) for r in k.collect()) == [(7, None, None), (8, "b", None), (9, None, 2)]
+
+
+def test_annotations_are_numbered_without_a_shuffle(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"segments": {"10": {"segment_start": 1.0, "tokens": [{"text": "c", "head": 0}]}, "9": {"segment_start": 1.0, "tokens": null}, "b": {"segment_start": 0.5, "tokens": [{"text": "a", "head": 1}, {"text": "b", "head": 0}]}, "z": {"tokens": [{"text": "0", "head": 0}]}}}')
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "b.json").write_text('{"success": true, "sentences": [{"tokens": [{"word": "a"}]}, {"tokens": null}, null, {"tokens": [{"word": "b"}, {"word": "c"}]}]}')
+    tokens, usas, mipvu = readers.read_tokens(spark, f"{tmp_path}/a.json"), readers.read_usas(spark, f"{tmp_path}/a.json"), readers.read_mipvu(spark, f"{tmp_path}/m")
+    assert sorted((r.tok_idx, r.segment_id, r.text, r["head"]) for r in tokens.collect()) == [(0, "z", "0", 0), (1, "b", "a", 2), (2, "b", "b", 1), (3, "10", "c", 3)]
+    assert sorted((r.tok_idx, r.segment_id, r.text) for r in usas.collect()) == [(0, "z", "0"), (1, "b", "a"), (2, "b", "b"), (3, "10", "c")]
+    assert sorted((r.tok_idx, r.sent_idx, r.word) for r in mipvu.collect()) == [(0, 0, "a"), (1, 3, "b"), (2, 3, "c")]
+    for df in (tokens, usas, mipvu):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
